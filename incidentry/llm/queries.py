@@ -7,6 +7,7 @@ from importlib import import_module
 #: (query, module, function, name of its SQL or None).
 _LISTED = (
     ("op2_mixing", "mixing", "OP2_SQL"),
+    ("op3_near_dedup", "near_dedup", "OP3_SQL"),
     ("op4_url_filter", "url_filter", "OP4_SQL"),
     ("op5_toxicity", "toxicity", None),
     ("op6_pii", "pii", None),

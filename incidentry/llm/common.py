@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -42,6 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of finished steps now, not at some later collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and text bytes of a table, in one scan."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
@@ -50,7 +57,3 @@ def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
 def blocks_for(n_bytes: int, block_bytes: int) -> int:
     return max(1, math.ceil(n_bytes / block_bytes))
-
-
-def row_hash(*cols: str) -> Column:
-    return F.xxhash64(*[F.col(c) for c in cols])

@@ -15,18 +15,18 @@ Large buckets are dealt out in chunks, so no group is gathered in one task.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import stored, table
+from .common import release, stored, table
+from .hashing import WordHasher, lowered, mix
 
 ROWS_PER_BAND = 8
 #: Probability that a pair at the threshold shares no band, and that the posterior prunes it wrongly.
@@ -36,11 +36,6 @@ BATCH = 43
 #: Members of a bucket in one chunk; buckets of up to SMALL members are paired by a join.
 CHUNK, SMALL = 1024, 48
 
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xBF58476D1CE4E5B9)
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, 9, 10, 11, 12, 13]] = True
-
-
 def bands_for(percent: int, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
@@ -65,7 +60,7 @@ def least_matches(percent: int, hashes: int, batch: int = BATCH, miss: float = M
 
 
 class Hasher:
-    """Shingle hashes and signatures of texts; powers are kept between texts."""
+    """Shingle hashes, signatures and band keys of texts."""
 
     def __init__(self, shingle: int, bands: int, rows: int = ROWS_PER_BAND):
         self.shingle, self.bands, self.rows = shingle, bands, rows
@@ -75,37 +70,19 @@ class Hasher:
         self.b = rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
         self.of_band = rng.integers(1, 2**63, (bands, rows), dtype=np.uint64) | np.uint64(1)
         self.of_place = rng.integers(1, 2**63, shingle, dtype=np.uint64) | np.uint64(1)
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if n > len(self.power):
-            inv = np.uint64(pow(int(_BASE), -1, 2**64))
-            self.power = np.concatenate([[np.uint64(1)], np.full(n, _BASE)]).cumprod(dtype=np.uint64)
-            self.inverse = np.concatenate([[np.uint64(1)], np.full(n, inv)]).cumprod(dtype=np.uint64)
-
-    @staticmethod
-    def mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(31))) * _MIX
-        return x ^ (x >> np.uint64(29))
+        self.words = WordHasher()
 
     def shingles(self, raw: bytes) -> np.ndarray:
         """Distinct 64-bit hashes of the shingles of lower-cased text."""
-        b = np.frombuffer(raw, np.uint8)
-        self._grow(len(b) + 1)
-        space = np.concatenate([[True], _SPACES[b], [True]])
-        edge = np.flatnonzero(space[1:] != space[:-1])
-        start, end = edge[::2], edge[1::2]
-        if not len(start):
+        words, _ = self.words.words(raw)
+        if not len(words):
             return np.zeros(0, np.uint64)
-        sums = np.concatenate([[np.uint64(0)], ((b.astype(np.uint64) + np.uint64(1)) * self.power[: len(b)]).cumsum(dtype=np.uint64)])
-        words = self.mix((sums[end] - sums[start]) * self.inverse[start])
         k = min(self.shingle, len(words))
         n = len(words) - k + 1
         total = np.full(n, np.uint64(k))
         for i in range(k):
             total += words[i : i + n] * self.of_place[i]
-        return np.unique(self.mix(total))
+        return np.unique(mix(total))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         low = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -116,31 +93,21 @@ class Hasher:
 
     def keys(self, signature: np.ndarray) -> np.ndarray:
         s = signature.reshape(self.bands, self.rows).astype(np.uint64)
-        return self.mix((s * self.of_band).sum(1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
+        return mix((s * self.of_band).sum(1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
     @staticmethod
     def small(signature: np.ndarray) -> bytes:
         return ((signature * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def normal(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").lower()
-
-
 def shingle_set(text: str | None, k: int) -> set:
     """The shingles of a text, as tuples of words: exact."""
-    w = normal(text).split()
+    w = lowered(text).split()
     if not w:
         return set()
     return {tuple(w)} if len(w) < k else set(zip(*[w[i:] for i in range(k)], strict=False))
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps now rather than at the next collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def profiles(docs: DataFrame, hasher: Hasher) -> DataFrame:
     """(id, th, nid, n, fp, bands, sig) of (id, th, text); fp is the hash of the word sequence, null without words."""
 
@@ -148,7 +115,7 @@ def profiles(docs: DataFrame, hasher: Hasher) -> DataFrame:
     def profile(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            raw = normal(t)
+            raw = lowered(t)
             s = hasher.shingles(raw)
             if not len(s):
                 out.append((0, None, [], b""))
@@ -313,16 +280,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where(F.col("hub") != F.col("last")).select("key", "hub")
     hubs = stored(hubs, "hubs")
     members = stored(keys.join(hubs.select("key"), "key"), "members")
-    _release(spark)
+    release(spark)
     first = stored(star_pairs(reps, members, hubs, hasher, percent), "star")
     wanted = members.select("nid").distinct().join(reps.select("nid", "id", "th"), "nid")
     texts = stored(wanted.join(keyed, ["id", "th"]).select("nid", "text").dropDuplicates(["nid"]), "texts")
     links = stored(verified(first, texts, shingle, percent), "links")
-    _release(spark)
+    release(spark)
     more = stored(cross_pairs(reps, members, components(links), hasher, percent), "cross")
     links = links.union(stored(verified(more, texts, shingle, percent), "links"))
     labels = components(links)
-    _release(spark)
+    release(spark)
     named = groups.join(labels, "nid", "left").select("fp", "nid", "first_id", F.coalesce("comp", "nid").alias("comp"))
     named = stored(named, "named")
     smallest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))

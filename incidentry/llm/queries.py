@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: (query, module, function, name of its SQL or None).
 _LISTED = (
+    ("op1_lm_scoring", "lm_scoring", None),
     ("op2_mixing", "mixing", "OP2_SQL"),
     ("op3_near_dedup", "near_dedup", "OP3_SQL"),
     ("op4_url_filter", "url_filter", "OP4_SQL"),

@@ -101,9 +101,11 @@ def fs5_relevance(spark, sf):
     return i.select("doc_id", "r.is_relevant", "r.confidence", F.concat_ws(",", "r.harms").alias("harms"))
 
 
+RUNGS = sql_values([(s.replace("_", " "), s) for s in D.SUBTYPE_PARENT] + list(D.FALLBACK))
+
+
 def _relevance_sql() -> str:
-    rungs = sql_values([(s.replace("_", " "), s) for s in D.SUBTYPE_PARENT] + list(D.FALLBACK))
-    return f"""WITH {INCIDENTS}, t AS (SELECT doc_id, lower(coalesce(description, '')) AS t FROM incidents), v(w, label) AS ({rungs}),
+    return f"""WITH {INCIDENTS}, t AS (SELECT doc_id, lower(coalesce(description, '')) AS t FROM incidents), v(w, label) AS ({RUNGS}),
 h AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS harms FROM (SELECT DISTINCT doc_id, label FROM t, v WHERE contains(t, w)) GROUP BY doc_id)
 SELECT t.doc_id, {_any("t", D.RELEVANCE)} AS is_relevant, CASE WHEN {_any("t", D.RELEVANCE)} THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence, coalesce(harms, '') AS harms FROM t LEFT JOIN h USING (doc_id)"""
 

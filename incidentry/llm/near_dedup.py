@@ -177,43 +177,62 @@ def pruned(pairs: DataFrame, reps: DataFrame, hasher: Hasher, percent: int) -> D
 
 
 def star_pairs(reps: DataFrame, members: DataFrame, hubs: DataFrame, hasher: Hasher, percent: int) -> DataFrame:
-    """(a, b): each member's likeliest hub among those that the posterior leaves."""
+    """(a, b, m): members and the hubs of their buckets, where the posterior leaves a chance."""
     pairs = members.join(hubs, "key").where(F.col("nid") != F.col("hub")).select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
-    return pruned(pairs, reps, hasher, percent).groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return pruned(pairs, reps, hasher, percent)
 
 
-def cross_pairs(reps: DataFrame, members: DataFrame, labels: DataFrame, hasher: Hasher, percent: int) -> DataFrame:
-    """(a, b): pairs of a bucket in different components that the posterior leaves; each pair in its first shared bucket only."""
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) whose nodes are in different components, so far."""
+    label = lambda name: labels.select(F.col("nid").alias(name), F.col("comp").alias(f"c_{name}"))
+    both = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
+
+
+def cross_pairs(reps: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame, hasher: Hasher, percent: int) -> DataFrame:
+    """(a, b): pairs of a bucket in different components that may be links.
+
+    Small buckets are paired by a join and pruned by the posterior.  In large ones most
+    members belong to the main component; the others meet its members, and each other, once
+    for all buckets of that component, in chunks of bounded size.  There pairs are pruned and
+    then compared on their shingle hashes in the task, and one link of a document to a
+    component is enough, so what comes out is not more than the documents that go in times
+    the chunks.
+    """
     limits = least_matches(percent, hasher.bands * hasher.rows)
     rows = members.join(labels, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).where(F.col("main") != F.col("most"))
-    rows = stored(rows.join(mixed.select("key", "main", "size"), "key").withColumn("other", F.col("comp") != F.col("main")), "mixed")
+    rows = stored(rows.join(mixed.select("key", "main", "size"), "key"), "mixed")
     few = rows.where(F.col("size") <= SMALL)
     left, right = few.select("key", F.col("nid").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("nid").alias("b"), F.col("comp").alias("cb"))
     small = pruned(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct(), reps, hasher, percent).select("a", "b")
-    rows = rows.where(F.col("size") > SMALL)
-    # The main component's members meet the others only; members of the other components meet all.  Chunks bound what one group holds.
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
+    roles = rows.where(F.col("size") > SMALL).select("main", "nid", "comp", (F.col("comp") != F.col("main")).alias("other")).distinct()
+    sizes = roles.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    # Chunks 0 .. parts - 1 hold the main component, the next ones the others; main chunks meet the others' only.
     mine = F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int") + F.when(F.col("other"), F.col("parts")).otherwise(F.lit(0))
-    dealt = rows.withColumn("parts", parts).withColumn("mine", mine)
     partner = F.when(F.col("other"), F.sequence(F.lit(0), 2 * F.col("parts") - 1)).otherwise(F.sequence(F.col("parts"), 2 * F.col("parts") - 1))
-    dealt = dealt.select("key", "nid", "comp", "mine", F.explode(partner).alias("with"))
-    dealt = dealt.join(reps.select("nid", "n", "sig", "bands"), "nid")
-    group = F.struct("key", F.least("mine", "with").alias("p"), F.greatest("mine", "with").alias("q"))
+    dealt = roles.join(sizes, "main").withColumn("mine", mine).select("main", "nid", "comp", "other", "mine", F.explode(partner).alias("with"))
+    dealt = dealt.join(reps.select("nid", "n", "sig"), "nid").join(texts, "nid")
+    group = F.struct("main", F.least("mine", "with").alias("p"), F.greatest("mine", "with").alias("q"))
 
     def compare(t: pa.Table) -> pa.Table:
         out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        m = len(t)
-        if m < 2:
+        nid, comp, n, mine, other = (np.asarray(t.column(c).to_pylist()) for c in ("nid", "comp", "n", "mine", "other"))
+        if len(nid) < 2 or not other.any():
             return out.empty_table()
-        nid, comp, n, mine = (np.asarray(t.column(c)) for c in ("nid", "comp", "n", "mine"))
-        key = t.column("key")[0].as_py()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(m, -1)
-        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(m, -1)
-        found_a, found_b = [], []
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(nid), -1)
+        text, sets = t.column("text"), {}
+
+        def hashes(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = hasher.shingles(lowered(text[i].as_py()))
+            return sets[i]
+
+        found = []
         crossing = bool((mine != mine[0]).any())
-        for i in range(m):
-            ok = (nid > nid[i]) & (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+        for i in np.flatnonzero(other):
+            # Two others meet once, the smaller first.
+            ok = (comp != comp[i]) & (~other | (nid > nid[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
             if crossing:
                 ok &= mine != mine[i]
             c = np.flatnonzero(ok)
@@ -223,17 +242,18 @@ def cross_pairs(reps: DataFrame, members: DataFrame, labels: DataFrame, hasher:
                     break
                 count += (sig[c, at:upto] == sig[i, at:upto]).sum(1)
                 c, count, at = c[count >= least], count[count >= least], upto
-            if len(c):
-                same = bands[c] == bands[i]
-                c = c[bands[i][same.argmax(1)] == key]
-                found_a.append(np.full(len(c), nid[i]))
-                found_b.append(nid[c])
-        if not found_a:
-            return out.empty_table()
-        return pa.table([np.concatenate(found_a), np.concatenate(found_b)], schema=out)
+            done = set()
+            for k in c[np.argsort(-count, kind="stable")]:
+                if comp[k] not in done:
+                    both = len(np.intersect1d(hashes(i), hashes(k), assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[k] - both):
+                        done.add(comp[k])
+                        found.append((nid[i], nid[k]))
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=out)
 
     # A chunk meets itself in the group (p, p) and others in (p, q); pairs inside a chunk come from its own group only.
-    return dealt.withColumn("g", group).groupBy("g").applyInArrow(compare, "a long, b long").union(small).distinct()
+    large = dealt.withColumn("g", group).groupBy("g").applyInArrow(compare, "a long, b long")
+    return large.union(small).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -281,12 +301,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = stored(hubs, "hubs")
     members = stored(keys.join(hubs.select("key"), "key"), "members")
     release(spark)
-    first = stored(star_pairs(reps, members, hubs, hasher, percent), "star")
+    star = stored(star_pairs(reps, members, hubs, hasher, percent), "star")
     wanted = members.select("nid").distinct().join(reps.select("nid", "id", "th"), "nid")
     texts = stored(wanted.join(keyed, ["id", "th"]).select("nid", "text").dropDuplicates(["nid"]), "texts")
+    # Each member's likeliest hub first; its other hubs only where that leaves them in different components.
+    first = stored(star.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "first")
     links = stored(verified(first, texts, shingle, percent), "links")
+    rest = apart(star.select("a", "b").join(first, ["a", "b"], "left_anti"), components(links))
+    links = links.union(stored(verified(rest, texts, shingle, percent), "links"))
     release(spark)
-    more = stored(cross_pairs(reps, members, components(links), hasher, percent), "cross")
+    more = stored(cross_pairs(reps, members, texts, components(links), hasher, percent), "cross")
     links = links.union(stored(verified(more, texts, shingle, percent), "links"))
     labels = components(links)
     release(spark)

@@ -162,9 +162,9 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: in
     two = two.select("_ik", F.col("_x")[0]["_t"].alias("_ta"), F.col("_x")[1]["_t"].alias("_tb"), (F.col("_x")[1]["_p"] - F.col("_x")[0]["_p"]).alias("_gap")).distinct()
     width = 2 * (size + slop)
     a = index.select(F.col("_t").alias("_ta"), "_id", "_th", F.col("_pos").alias("_at")).join(two, "_ta").withColumn("_cell", F.explode(F.array(F.floor(F.col("_at") / width), F.floor(F.col("_at") / width) + 1)))
-    b = index.select(F.col("_t").alias("_tb"), "_id", "_th", F.col("_pos").alias("_bt"), F.floor(F.col("_pos") / width).alias("_cell"))
-    near = a.join(b, ["_tb", "_th", "_cell"]).where(a["_id"].eqNullSafe(b["_id"]) & (F.abs(F.col("_bt") - F.col("_at") - F.col("_gap")) <= slop) & (F.col("_bt") > F.col("_at")))
-    return near.select(a["_id"].alias(id_col), F.col("_ik").alias("item"), F.col("_at").alias("at")).distinct()
+    b = index.select(F.col("_t").alias("_tb"), F.col("_id").alias("_bid"), "_th", F.col("_pos").alias("_bt"), F.floor(F.col("_pos") / width).alias("_cell"))
+    near = a.join(b, ["_tb", "_th", "_cell"]).where(F.col("_id").eqNullSafe(F.col("_bid")) & (F.abs(F.col("_bt") - F.col("_at") - F.col("_gap")) <= slop) & (F.col("_bt") > F.col("_at")))
+    return near.select(F.col("_id").alias(id_col), F.col("_ik").alias("item"), F.col("_at").alias("at")).distinct()
 
 
 def op7_decontamination(spark, sf_dir):

@@ -102,4 +102,4 @@ def test_search_large_numbers():
 def test_rows_helper():
     import pandas as pd
 
-    assert rows(pd.DataFrame({"a": [1, None]})) == ["(1.0,)", "(None,)"]
+    assert rows(pd.DataFrame({"a": [1, None]})) == ["(1,)", "(None,)"]

@@ -12,8 +12,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[2]")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
@@ -41,7 +41,8 @@ def duck():
 
 
 def rows(frame, columns=None):
-    """Rows as comparable tuples, in any order."""
+    """Rows as comparable tuples, in any order.  Whole numbers compare as such: a null makes pandas turn a column to floats."""
     columns = sorted(columns or frame.columns)
     f = frame[columns].astype(object)
-    return sorted(map(repr, f.where(f.notna(), None).itertuples(index=False, name=None)))
+    plain = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v
+    return sorted(repr(tuple(map(plain, r))) for r in f.where(f.notna(), None).itertuples(index=False, name=None))

@@ -203,7 +203,7 @@ class Automaton:
             before = np.zeros(n, np.int64)
             follow = np.zeros(n, np.int64)
             if n:
-                held = c if k == 2 else np.where(index[k - 1] >= 0, ngram_counts[index[k - 1]], 0)
+                held = c if k == 2 else np.where(index[k - 1] >= 0, ngram_counts[index[k - 1]] if len(ngram_counts) else 0, 0)
                 before[1:] = held[:-1]
                 follow[1:] = continuations[context_index[k - 1]][:-1]
             state = (before > 0) & block.valid[k]
@@ -232,7 +232,7 @@ class Automaton:
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for every document: ``id_col``, ``trained``, n_tokens, n_known, train_tokens, base_score, score.
+    """One row for every document: ``id_col`` (an integer), ``trained``, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are A-Z lower-cased words between white space and one end.  ``train`` picks the
     documents to learn from (null: not); all are scored.  Null text is empty: its only token

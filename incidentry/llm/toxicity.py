@@ -5,8 +5,8 @@ holds and their beginnings; the document's is one minus the product of the sente
 complements.  Only the documents' labels are known, so the gradient of the document's
 likelihood decides which sentences answer for it.
 
-Learning reads a bounded sample of labelled rows (``max_train`` of each class, by hash) on
-the driver; scoring reads every whole text in parallel, with a weight vector of fixed size.
+Learning reads a bounded sample of labelled rows (``max_train`` of each class, by hash) in
+one task; scoring reads every whole text in parallel, with a weight vector of fixed size.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -104,19 +105,21 @@ def learn(texts: list[str | None], labels: list[int], clean_weight: float = 1.0,
     errors down, twice that among the others.
     """
     features = Features()
-    bags = [bag(t, features) for t in texts]
-    owner, sent, index, s = [], [], [], 0
-    for d, b in enumerate(bags):
-        for x in b:
-            owner.append(d)
-            index.extend(x)
-            sent.extend([s] * len(x))
-            s += 1
+    parts, sizes, per_doc = [], [], []
+    for t in texts:
+        bags = bag(t, features)
+        sizes.extend(len(b) for b in bags)
+        per_doc.append(len(bags))
+        parts.append(np.fromiter((i for b in bags for i in b), np.int32))
+    features.clear()
+    s = len(sizes)
     y = np.asarray(labels, float)
     weights, bias = np.zeros(1 << BITS, np.float32), -6.0
     if not s or not y.any() or y.all():
         return Model(weights, -30.0)
-    owner_a, sent_a, index_a = np.asarray(owner), np.asarray(sent), np.asarray(index)
+    owner_a = np.repeat(np.arange(len(y), dtype=np.int32), per_doc)
+    sent_a, index_a = np.repeat(np.arange(s, dtype=np.int32), sizes), np.concatenate(parts)
+    del parts
     pairs = np.unique(owner_a[sent_a].astype(np.int64) << BITS | index_a)
     of, name = pairs >> BITS, pairs & ((1 << BITS) - 1)
     toxic = np.bincount(name, y[of], minlength=1 << BITS)
@@ -151,16 +154,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     rows = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     order = F.xxhash64(F.lit(5), "_id")
     picked = [named.where(F.col("_y") == y).orderBy(order, "_id").limit(max_train) for y in (0, 1)]
-    return rows.join(F.broadcast(picked[0].union(picked[1])), "_id").select("_text", "_y")
+    return rows.join(F.broadcast(picked[0].union(picked[1])), "_id").select("_id", "_text", "_y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
-    """Learn from a bounded sample; the classes keep the weights that all labelled rows have."""
-    got = training_rows(docs, labels, id_col, text_col, label_col, max_train).toPandas()
-    y = got["_y"].tolist()
+    """Learn from a bounded sample, in one task; the classes keep the weights that all labelled rows have.
+
+    Only the weights of telling features come to the driver.
+    """
     whole = {r["y"]: r["n"] for r in labels.groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("y in (0, 1)").collect()}
-    per_row = [whole.get(k, 0) / max(1, y.count(k)) for k in (0, 1)]
-    return learn(got["_text"].tolist(), y, per_row[0] / per_row[1] if per_row[1] else 1.0)
+    rows = training_rows(docs, labels, id_col, text_col, label_col, max_train)
+
+    def learn_all(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_id", "ascending"), ("_y", "ascending")])
+        texts, y = t.column("_text").to_pylist(), t.column("_y").to_pylist()
+        per_row = [whole.get(k, 0) / max(1, y.count(k)) for k in (0, 1)]
+        m = learn(texts, y, per_row[0] / per_row[1] if per_row[1] else 1.0)
+        at = np.flatnonzero(m.weights)
+        return pa.table({"i": pa.array([-1, *at.tolist()], pa.int32()), "w": pa.array([m.bias, *m.weights[at].astype(float).tolist()], pa.float64())})
+
+    weights, bias = np.zeros(1 << BITS, np.float32), -30.0
+    for r in rows.groupBy(F.lit(1).alias("all")).applyInArrow(learn_all, "i int, w double").collect():
+        if r["i"] < 0:
+            bias = r["w"]
+        else:
+            weights[r["i"]] = r["w"]
+    return Model(weights, bias)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, worst: int = 3) -> DataFrame:

@@ -30,7 +30,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.cast("string").alias("id"),
         F.when(i % 97 == 0, F.lit("unknown feed")).otherwise(_pick(SOURCES, i)).alias("source"),
         F.lit("incident").alias("type"),
-        F.when(i % 53 != 0, F.concat(_pick(PHRASES, i), F.lit(". "), F.substring("text", 1, 400))).alias("description"),
+        F.when(i % 53 != 0, F.concat(_pick(PHRASES, i), F.lit(". "), F.col("text"))).alias("description"),
         F.when(i % 11 != 0, _pick(PHRASES, i * 7 + 3)).alias("harm_summary"),
         _pick(INDIVIDUALS, i).alias("individuals_affected"),
         _pick(USERS, i).alias("num_users"),

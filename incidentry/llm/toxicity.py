@@ -148,10 +148,11 @@ def learn(texts: list[str | None], labels: list[int], clean_weight: float = 1.0,
     return Model(weights, float(bias))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN, max_chars: int = 20_000) -> DataFrame:
-    """A sample of labelled rows, the same for every run: at most ``max_train`` of each class, texts up to ``max_chars`` code points."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
+    """A sample of the labelled rows that ``docs`` holds, the same for every run: at most ``max_train`` of each class, texts whole and of any length."""
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    rows = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    named = named.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     order = F.xxhash64(F.lit(5), "_id")
     picked = [named.where(F.col("_y") == y).orderBy(order, "_id").limit(max_train) for y in (0, 1)]
     return rows.join(F.broadcast(picked[0].union(picked[1])), "_id").select("_id", "_text", "_y")

@@ -252,6 +252,28 @@ def test_pii_bootstraps_patterns(spark):
     assert [(s["kind"], s["base"]) for s in got[100]] == [("phone", False)] and got[101] == []
 
 
+@pytest.mark.parametrize("kind", ["clean", "toxic"])
+def test_toxicity_learns_from_long_documents(spark, kind):
+    """Labelled documents of one class are all far over 20,000 code points, those of the other short; null texts and ids without a text change nothing."""
+    rng = random.Random(3)
+
+    def text(i, toxic):
+        n = 2500 if (kind == "toxic") == toxic else 3
+        s = [" ".join(words(rng, 3, 3000)) + "." for _ in range(n)]
+        if toxic:
+            for k in rng.sample(range(n), 2):
+                s[k] = "You scumlo vermin " + s[k]
+        return " ".join(s)
+
+    data = [(i, text(i, i % 2 == 0), int(i % 2 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data if i < 80] + [(900 + i, 1) for i in range(40)] + [(500, 0)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 40).collect()
+    assert len([r for r in rows if r["_y"] == 1]) == 40
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(got[i] == y for i, _, y in data if i >= 80) and got[500] == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     bad = ["scumlo", "scumra", "vermin"]

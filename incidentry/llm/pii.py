@@ -4,7 +4,8 @@ Seeds are the spans of four base forms.  The two words before a seed are a lexic
 Spark scores the graph of patterns and instances in rounds: a pattern is as good as the
 share of trusted identifiers among what stands in its slot, an identifier as good as the
 patterns that hold it (noisy-or).  What stands in the slots of good patterns and looks like
-an identifier is new personal data; base spans always stay.
+an identifier (an address, or digits with the separators of the base forms between them) is
+new personal data; base spans always stay.
 
 One pass over the texts extracts seeds and candidates; the rounds work on pre-aggregated
 (pattern, instance) pairs and never see text again.
@@ -35,6 +36,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+# Digits with the separators of the base forms between them.
+_RUN = re.compile(r"\(?\+?[0-9](?:[ ().-]*[0-9])*")
 _EDGE = ".,;:!?\"'()[]{}<>|*#$&="
 
 
@@ -96,6 +99,28 @@ def shape(token: str) -> str | None:
     return "n" if digits >= 6 and digits * 2 >= len(token) else None
 
 
+def runs(t: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of digits and separators between ``covered`` spans; parts that are glued to other characters are left to the tokens."""
+    out, low = [], 0
+    for c, d in [*covered, (len(t), len(t))]:
+        for m in _RUN.finditer(t, low, max(low, c)):
+            a, b = m.span()
+            if a and not t[a - 1].isspace() and t[a - 1] not in _EDGE:
+                a = t.find(" ", a, b) + 1 or b
+            if b < len(t) and not t[b].isspace() and t[b] not in _EDGE:
+                b = max(a, t.rfind(" ", a, b))
+            while a < b and t[a] in " ).-":
+                a += 1
+            while b > a and t[b - 1] in " (.-":
+                b -= 1
+            if a < b and t[a] == "(" and ")" not in t[a:b]:
+                a += 1
+            if a < b:
+                out.append((a, b))
+        low = max(low, d)
+    return out
+
+
 def extract(text: str | None) -> tuple[list, list, list]:
     """Base spans, the mentions of seeds and the candidates of one text."""
     t = text or ""
@@ -105,6 +130,9 @@ def extract(text: str | None) -> tuple[list, list, list]:
     seeds = [{"k": k, "p": context(t, a), "i": zlib.crc32(t[a:b].encode("utf-8", "replace")), "b": a, "e": b} for a, k, b in base]
     candidates, n = [], 0
     covered = sorted((a, b) for a, _, b in base)
+    numbers = [(a, b) for a, b in runs(t, covered) if shape(t[a:b])]
+    candidates += [{"s": "n", "p": context(t, a - (t[a - 1 : a] == "(")), "i": zlib.crc32(t[a:b].encode("utf-8", "replace")), "b": a, "e": b} for a, b in numbers]
+    covered = sorted(covered + numbers)
     for m in _TOKEN.finditer(t):
         a, b = m.span()
         while a < b and t[a] in _EDGE:

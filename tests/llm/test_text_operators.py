@@ -252,6 +252,16 @@ def test_pii_bootstraps_patterns(spark):
     assert [(s["kind"], s["base"]) for s in got[100]] == [("phone", False)] and got[101] == []
 
 
+def test_pii_bootstraps_numbers_with_separators(spark):
+    seeds = [(i, f"please call me +1 (713) 555-{1000 + i} thanks") for i in range(12)] + [(20 + i, f"pay by card {c} now") for i, c in enumerate(["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"])]
+    new = {100: ("please call me ", "(713) 555-7713", " thanks"), 101: ("please call me ", "713 555 0000", ", thanks"), 102: ("pay by card ", "4111 1111 1111 1112", " now"), 103: ("please call me ", "713-555-0000x", " thanks"), 104: ("please call me (", "7135550000", ") thanks")}
+    docs = spark.createDataFrame(seeds + [(i, "".join(p)) for i, p in new.items()] + [(200, "invoice number was (713) 555-7713 paid")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    for i, (before, number, _) in new.items():
+        assert [(s["begin"], s["end"], s["kind"], s["base"]) for s in got[i]] == [(len(before), len(before) + len(number), "card" if i == 102 else "phone", False)], i
+    assert got[200] == []
+
+
 @pytest.mark.parametrize("kind", ["clean", "toxic"])
 def test_toxicity_learns_from_long_documents(spark, kind):
     """Labelled documents of one class are all far over 20,000 code points, those of the other short; null texts and ids without a text change nothing."""

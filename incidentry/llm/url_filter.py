@@ -36,12 +36,13 @@ GLOBS = (
 
 @dataclass(frozen=True)
 class Pattern:
-    """A glob (``*``: any run of characters) with what a match means."""
+    """A glob (``*``: any run of characters) with what a match means.  ``in_host``: the first star passes no ``/``."""
 
     glob: str
     rank: tuple
     rule: str | None
     verdict: str
+    in_host: bool = False
 
 
 def patterns(rules=RULES, globs=GLOBS) -> list[Pattern]:
@@ -50,23 +51,23 @@ def patterns(rules=RULES, globs=GLOBS) -> list[Pattern]:
     for host, path, verdict in rules:
         name = host + path
         for glob in (f"{name}*", f"*.{name}*"):
-            out.append(Pattern(glob, (0, -len(name), -len(host), verdict != "block"), name, verdict))
+            out.append(Pattern(glob, (0, -len(name), -len(host), verdict != "block"), name, verdict, glob.startswith("*.")))
     for glob, verdict in globs:
         out.append(Pattern(glob, (1, -len(glob), 0, verdict != "block"), None, verdict))
     return sorted(out, key=lambda p: p.rank)
 
 
 def pack(found: list[Pattern]) -> dict:
-    """Masks: ``init`` (states active before any character), ``by_char``, ``loops`` (states under a star), ``final``."""
+    """Masks: ``init`` (states active before any character), ``by_char``, ``loops`` (by character, states under a star that passes it), ``final``."""
     literal: list[tuple[int, str]] = []
-    first, loops, final, bit = [], [], [], 0
+    first, loops, held, final, bit = [], [], [], [], 0
     for p in found:
         # State k of a pattern: its first k literal characters are read.  A star after them makes the state loop.
         parts = p.glob.split("*")
         first.append(bit)
         for i, part in enumerate(parts):
             if i:
-                loops.append(bit)
+                (held if p.in_host and i == 1 else loops).append(bit)
             for ch in part:
                 bit += 1
                 literal.append((bit, ch))
@@ -80,11 +81,13 @@ def pack(found: list[Pattern]) -> dict:
             m[b // 64] |= np.uint64(1 << (b % 64))
         return m
 
-    chars = sorted({c for _, c in literal})
+    chars = sorted({c for _, c in literal} | {"/"})
     by_char = np.zeros((len(chars) + 1, words), np.uint64)
     for i, c in enumerate(chars):
         by_char[i] = mask(b for b, x in literal if x == c)
-    return {"init": mask(first), "loops": mask(loops), "final": final, "chars": {c: i for i, c in enumerate(chars)}, "by_char": by_char}
+    passed = np.repeat(mask(loops + held)[None, :], len(chars) + 1, axis=0)
+    passed[chars.index("/")] = mask(loops)
+    return {"init": mask(first), "loops": passed, "final": final, "chars": {c: i for i, c in enumerate(chars)}, "by_char": by_char}
 
 
 def run(masks: dict, urls: list[str]) -> np.ndarray:
@@ -104,7 +107,7 @@ def run(masks: dict, urls: list[str]) -> np.ndarray:
         s = state[:live]
         moved = s << one
         moved[:, 1:] |= s[:, :-1] >> top
-        state[:live] = (moved & masks["by_char"][code]) | (s & masks["loops"])
+        state[:live] = (moved & masks["by_char"][code]) | (s & masks["loops"][code])
     best = np.full(len(urls), -1)
     for k in range(len(masks["final"]) - 1, -1, -1):
         b = masks["final"][k]

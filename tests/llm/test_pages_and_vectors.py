@@ -40,6 +40,14 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_keeps_rules_to_the_host(spark):
+    """A host name inside a path is no host; subdomains still fit."""
+    want = {"http://foo.org/mirror.net/es/x": (None, "allow"), "http://a.com/b.net/es/x": ("com/", "allow"), "http://foo.org/a.com/x": (None, "allow"), "http://a.b.net/es/x": ("net/es/", "block")}
+    got = url_filter.judge_urls(spark.createDataFrame([(u,) for u in want], "url string")).collect()
+    assert {r["url"]: (r["rule"], r["verdict"]) for r in got} == want
+    assert all((r["host"], r["path"], r["rule"], r["verdict"]) == judge(r["url"]) for r in got)
+
+
 def test_automaton_matches_globs():
     rng = np.random.default_rng(2)
     globs = ["a*b", "*", "ab", "*ab*ba*", "b*", "", "a" * 70 + "*b", "**a"]

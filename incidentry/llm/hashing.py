@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, 9, 10, 11, 12, 13]] = True
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,25 +19,21 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-class WordHasher:
-    """Polynomial hashes of words between white space, by prefix sums; the powers are kept between texts."""
-
-    def __init__(self) -> None:
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if n > len(self.power):
-            inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-            self.power = np.concatenate([[np.uint64(1)], np.full(n, _BASE)]).cumprod(dtype=np.uint64)
-            self.inverse = np.concatenate([[np.uint64(1)], np.full(n, inverse)]).cumprod(dtype=np.uint64)
-
-    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and first bytes of the words, in order."""
-        b = np.frombuffer(raw, np.uint8)
-        self._grow(len(b) + 1)
-        space = np.concatenate([[True], _SPACES[b], [True]])
-        edge = np.flatnonzero(space[1:] != space[:-1])
-        start, end = edge[::2], edge[1::2]
-        sums = np.concatenate([[np.uint64(0)], ((b.astype(np.uint64) + np.uint64(1)) * self.power[: len(b)]).cumsum(dtype=np.uint64)])
-        return mix((sums[end] - sums[start]) * self.inverse[start]), start
+class WordHasher(dict):
+    """Word (bytes) -> 64 bits of its BLAKE2 hash; words seen before in this task are looked up."""
+
+    #: Words kept, and the longest kept.
+    LIMIT, LONGEST = 200_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
+        return h
+
+    def words(self, raw: bytes) -> np.ndarray:
+        """Hashes of the words between white space, in order."""
+        words = raw.split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

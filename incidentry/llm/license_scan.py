@@ -8,6 +8,7 @@ as words joined by single spaces.  Where a text holds an SPDX tag, the expressio
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -170,10 +171,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = [f.split()[0] for f in RESULT.split(", ")]
 
     @pandas_udf(f"struct<{', '.join(f.replace(' ', ':') for f in RESULT.split(', '))}>")
-    def apply(batches: pd.Series) -> pd.DataFrame:
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         a = automaton()
-        got = pd.DataFrame([scan(a, t) for t in batches], columns=names)
-        return got.astype({"n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64", "base_labels": object, "labels": object, "score": "float64"})
+        kinds = {"n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64", "base_labels": object, "labels": object, "score": "float64"}
+        for texts in batches:
+            yield pd.DataFrame([scan(a, t) for t in texts], columns=names).astype(kinds)
 
     keep = [F.col(c) for c in docs.columns if c not in names]
     return docs.select(*keep, apply(F.col(text_col)).alias("_found")).select(*[c for c in docs.columns if c not in names], "_found.*")

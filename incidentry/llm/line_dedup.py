@@ -1,9 +1,9 @@
 """Line dedup: explode normalised lines, hash, find hashes held by several documents, drop, reassemble by position.
 
 DataFrame functions only.  Line text never crosses a shuffle: lines travel as two 64-bit
-hashes, the documents' ids are pre-aggregated per hash before the shuffle (a line that a
-third of all documents hold costs one row a task), and the join that finds the lines to
-drop is a plain equi-join whose hot keys adaptive execution splits.
+hashes, and the documents' ids are pre-aggregated per hash before the shuffle (a line that a
+third of all documents hold costs one row a task).  In the join that finds the lines to drop,
+hashes of very common lines are broadcast and their occurrences spread over all tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, join_hot, stored, table
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -38,17 +38,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("_id", "_th", "_pos", ascii_lower(F.col("_line")).alias("_key"))
         .select("_id", "_th", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
     )
+    n = F.count(F.lit(1)).alias("_n")
     if min_docs <= 2:
-        held = lines.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
+        held = lines.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), n)
         held = held.where(F.col("_first") != F.col("_last")) if min_docs == 2 else held
     else:
-        held = lines.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one")).groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
-    gone = (
-        lines.join(held.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
-        .where(F.col("_id") != F.col("_first"))
-        .groupBy("_id", "_th")
-        .agg(F.collect_list(F.col("_pos") + 1).alias("_gone"))
-    )
+        once = lines.groupBy("_h1", "_h2", "_id").agg(n)
+        held = once.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_docs"), F.sum("_n").alias("_n")).where(F.col("_docs") >= min_docs)
+    held = stored(held.select("_h1", "_h2", "_n", "_first"), "held-lines")
+    total = held.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    gone = join_hot(lines, held, ["_h1", "_h2"], total).where(F.col("_id") != F.col("_first")).groupBy("_id", "_th").agg(F.collect_list(F.col("_pos") + 1).alias("_gone"))
     every = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(body).alias("_th"))
     body_again = F.coalesce(F.col("_row")[text_col], F.lit(""))
     kept = F.array_except(F.sequence(F.lit(1), F.size("_split")), F.coalesce("_gone", F.array().cast("array<int>")))

@@ -7,9 +7,11 @@ state of the shorter context.  A text is read once from left to right; the reade
 state and sums log10 probabilities.
 
 The model grows with the corpus, so no task holds it whole.  Documents are dealt into
-blocks of bounded size, n-gram hashes into buckets.  A block sends each bucket its distinct
-n-grams with their training counts; the bucket sums them over all blocks and answers each
-block for the n-grams it asked about.  A second exchange does the same for single tokens
+blocks of bounded size, n-gram hashes into as many buckets as there are blocks, so both
+stay bounded at any size of the corpus.  A block sends each bucket its distinct n-grams with
+their training counts, one message for each bucket that it has n-grams of, so messages grow
+with the text and no faster.  The bucket sums them over all blocks, in a tree of merges of
+bounded fan-in, and answers each block for the n-grams it asked about.  A second exchange does the same for single tokens
 and for the number of different continuations of each context.  Each block then builds the
 part of the automaton that its documents can reach, and traverses it.  Counts cover all
 training documents; frequent n-grams are counted inside a block before they are sent, so a
@@ -23,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, release, stored, table, text_bytes
+from .common import blocks_for, stored, table, text_bytes
 from .hashing import WordHasher, lowered, mix
 
 ORDER = 2
-#: Text bytes of a block, and of the pieces that are hashed at a time.
-BLOCK_BYTES, PIECE = 8 << 20, 1 << 19
-MOST_BUCKETS = 8192
+#: Text bytes of a block; blocks whose slices of a bucket one task merges.
+BLOCK_BYTES, FAN_IN = 8 << 20, 8192
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -62,19 +63,8 @@ class Block:
 
     def __init__(self, texts: list, order: int):
         hasher = WordHasher()
-        found, counts, piece, size = [], [], [], 0
-        raws = [lowered(t) for t in texts]
-        for i, raw in enumerate(raws):
-            piece.append(raw)
-            size += len(raw) + 1
-            if size >= PIECE or i + 1 == len(raws):
-                joined = b"\n".join(piece)
-                words, start = hasher.words(joined)
-                ends = np.cumsum([len(p) + 1 for p in piece])
-                counts.append(np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(piece)))
-                found.append(words)
-                piece, size = [], 0
-        n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        found = [hasher.words(lowered(t)) for t in texts]
+        n_words = np.array([len(f) for f in found], np.int64)
         words = np.concatenate(found) if found else np.zeros(0, np.uint64)
         self.lengths = n_words + 1  # every text ends with one end token
         self.ends = np.cumsum(self.lengths)
@@ -120,68 +110,122 @@ class Block:
         return distinct, {k: inverse[i * n : (i + 1) * n] for i, k in enumerate(ks)}
 
 
+REQUEST = "bucket long, block long, keys binary, counts binary"
+_REQUEST = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+#: kind 0: answers to a block; kind 1: figures of a bucket (in s0, s1).
+ANSWER = "kind int, block long, bucket long, answer binary, s0 long, s1 long"
+_ANSWER = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64())])
+
+
 def requests(block: int, distinct: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.Table:
-    """One row for each bucket that a block asks."""
-    cuts = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
-    rows = [(b, block, pack_keys(distinct[x:y]), b"".join(to_planes(c[x:y]) for c in counts)) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+    """One row for each bucket that a block has keys of."""
+    of = bucket_of(distinct, buckets)
+    edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+    rows = [(int(of[x]), block, pack_keys(distinct[x:y]), pack_counts(c[x:y] for c in counts)) for x, y in zip(edges[:-1], edges[1:], strict=True)]
     cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.table({"bucket": pa.array(cols[0], pa.int64()), "block": pa.array(cols[1], pa.int64()), "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _REQUEST, strict=True)], schema=_REQUEST)
+
+
+class Merge:
+    """The slices that several blocks have of one bucket, merged by key."""
+
+    def __init__(self, t: pa.Table, columns: int):
+        self.blocks = t.column("block").to_pylist()
+        keys = [unpack_keys(b.as_py()) for b in t.column("keys")]
+        self.cuts = np.append(0, np.cumsum([len(k) for k in keys]))
+        self.counts = np.concatenate([_columns(b.as_py(), columns).reshape(columns, -1) for b in t.column("counts")], axis=1)
+        every = np.concatenate(keys)
+        self.order = np.argsort(every, kind="stable")
+        ranked = every[self.order]
+        self.starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        self.keys = ranked[self.starts]
+        #: Of every entry, its place among the distinct keys.
+        self.group = np.empty(len(every), np.int64)
+        self.group[self.order] = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(every))))
+        self.totals = np.stack([np.add.reduceat(c[self.order], self.starts) for c in self.counts])
+
+    def first_holders(self) -> np.ndarray:
+        """1 for one entry of each key that training text holds."""
+        n = len(self.order)
+        held = np.where(self.counts[0][self.order] > 0, np.arange(n), n)
+        first = np.minimum.reduceat(held, self.starts)
+        own = np.zeros(n, np.int64)
+        own[self.order[first[first < n]]] = 1
+        return own
+
+    def answers(self, bucket: int, values: np.ndarray, figures: tuple | None) -> pa.Table:
+        """Rows of ``ANSWER`` from values for all entries."""
+        blobs = [pack_counts(v[x:y] for v in values) for x, y in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        n, last = len(blobs), [None] if figures else []
+        s = figures or (None, None)
+        return pa.table(
+            [[0] * n + [1] * len(last), self.blocks + last, [bucket] * (n + len(last)), blobs + last, *[[None] * n + [f] * len(last) for f in s]],
+            schema=_ANSWER,
+        )
 
 
-REQUEST = "bucket long, block long, keys binary, counts binary"
-#: kind 0: answers to a block; kind 1: figures of a bucket (in s0, s1, s2).
-ANSWER = "kind int, block long, bucket long, answer binary, s0 long, s1 long, s2 long"
-_ANSWER = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+def exchange(asks: DataFrame, columns: int, owners: bool, blocks: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Answers to the requests of ``blocks`` blocks: for each key asked, the sums over all blocks, in the order of its keys.
 
+    With ``owners`` there is one column, and the lowest bit of an answer tells one block, of
+    those that hold the key in training text, that the key is its to report: so each key is
+    reported once.  Figures of a bucket: keys seen once and twice with ``owners``, else keys
+    seen and the sum of the first column.
+    """
 
-def reduce_bucket(t: pa.Table, columns: int, owners: bool) -> pa.Table:
-    """Sum the counts of equal keys over blocks and answer every block in the order of its keys.
+    def answer(t: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _ANSWER.empty_table()
+        m = Merge(t, columns)
+        values = m.totals[:, m.group]
+        if owners:
+            values = values * 2 + m.first_holders()
+        first = m.totals[0]
+        figures = (int((first == 1).sum()), int((first == 2).sum())) if owners else (int((first > 0).sum()), int(first.sum()))
+        return m.answers(t.column("bucket")[0].as_py(), values, figures)
+
+    if blocks <= fan_in:
+        return stored(asks.groupBy("bucket").applyInArrow(answer, ANSWER), "lm-answers")
+    asks = stored(asks.withColumn("parent", F.floor(F.col("block") / fan_in).cast("long")), "lm-asks")
+
+    def merge(t: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _REQUEST.empty_table()
+        m = Merge(t, columns)
+        return pa.table([[t.column("bucket")[0].as_py()], [t.column("parent")[0].as_py()], [pack_keys(m.keys)], [pack_counts(m.totals)]], schema=_REQUEST)
 
-    With ``owners``, the lowest bit of an answer tells one block, of those that hold the key
-    in training text, that the key is its to report: so each key is reported once.
-    """
-    if not t.num_rows:
-        return _ANSWER.empty_table()
-    keys = [unpack_keys(b.as_py()) for b in t.column("keys")]
-    sizes = np.array([len(k) for k in keys])
-    counts = np.concatenate([from_planes(b.as_py(), np.uint32).reshape(columns, -1) if columns == 1 else np.stack(np.split(_columns(b.as_py(), columns), columns)) for b in t.column("counts")], axis=1).astype(np.int64)
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    group = np.empty(len(every), np.int64)
-    group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(every))))
-    totals = [np.add.reduceat(c[order], starts) for c in counts]
-    answers = [x[group] for x in totals]
-    if owners:
-        held = np.where(counts[0][order] > 0, np.arange(len(every)), len(every))
-        first = np.minimum.reduceat(held, starts)
-        own = np.zeros(len(every), np.int64)
-        own[order[first[first < len(every)]]] = 1
-        answers = [answers[0] * 2 + own]
-    cuts = np.append(0, np.cumsum(sizes))
-    bucket = t.column("bucket")[0].as_py()
-    blocks = t.column("block").to_pylist()
-    blobs = [b"".join(to_planes(a[x:y].astype(np.uint32)) for a in answers) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    figures = (int((totals[0] > 0).sum()), int(totals[0].sum()), 0) if not owners else (int((totals[0] == 1).sum()), int((totals[0] == 2).sum()), 0)
-    n = len(blobs)
-    return pa.table(
-        [pa.array([0] * n + [1], pa.int32()), pa.array([*blocks, None], pa.int64()), pa.array([bucket] * (n + 1), pa.int64()), pa.array([*blobs, None], pa.binary()), *[pa.array([None] * n + [f], pa.int64()) for f in figures]],
-        schema=_ANSWER,
-    )
+    def pass_on(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _ANSWER.empty_table()
+        m = Merge(t, columns)
+        values = _columns(told.column("answer")[0].as_py(), columns).reshape(columns, -1)[:, m.group]
+        if owners:
+            values = (values & ~1) | (values & m.first_holders())
+        return m.answers(t.column("bucket")[0].as_py(), values, None)
+
+    merged = asks.groupBy("bucket", "parent").applyInArrow(merge, REQUEST)
+    told = exchange(merged, columns, owners, -(-blocks // fan_in), fan_in)
+    parents = told.where("kind = 0").select("bucket", F.col("block").alias("parent"), "answer")
+    down = asks.groupBy("bucket", "parent").cogroup(parents.groupBy("bucket", "parent")).applyInArrow(pass_on, ANSWER)
+    return stored(down.union(told.where("kind = 1")), "lm-answers")
+
+
+def pack_counts(counts) -> bytes:
+    """Arrays of whole numbers, one after the other."""
+    return b"".join(to_planes(np.asarray(c).astype(np.int64)) for c in counts)
 
 
 def _columns(b: bytes, columns: int) -> np.ndarray:
-    """Several arrays of 32-bit numbers, one after the other."""
+    """The arrays of ``pack_counts``, one after the other."""
     size = len(b) // columns
-    return np.concatenate([from_planes(b[i * size : (i + 1) * size], np.uint32) for i in range(columns)])
+    return np.concatenate([from_planes(b[i * size : (i + 1) * size], np.int64) for i in range(columns)])
 
 
 def answered(t: pa.Table, columns: int) -> list[np.ndarray]:
     """A block's answers, in the order of its keys."""
     t = t.sort_by("bucket")
     parts = [_columns(b.as_py(), columns).reshape(columns, -1) for b in t.column("answer")]
-    return list(np.concatenate(parts, axis=1).astype(np.int64)) if parts else [np.zeros(0, np.int64)] * columns
+    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.int64)] * columns
 
 
 class Automaton:
@@ -231,7 +275,7 @@ class Automaton:
         return total
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """One row for every document: ``id_col`` (an integer), ``trained``, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are A-Z lower-cased words between white space and one end.  ``train`` picks the
@@ -240,9 +284,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     id is passed on.  Without training documents every token has probability 1.  An empty
     table gives an empty result.  Other columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
     blocks = blocks_for(text_bytes(docs, text_col)[1], block_bytes)
-    buckets = min(blocks, MOST_BUCKETS)
+    buckets = blocks
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
     )
@@ -256,11 +299,11 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         distinct, _, index = block.ngrams()
         train_at = block.spread(flags(t))
         counts = sum(np.bincount(i[(i >= 0) & train_at], minlength=len(distinct)) for i in index.values())
-        return requests(t.column("block")[0].as_py(), distinct, [np.asarray(counts).astype(np.uint32)], buckets)
+        return requests(t.column("block")[0].as_py(), distinct, [np.asarray(counts)], buckets)
 
     def ask_contexts(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return requests(0, np.zeros(0, np.uint64), [np.zeros(0, np.uint32)] * 2, buckets)
+            return requests(0, np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2, buckets)
         block = Block(t.column("text").to_pylist(), order)
         distinct, (places, orders), _ = block.ngrams()
         own = answered(told, 1)[0] & 1
@@ -270,15 +313,11 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         for k in range(2, order + 1):
             mine = places[(own == 1) & (orders == k)]
             more += np.bincount(index[k - 1][mine - 1], minlength=len(names))
-        return requests(t.column("block")[0].as_py(), names, [counts.astype(np.uint32), more.astype(np.uint32)], buckets)
+        return requests(t.column("block")[0].as_py(), names, [counts, more], buckets)
 
-    ngrams = dealt.applyInArrow(ask_ngrams, REQUEST).groupBy("bucket").applyInArrow(lambda t: reduce_bucket(t, 1, True), ANSWER)
-    ngrams = stored(ngrams, "lm-ngrams")
-    release(spark)
+    ngrams = exchange(dealt.applyInArrow(ask_ngrams, REQUEST), 1, True, blocks, fan_in)
     to_block = ngrams.where("kind = 0").select("block", "bucket", "answer")
-    contexts = dealt.cogroup(to_block.groupBy("block")).applyInArrow(ask_contexts, REQUEST).groupBy("bucket").applyInArrow(lambda t: reduce_bucket(t, 2, False), ANSWER)
-    contexts = stored(contexts, "lm-contexts")
-    release(spark)
+    contexts = exchange(dealt.cogroup(to_block.groupBy("block")).applyInArrow(ask_contexts, REQUEST), 2, False, blocks, fan_in)
     figures = lambda df: df.where("kind = 1").agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in ("s0", "s1")]).first()
     once, twice = figures(ngrams)
     vocabulary, total = figures(contexts)

@@ -10,7 +10,9 @@ give components.
 Hubs alone would lose links, so a second round pairs all members of a bucket that are still
 in different components, again pruned in batches.  A bucket that is one component needs no
 more pairs: a group of thousands of near copies costs thousands of pairs, not millions.
-Large buckets are dealt out in chunks, so no group is gathered in one task.
+Large buckets are dealt out in chunks, so no group is gathered in one task; signatures go
+there first, and texts follow only where pairs survive.  Keys that many rows share are
+joined by broadcast, so no bucket is one task's work.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import release, stored, table
+from .common import join_hot, stored, table
 from .hashing import WordHasher, lowered, mix
 
 ROWS_PER_BAND = 8
@@ -33,8 +35,9 @@ ROWS_PER_BAND = 8
 MISS = 1e-6
 #: Signature values compared before each posterior check.
 BATCH = 43
-#: Members of a bucket in one chunk; buckets of up to SMALL members are paired by a join.
-CHUNK, SMALL = 1024, 48
+#: Members of a component in one chunk; buckets of up to SMALL members are paired by a join.
+CHUNK, SMALL = 512, 48
+
 
 def bands_for(percent: int, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
@@ -74,7 +77,7 @@ class Hasher:
 
     def shingles(self, raw: bytes) -> np.ndarray:
         """Distinct 64-bit hashes of the shingles of lower-cased text."""
-        words, _ = self.words.words(raw)
+        words = self.words.words(raw)
         if not len(words):
             return np.zeros(0, np.uint64)
         k = min(self.shingle, len(words))
@@ -176,9 +179,9 @@ def pruned(pairs: DataFrame, reps: DataFrame, hasher: Hasher, percent: int) -> D
     return both.select("a", "b", matches("s_a", "s_b").alias("m")).where("m >= 0")
 
 
-def star_pairs(reps: DataFrame, members: DataFrame, hubs: DataFrame, hasher: Hasher, percent: int) -> DataFrame:
+def star_pairs(reps: DataFrame, members: DataFrame, hasher: Hasher, percent: int) -> DataFrame:
     """(a, b, m): members and the hubs of their buckets, where the posterior leaves a chance."""
-    pairs = members.join(hubs, "key").where(F.col("nid") != F.col("hub")).select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = members.where(F.col("nid") != F.col("hub")).select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
     return pruned(pairs, reps, hasher, percent)
 
 
@@ -189,71 +192,101 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
 
+def surviving(i: int, ok: np.ndarray, sig: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
+    """Of the rows ``ok``, those that the posterior leaves as partners of row ``i``, likeliest first."""
+    c = np.flatnonzero(ok)
+    count, at = np.zeros(len(c), int), 0
+    for upto, least in limits:
+        if not len(c):
+            break
+        count += (sig[c, at:upto] == sig[i, at:upto]).sum(1)
+        c, count, at = c[count >= least], count[count >= least], upto
+    return c[np.argsort(-count, kind="stable")]
+
+
+class Chunks:
+    """Two chunks of a component's neighbourhood that meet in a task."""
+
+    COLUMNS = ("nid", "comp", "n", "mine", "other")
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.nid, self.comp, self.n, self.mine, self.other = (np.asarray(t.column(c).to_pylist()) for c in self.COLUMNS)
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(self.nid), -1)
+        # A chunk meets itself in the group (p, p) and others in (p, q); pairs inside a chunk come from its own group only.
+        self.crossing, self.percent = bool((self.mine != self.mine[0]).any()), percent
+
+    def partners(self, i: int) -> np.ndarray:
+        """Rows of other components that a straggler may be linked with; two stragglers meet once, the smaller first."""
+        n, k = self.n, self.n[i]
+        ok = (self.comp != self.comp[i]) & (~self.other | (self.nid > self.nid[i])) & (np.minimum(n, k) * 100 >= np.maximum(n, k) * self.percent)
+        return ok & (self.mine != self.mine[i]) if self.crossing else ok
+
+
 def cross_pairs(reps: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame, hasher: Hasher, percent: int) -> DataFrame:
     """(a, b): pairs of a bucket in different components that may be links.
 
     Small buckets are paired by a join and pruned by the posterior.  In large ones most
-    members belong to the main component; the others meet its members, and each other, once
-    for all buckets of that component, in chunks of bounded size.  There pairs are pruned and
-    then compared on their shingle hashes in the task, and one link of a document to a
-    component is enough, so what comes out is not more than the documents that go in times
-    the chunks.
+    members belong to the main component; the others, the stragglers, meet its members, and
+    each other, once for all buckets of that component, in chunks of bounded size.  A member
+    is copied once for each chunk of stragglers, a straggler once for each chunk.  First only
+    signatures meet; the texts of those that keep a partner follow, and pairs are compared on
+    their shingle hashes in the task.  One link of a straggler to a component is enough.
     """
     limits = least_matches(percent, hasher.bands * hasher.rows)
-    rows = members.join(labels, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).where(F.col("main") != F.col("most"))
-    rows = stored(rows.join(mixed.select("key", "main", "size"), "key"), "mixed")
+    rows = stored(members.join(labels, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp")), "labelled")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("_n"), F.count(F.lit(1)).alias("size")).where(F.col("main") != F.col("most"))
+    mixed = stored(mixed.select("key", "_n", "main", "size"), "mixed")
+    rows = stored(join_hot(rows, mixed, ["key"], rows.count()), "mixed-rows")
     few = rows.where(F.col("size") <= SMALL)
     left, right = few.select("key", F.col("nid").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("nid").alias("b"), F.col("comp").alias("cb"))
     small = pruned(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct(), reps, hasher, percent).select("a", "b")
-    roles = rows.where(F.col("size") > SMALL).select("main", "nid", "comp", (F.col("comp") != F.col("main")).alias("other")).distinct()
-    sizes = roles.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-    # Chunks 0 .. parts - 1 hold the main component, the next ones the others; main chunks meet the others' only.
-    mine = F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int") + F.when(F.col("other"), F.col("parts")).otherwise(F.lit(0))
-    partner = F.when(F.col("other"), F.sequence(F.lit(0), 2 * F.col("parts") - 1)).otherwise(F.sequence(F.col("parts"), 2 * F.col("parts") - 1))
-    dealt = roles.join(sizes, "main").withColumn("mine", mine).select("main", "nid", "comp", "other", "mine", F.explode(partner).alias("with"))
-    dealt = dealt.join(reps.select("nid", "n", "sig"), "nid").join(texts, "nid")
-    group = F.struct("main", F.least("mine", "with").alias("p"), F.greatest("mine", "with").alias("q"))
+    roles = stored(rows.where(F.col("size") > SMALL).select("main", "nid", "comp", (F.col("comp") != F.col("main")).alias("other")).distinct(), "roles")
+    chunks = lambda c: F.ceil(F.count_if(c) / CHUNK).cast("int")
+    sizes = stored(roles.groupBy("main").agg(F.count(F.lit(1)).alias("_n"), chunks(~F.col("other")).alias("own"), chunks(F.col("other")).alias("far")), "chunks")
+    # Chunks 0 .. own - 1 hold the main component, the next ones the stragglers; main chunks meet the stragglers' only.
+    mine = F.when(F.col("other"), F.col("own") + F.pmod(F.xxhash64("nid"), F.col("far"))).otherwise(F.pmod(F.xxhash64("nid"), F.col("own"))).cast("int")
+    partner = F.sequence(F.when(F.col("other"), F.lit(0)).otherwise(F.col("own")), F.col("own") + F.col("far") - 1)
+    dealt = join_hot(roles, sizes, ["main"], roles.count()).select("main", "nid", "comp", "other", mine.alias("mine"), partner.alias("partner"))
+    dealt = stored(dealt.join(reps.select("nid", "n", "sig"), "nid"), "dealt")
+    group = lambda df: df.groupBy("main", "p", "q")
+    meeting = dealt.select("*", F.explode("partner").alias("with")).select("main", F.least("mine", "with").alias("p"), F.greatest("mine", "with").alias("q"), *Chunks.COLUMNS, "sig")
+
+    def keep(t: pa.Table) -> pa.Table:
+        out = pa.schema([("main", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("nid", pa.int64())])
+        if t.num_rows < 2 or not any(t.column("other").to_pylist()):
+            return out.empty_table()
+        c, wanted = Chunks(t, percent), np.zeros(t.num_rows, bool)
+        for i in np.flatnonzero(c.other):
+            found = surviving(i, c.partners(i), c.sig, limits)
+            wanted[found] = True
+            wanted[i] |= len(found) > 0
+        return pa.table([t.column(name).filter(pa.array(wanted)) for name in ("main", "p", "q", "nid")], schema=out)
+
+    needed = stored(group(meeting).applyInArrow(keep, "main long, p int, q int, nid long"), "needed")
+    with_texts = needed.join(dealt.select("main", *Chunks.COLUMNS, "sig"), ["main", "nid"]).join(texts, "nid")
 
     def compare(t: pa.Table) -> pa.Table:
         out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        nid, comp, n, mine, other = (np.asarray(t.column(c).to_pylist()) for c in ("nid", "comp", "n", "mine", "other"))
-        if len(nid) < 2 or not other.any():
+        if not t.num_rows:
             return out.empty_table()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(nid), -1)
-        text, sets = t.column("text"), {}
+        c, text, sets, found = Chunks(t, percent), t.column("text"), {}, []
 
         def hashes(i: int) -> np.ndarray:
             if i not in sets:
                 sets[i] = hasher.shingles(lowered(text[i].as_py()))
             return sets[i]
 
-        found = []
-        crossing = bool((mine != mine[0]).any())
-        for i in np.flatnonzero(other):
-            # Two others meet once, the smaller first.
-            ok = (comp != comp[i]) & (~other | (nid > nid[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
-            if crossing:
-                ok &= mine != mine[i]
-            c = np.flatnonzero(ok)
-            count, at = np.zeros(len(c), int), 0
-            for upto, least in limits:
-                if not len(c):
-                    break
-                count += (sig[c, at:upto] == sig[i, at:upto]).sum(1)
-                c, count, at = c[count >= least], count[count >= least], upto
+        for i in np.flatnonzero(c.other):
             done = set()
-            for k in c[np.argsort(-count, kind="stable")]:
-                if comp[k] not in done:
+            for k in surviving(i, c.partners(i), c.sig, limits):
+                if c.comp[k] not in done:
                     both = len(np.intersect1d(hashes(i), hashes(k), assume_unique=True))
-                    if 100 * both >= percent * (n[i] + n[k] - both):
-                        done.add(comp[k])
-                        found.append((nid[i], nid[k]))
+                    if 100 * both >= percent * (c.n[i] + c.n[k] - both):
+                        done.add(c.comp[k])
+                        found.append((c.nid[i], c.nid[k]))
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=out)
 
-    # A chunk meets itself in the group (p, p) and others in (p, q); pairs inside a chunk come from its own group only.
-    large = dealt.withColumn("g", group).groupBy("g").applyInArrow(compare, "a long, b long")
-    return large.union(small).distinct()
+    return group(with_texts).applyInArrow(compare, "a long, b long").union(small).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -289,7 +322,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     results.  An empty table gives an empty result.  Other columns pass through; added
     columns replace columns of their names.
     """
-    spark = docs.sparkSession
     hasher = Hasher(shingle, bands_for(percent))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     all_profiles = profiles(keyed, hasher)
@@ -297,11 +329,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = stored(linkable.groupBy("fp").agg(F.min("nid").alias("nid"), F.min("id").alias("first_id")), "groups")
     reps = stored(linkable.join(groups.select("nid"), "nid", "left_semi").select("nid", "id", "th", "n", "bands", "sig"), "reps")
     keys = reps.select("nid", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where(F.col("hub") != F.col("last")).select("key", "hub")
-    hubs = stored(hubs, "hubs")
-    members = stored(keys.join(hubs.select("key"), "key"), "members")
-    release(spark)
-    star = stored(star_pairs(reps, members, hubs, hasher, percent), "star")
+    hubs = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last"), F.count(F.lit(1)).alias("_n")).where(F.col("hub") != F.col("last"))
+    hubs = stored(hubs.select("key", "_n", "hub"), "hubs")
+    members = stored(join_hot(keys, hubs, ["key"], reps.count() * hasher.bands), "members")
+    star = stored(star_pairs(reps, members, hasher, percent), "star")
     wanted = members.select("nid").distinct().join(reps.select("nid", "id", "th"), "nid")
     texts = stored(wanted.join(keyed, ["id", "th"]).select("nid", "text").dropDuplicates(["nid"]), "texts")
     # Each member's likeliest hub first; its other hubs only where that leaves them in different components.
@@ -309,11 +340,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(verified(first, texts, shingle, percent), "links")
     rest = apart(star.select("a", "b").join(first, ["a", "b"], "left_anti"), components(links))
     links = links.union(stored(verified(rest, texts, shingle, percent), "links"))
-    release(spark)
-    more = stored(cross_pairs(reps, members, texts, components(links), hasher, percent), "cross")
+    more = stored(cross_pairs(reps, members.select("key", "nid"), texts, components(links), hasher, percent), "cross")
     links = links.union(stored(verified(more, texts, shingle, percent), "links"))
     labels = components(links)
-    release(spark)
     named = groups.join(labels, "nid", "left").select("fp", "nid", "first_id", F.coalesce("comp", "nid").alias("comp"))
     named = stored(named, "named")
     smallest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))

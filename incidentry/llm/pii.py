@@ -1,8 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are the spans of four base forms.  The two words before a seed are a lexical pattern.
-Spark scores the graph of patterns and instances in rounds: a pattern is as good as the
-share of trusted identifiers among what stands in its slot, an identifier as good as the
+Seeds are the spans of four base forms.  What stands around a seed gives lexical patterns of
+five forms: the two words before it, the one before, the one after, both neighbours, and the
+line up to it.  Spark scores the graph of patterns and instances in rounds: a pattern is as
+good as the share of trusted identifiers among what stands in its slot (with one doubtful
+instance more, so few instances do not make a sure pattern), an identifier as good as the
 patterns that hold it (noisy-or).  What stands in the slots of good patterns and looks like
 an identifier (an address, or digits with the separators of the base forms between them) is
 new personal data; base spans always stay.
@@ -14,13 +16,12 @@ One pass over the texts extracts seeds and candidates; the rounds work on pre-ag
 from __future__ import annotations
 
 import re
-import zlib
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.window import Window
 
 from .common import stored, table
 
@@ -38,6 +39,7 @@ _MARK = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
 # Digits with the separators of the base forms between them.
 _RUN = re.compile(r"\(?\+?[0-9](?:[ ().-]*[0-9])*")
+_DIGITS = re.compile("[0-9]+")
 _EDGE = ".,;:!?\"'()[]{}<>|*#$&="
 
 
@@ -85,10 +87,22 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context(t: str, start: int) -> str:
-    """The lexical pattern of a place: the two words before it, digits masked."""
-    words = t[max(0, start - 80) : start].lower().split()[-2:]
-    return re.sub("[0-9]+", "0", " ".join(words))
+def key(text: str) -> int:
+    """A signed 64-bit number for a pattern or an instance."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def contexts(t: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of a place: form and words in lower case, digits masked."""
+    before, after = t[max(0, start - 80) : start].lower().split()[-2:], t[end : end + 40].lower().split()[:1]
+    line = t[max(t.rfind("\n", 0, start) + 1, start - 40) : start].strip().lower()
+    found = {"2": before if len(before) == 2 else [], "1": before[-1:], "a": after, "n": [*before[-1:], "_", *after] if before and after else [], "l": [line] if line else []}
+    return [f"{form} {_DIGITS.sub('0', ' '.join(words))}" for form, words in found.items() if words]
+
+
+def mention(t: str, start: int, end: int, left: int | None = None) -> dict:
+    """A place with its instance and patterns; ``left``: where its context ends, if before it."""
+    return {"p": [key(c) for c in contexts(t, start if left is None else left, end)], "i": key(t[start:end]), "b": start, "e": end}
 
 
 def shape(token: str) -> str | None:
@@ -127,11 +141,11 @@ def extract(text: str | None) -> tuple[list, list, list]:
     if not _MARK.search(t):
         return [], [], []
     base = base_spans(t)
-    seeds = [{"k": k, "p": context(t, a), "i": zlib.crc32(t[a:b].encode("utf-8", "replace")), "b": a, "e": b} for a, k, b in base]
-    candidates, n = [], 0
+    seeds = [{"k": k, **mention(t, a, b)} for a, k, b in base]
+    n = 0
     covered = sorted((a, b) for a, _, b in base)
     numbers = [(a, b) for a, b in runs(t, covered) if shape(t[a:b])]
-    candidates += [{"s": "n", "p": context(t, a - (t[a - 1 : a] == "(")), "i": zlib.crc32(t[a:b].encode("utf-8", "replace")), "b": a, "e": b} for a, b in numbers]
+    candidates = [{"s": "n", **mention(t, a, b, a - (t[a - 1 : a] == "("))} for a, b in numbers]
     covered = sorted(covered + numbers)
     for m in _TOKEN.finditer(t):
         a, b = m.span()
@@ -145,12 +159,12 @@ def extract(text: str | None) -> tuple[list, list, list]:
             continue
         s = shape(t[a:b])
         if s:
-            candidates.append({"s": s, "p": context(t, a), "i": zlib.crc32(t[a:b].encode("utf-8", "replace")), "b": a, "e": b})
+            candidates.append({"s": s, **mention(t, a, b)})
     return [{"b": a, "k": k, "e": b} for a, k, b in base], seeds, candidates
 
 
 def pattern_scores(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(p, k, score) of patterns.  ``seeds``: k, p, i.  ``candidates``: p, i, s.
+    """(p, k, score) of patterns.  ``seeds``: k, p, i.  ``candidates``: p, i.
 
     All joins are on patterns or instances after pairs are made distinct; a pattern that a
     third of all rows share costs as many rows as it has different instances.
@@ -161,7 +175,7 @@ def pattern_scores(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS
     trusted, scores = known, None
     for _ in range(rounds):
         inside = pairs.join(trusted, "i").groupBy("p", "k").agg(F.sum("t").alias("got")).where(F.col("got") >= min_support)
-        scores = stored(inside.join(held, "p").select("p", "k", F.least(F.lit(1.0), F.col("got") / F.col("n")).alias("score")), "scores")
+        scores = stored(inside.join(held, "p").select("p", "k", F.least(F.lit(1.0), F.col("got") / (F.col("n") + 1)).alias("score")), "scores")
         good = scores.where(F.col("score") >= MIN_SCORE)
         fresh = pairs.join(good, "p").groupBy("i", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score")))))).alias("t"))
         trusted = known.union(fresh.join(known.select("i", "k"), ["i", "k"], "left_anti").select("i", "k", "t"))
@@ -172,12 +186,12 @@ def find_pii(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCO
     """For every row its columns but the text, and ``spans``: sorted structs (begin, kind, end, base).
 
     Code points, end exclusive.  ``base`` tells the base forms from what patterns found; a
-    found span never overlaps a base span, and has the kind of its best pattern (ties: the
-    kind listed first).  Null text is empty.  Repeated rows get equal results; an empty table
+    found span never overlaps a base span or another one, and has the kind of its best pattern
+    (ties: the kind listed first).  Null text is empty.  Repeated rows get equal results; an empty table
     gives an empty result.  A column named ``spans`` is replaced.
     """
     keep = [c for c in docs.columns if c not in (text_col, "spans")]
-    kinds = "base:array<struct<b:int,k:int,e:int>>,seeds:array<struct<k:int,p:string,i:long,b:int,e:int>>,more:array<struct<s:string,p:string,i:long,b:int,e:int>>"
+    kinds = "base:array<struct<b:int,k:int,e:int>>,seeds:array<struct<k:int,p:array<long>,i:long,b:int,e:int>>,more:array<struct<s:string,p:array<long>,i:long,b:int,e:int>>"
 
     @pandas_udf(f"struct<{kinds}>")
     def apply(texts: pd.Series) -> pd.DataFrame:
@@ -185,13 +199,13 @@ def find_pii(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCO
 
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row") if keep else F.lit(None).cast("struct<none:int>").alias("_row"), apply(F.col(text_col)).alias("_x"))
     rows = stored(rows.select("_row", "_x.*").withColumn("_n", F.monotonically_increasing_id()), "mentions")
-    seeds = rows.select(F.explode("seeds").alias("m")).select("m.k", "m.p", "m.i")
-    more = rows.where(F.size("more") > 0).select("_n", F.explode("more").alias("m")).select("_n", "m.*")
-    scores = pattern_scores(seeds, more.select("p", "i", "s")).where(F.col("score") >= min_score)
-    fits = ((F.col("s") == "a") & (F.col("k") == 0)) | ((F.col("s") == "n") & (F.col("k") > 0))
-    best = Window.partitionBy("p", "s").orderBy(F.desc("score"), "k")
-    shapes = scores.withColumn("s", F.when(F.col("k") == 0, F.lit("a")).otherwise(F.lit("n"))).where(fits).withColumn("r", F.row_number().over(best)).where("r = 1").select("p", "s", "k")
-    found = more.join(shapes, ["p", "s"]).groupBy("_n").agg(F.collect_list(F.struct("b", "k", "e")).alias("_found"))
+    seeds = rows.select(F.explode("seeds").alias("m")).select("m.k", F.explode("m.p").alias("p"), "m.i")
+    more = rows.where(F.size("more") > 0).select("_n", F.explode("more").alias("m")).select("_n", "m.s", "m.i", "m.b", "m.e", F.explode("m.p").alias("p"))
+    scores = pattern_scores(seeds, more.select("p", "i")).where(F.col("score") >= min_score)
+    shapes = scores.select("p", "k", "score", F.when(F.col("k") == 0, F.lit("a")).otherwise(F.lit("n")).alias("s"))
+    # The kind of the best pattern; of equal ones the kind listed first.
+    best = more.join(shapes, ["p", "s"]).groupBy("_n", "b", "e").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("x"))
+    found = best.groupBy("_n").agg(F.collect_list(F.struct("b", (-F.col("x.k")).alias("k"), "e")).alias("_found"))
     name = lambda x, base: F.struct(x["b"].alias("begin"), x["k"].alias("_k"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1).alias("kind"), x["e"].alias("end"), F.lit(base).alias("base"))
     spans = F.concat(F.transform("base", lambda x: name(x, True)), F.transform(F.coalesce("_found", F.array().cast("array<struct<b:int,k:int,e:int>>")), lambda x: name(x, False)))
     out = rows.select("_n", "_row", "base").join(found, "_n", "left").select("_row", F.array_sort(spans).alias("spans"))
@@ -207,4 +221,4 @@ def listed(spans, only_base: bool):
 def op6_pii(spark, sf_dir):
     out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(F.col("spans"), True), 256).alias("base_sha256"), listed(F.col("spans"), False).alias("spans"))
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(F.col("spans"), True), 256).alias("base_sha256"), listed(F.col("spans"), False).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_found"))

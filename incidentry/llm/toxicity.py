@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,31 +184,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(weights, bias)
 
 
-def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, worst: int = 3) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, offending: float = 0.05, worst: int | None = None) -> DataFrame:
     """Add ``score`` (0 to 1), ``predicted`` and ``offending`` to every row.
 
-    ``offending``: up to ``worst`` sentences of predicted documents with the highest scores,
-    as structs of byte span and score.  Null and empty texts have no sentences and score 0.
-    Repeated rows get equal results, an empty table an empty result.  Other columns pass
-    through; added columns replace columns of their names.
+    ``offending``: all sentences of predicted documents with a probability of at least
+    ``offending``, or else their likeliest one, highest first, as structs of byte span and
+    score; at most ``worst`` of them, if that is given.  Null and empty texts have no
+    sentences and score 0.  Repeated rows get equal results, an empty table an empty result.
+    Other columns pass through; added columns replace columns of their names.
     """
     added = ("score", "predicted", "offending")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 4 * 2**BITS bytes, whatever the corpus
+    # Plain arrays, so that executors need no copy of the library; 4 * 2**BITS bytes, whatever the corpus.
+    shared, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
 
     @pandas_udf("struct<score:double,offending:array<struct<begin:int,end:int,score:double>>>")
-    def apply(texts: pd.Series) -> pd.DataFrame:
-        features, m = Features(), shared.value
-        out = []
-        for t in texts:
-            bags = bag(t, features)
-            total = m.score(bags)
-            top = []
-            if total >= threshold:
-                p, spans = m.sentence_scores(bags), sentences(t)
-                top = [{"begin": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in np.argsort(-p, kind="stable")[:worst] if p[i] >= 0.05]
-            out.append((total, top))
-        return pd.DataFrame(out, columns=["score", "offending"])
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        features, m = Features(), Model(shared.value, bias)
+        for texts in batches:
+            out = []
+            for t in texts:
+                bags = bag(t, features)
+                total = m.score(bags)
+                top = []
+                if total >= threshold:
+                    p, spans = m.sentence_scores(bags), sentences(t)
+                    top = [{"begin": spans[i][0], "end": spans[i][1], "score": float(p[i])} for k, i in enumerate(np.argsort(-p, kind="stable")[:worst]) if p[i] >= offending or not k]
+                out.append((total, top))
+            yield pd.DataFrame(out, columns=["score", "offending"])
 
     keep = [c for c in docs.columns if c not in added]
     scored = docs.select(*keep, apply(F.col(text_col)).alias("_s"))

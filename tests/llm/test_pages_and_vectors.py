@@ -68,8 +68,9 @@ def vectors(spark):
 
 @pytest.mark.parametrize("block", [16, 8192])
 def test_top_k(spark, vectors, monkeypatch, block):
-    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", block)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk_search, "CANDIDATE_CELLS", block * 8)
+    monkeypatch.setattr(topk_search, "QUERY_CELLS", block * 8)
+    monkeypatch.setattr(topk_search, "QUERY_BATCH", 3)
     got = topk_search.top_k(vectors.withColumn("score", F.lit("x")), F.col("vec_id") % 20 == 0, 7).toPandas()
     good = {r["vec_id"]: np.pad(np.floor(64 * np.array(r["embedding"])), (0, 8 - len(r["embedding"]))).astype(int) for r in vectors.collect() if r["vec_id"] is not None and r["embedding"] is not None and all(v is not None and np.isfinite(v) for v in r["embedding"])}
     want = []
@@ -88,23 +89,47 @@ def test_top_k_edges(spark, vectors):
     assert topk_search.top_k(vectors, F.lit(None).cast("boolean")).count() == 0
 
 
+def test_long_vector(spark):
+    """A vector of another length is a block of its own and counts as filled up with zeros."""
+    data = [(i, [float(i), 1.0]) for i in range(1, 9)] + [(20, [0.0] * 5000 + [3.0]), (40, [2.0] * 300), (60, [])]
+    got = topk_search.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3).toPandas()
+    assert got[got.query_id == 40].vec_id.tolist() == [8, 7, 6] and got[got.query_id == 40].score.tolist() == [18 * 64**2, 16 * 64**2, 14 * 64**2]
+    assert got[got.query_id == 20].score.tolist() == [0, 0, 0] and got[got.query_id == 60].vec_id.tolist() == [1, 2, 3]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = rng.integers(-30, 30, (5, 6)).astype(float), rng.integers(-30, 30, (40, 6)).astype(float)
-    by_list, exact = np.sort(x, axis=0), q @ x.T
+    reader, exact = topk_search.Reader(q, x, topk_search.sorted_lists(x)), q @ x.T
     for depth in (1, 7, 25, 40):
-        low, high = topk_search.bounds(q, x, by_list, depth)
-        assert (low <= exact).all() and (exact <= high).all()
-    assert (low == exact).all() and (high == exact).all()
+        reader.read(depth)
+        assert (reader.lower() <= exact).all() and (exact <= reader.upper()).all()
+    assert (reader.lower() == exact).all() and (reader.upper() == exact).all() and (reader.sums == exact).all()
 
 
 def test_search_large_numbers():
-    """Products beyond 24 and 53 bits stay exact."""
+    """Products beyond 24 and 53 bits stay exact; a score to beat keeps its ties."""
     for scale in (10**4, 10**8):
         q, x = np.array([[scale, -scale, 1]]), np.array([[scale, scale - 1, 0], [scale, scale, 0], [0, -1, 3]])
-        _, j, s = topk_search.search_block(np.array([9]), q, np.array([1, 2, 3]), x, 3)
+        search = lambda beat: topk_search.search_block(np.array([9]), q, np.array([beat]), np.array([1, 2, 3]), x, topk_search.sorted_lists(x), 3)[1:]  # noqa: E731, B023
         want = sorted((-int(v), i) for i, v in enumerate((q @ x.T)[0]))
+        j, s = search(topk_search.LEAST)
         assert list(zip(-s, j, strict=True)) == want
+        j, s = search(-want[1][0])
+        assert set(want[:2]) <= set(zip(-s, j, strict=True))
+
+
+def test_reading_stops_early(monkeypatch):
+    """With a score to beat, outsiders fall before the lists are read to their ends."""
+    depths = []
+    read = topk_search.Reader.read
+    monkeypatch.setattr(topk_search.Reader, "read", lambda self, depth: (depths.append(depth), read(self, depth))[1])
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (800, 4))
+    q = np.array([[60, 1, -1, 1]])
+    best = int(np.sort((x @ q[0]))[-5])
+    topk_search.search_block(np.array([-1]), q, np.array([best]), np.arange(800), x, topk_search.sorted_lists(x), 5)
+    assert max(depths) < 800
 
 
 def test_rows_helper():

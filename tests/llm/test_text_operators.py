@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from incidentry.llm import decontamination, license_scan, line_dedup, lm_scoring, mixing, near_dedup, pii, toxicity
+from incidentry.llm import common, decontamination, hashing, license_scan, line_dedup, lm_scoring, mixing, near_dedup, pii, toxicity
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -68,8 +68,8 @@ def test_line_dedup(spark, duck, corpus):
 
 def test_decontamination(spark, duck, corpus, benchmark):
     docs = corpus.where("doc_id is not null").distinct()
-    out = decontamination.contamination(docs, benchmark)
-    got = out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated").toPandas()
+    out = decontamination.contamination(docs, benchmark, slop=2)
+    got = out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items")).toPandas()
     assert rows(got) == rows(duck(decontamination.OP7_SQL, documents=docs.toArrow(), benchmark=benchmark.toArrow()))
     assert set(got[got.contaminated].doc_id) == {1, 3, 9}
     every = decontamination.contamination(clashing(corpus), benchmark.withColumn("doc_id", F.lit(1)))
@@ -78,11 +78,52 @@ def test_decontamination(spark, duck, corpus, benchmark):
     assert decontamination.contamination(corpus.limit(0), benchmark).count() == 0
 
 
-def test_proximity(spark, corpus):
-    docs = spark.createDataFrame([(1, "alpha q w beta rest"), (2, "alpha q q q q q q q beta"), (3, "beta alpha"), (4, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha x beta"), (None, "q"), (2, "")], "item_id long, text string")
-    got = {(r["doc_id"], r["item"], r["at"]) for r in decontamination.proximity_matches(docs, items, slop=2).collect()}
-    assert got == {(1, "1", 0)}
+def brute_windows(words, size):
+    n = min(size, len(words))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set()
+
+
+def test_decontamination_of_repeated_words(spark):
+    """A very long text of one word, and short alphabets: every alignment of an item is a candidate."""
+    rng = random.Random(9)
+    few = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    texts = {1: "yes " * 100_000, 2: "no " * 700 + "yes", **{i: few(rng.randrange(1, 1500)) for i in range(3, 30)}}
+    items = {1: "yes", 2: few(400), 3: few(12), 4: few(3), 5: "yes " * 200, 6: "a a a a", 7: texts[5][100:900]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.contamination(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    for i, t in texts.items():
+        w, hit, found = t.split(), set(), set()
+        for item, x in items.items():
+            windows = brute_windows(x.split(), 10)
+            n = min(10, len(x.split()))
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    found.add(str(item))
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(found)), i
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity(spark, slop):
+    """Against all places of all windows."""
+    rng = random.Random(slop)
+    texts = {1: "alpha q w beta rest", 2: "alpha q q q q q q q beta", 3: "beta x alpha", 4: None, 5: "x", **{i: " ".join(words(rng, rng.randrange(1, 700), 12)) for i in range(6, 16)}}
+    items = {1: "alpha x beta", 2: "", 3: "x", 4: " ".join(words(rng, 4, 12)), 5: " ".join(words(rng, 90, 12)), 6: texts[7]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (None, "q")], "item_id long, text string")
+    got = {(r["doc_id"], r["item"], r["at"]) for r in decontamination.proximity_matches(docs, bench, slop).collect()}
+    want = set()
+    for i, t in texts.items():
+        w = (t or "").split()
+        places = {}
+        for at, x in enumerate(w):
+            places.setdefault(x, set()).add(at)
+        for item, x in items.items():
+            for window in brute_windows(x.split(), 10):
+                for at in range(-slop, len(w) + slop):
+                    if all(any(at + j + d in places.get(y, ()) for d in range(-slop, slop + 1)) for j, y in enumerate(window)):
+                        want.add((i, str(item), at))
+    assert got == want
 
 
 def test_mixing(spark, duck, corpus):
@@ -135,6 +176,36 @@ def test_near_dedup_large_buckets(spark, duck, monkeypatch):
     assert rows(got) == rows(duck(near_dedup.OP3_SQL, documents=docs.toArrow()))
 
 
+def test_long_words_that_a_weak_hash_confuses(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo a power of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    a, b = hashing.WordHasher().words(f"{one} {two}".encode())
+    assert a != b
+    docs = spark.createDataFrame([(1, " ".join([one, two] * 3)), (2, " ".join([one] * 6))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_shingles"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {1: 2, 2: 1}
+    lm = lm_scoring.score_texts(docs, F.col("doc_id") == 2).toPandas().set_index("doc_id")
+    assert lm.n_known[1] == 4 and lm.n_tokens[1] == 7 and lm.train_tokens[1] == 7
+
+
+def test_word_hashes_past_the_limit():
+    h = hashing.WordHasher()
+    h.LIMIT = 10
+    text = " ".join(f"w{i % 40}" for i in range(500)).encode()
+    assert h.words(text).tolist() == hashing.WordHasher().words(text).tolist() and len(h) <= 10
+
+
+@pytest.mark.parametrize("share", [1, 3, 1000])
+def test_hot_keys(spark, monkeypatch, share):
+    """Keys over the share are broadcast, the others shuffled; the join is the same."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    left = spark.range(1000).select(F.col("id").alias("a"), F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    counted = left.where("k % 2 = 1").groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max("a").alias("top"))
+    got = common.join_hot(left, counted, ["k"], 1000).select("a", "k", "top").toPandas()
+    assert rows(got) == rows(left.join(counted.drop("_n"), "k").select("a", "k", "top").toPandas())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)], "a long, b long")
     got = {r["nid"]: r["comp"] for r in near_dedup.components(edges).collect()}
@@ -176,6 +247,23 @@ def test_lm_scoring(spark, corpus, order):
     assert got[~got.trained].score.sum() > got[~got.trained].base_score.sum()
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_merges_in_a_tree(spark, corpus, order):
+    """Several levels of merges give what one does."""
+    docs = corpus.where("doc_id is not null").distinct()
+    flat, tree = (lm_scoring.score_texts(docs, F.col("doc_id") % 5 != 1, order=order, block_bytes=6_000, fan_in=n).toPandas() for n in (8192, 3))
+    assert rows(flat.round(9)) == rows(tree.round(9))
+
+
+def test_lm_counts(spark, corpus):
+    docs = corpus.where("doc_id is not null").distinct().toPandas()
+    got = lm_scoring.score_texts(spark.createDataFrame(docs), F.col("doc_id") % 5 != 1, block_bytes=20_000).toPandas().set_index("doc_id")
+    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    known = {w for i, t in tokens.items() if i % 5 != 1 for w in t}
+    assert (got.train_tokens == sum(len(t) for i, t in tokens.items() if i % 5 != 1)).all()
+    assert all(got.n_tokens[i] == len(t) and got.n_known[i] == sum(w in known for w in t) and got.trained[i] == (i % 5 != 1) for i, t in tokens.items())
+
+
 def test_lm_edges(spark, corpus):
     every = lm_scoring.score_texts(clashing(corpus), F.col("doc_id") > 3)
     assert every.count() == corpus.count()
@@ -262,6 +350,66 @@ def test_pii_bootstraps_numbers_with_separators(spark):
     assert got[200] == []
 
 
+def test_pii_recall_by_kind(spark):
+    """Unseen forms of three kinds in slots of five forms that seeds share; clean numbers elsewhere stay."""
+    rng = random.Random(8)
+    filler = lambda: " ".join(words(rng, 6, 3000))
+    luhn = lambda n: next(n + str(d) for d in range(10) if brute_pii(n + str(d)))
+    slots = [("phone", "{} reach me at {} please {}"), ("phone", "{}\ntel. office: {}\n{}"), ("card", "{} visa number {} exp {}"), ("card", "{} charged {} today {}"), ("email", "{} write to {} about {}")]
+    seed = {"phone": lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", "card": lambda: luhn(str(rng.randrange(10**14, 10**15))), "email": lambda: f"u{rng.randrange(10**6)}@mail.example.com"}
+    unseen = {"phone": lambda: f"{rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)}", "card": lambda: str(rng.randrange(10**9, 10**10)), "email": lambda: f"u{rng.randrange(10**6)}@intranet"}
+    seeds = [slot.format(filler(), seed[kind](), filler()) for kind, slot in slots for _ in range(60)]
+    planted, clean = [], []
+    while len(planted) < 100:
+        kind, slot = slots[len(planted) % 5]
+        number = unseen[kind]()
+        text = slot.format(filler(), number, filler())
+        if not brute_pii(text):
+            planted.append((text, kind, text.index(number), text.index(number) + len(number)))
+    for _ in range(100):
+        clean.append(f"{filler()} order {rng.randrange(10**7, 10**8)} was {filler()}")
+    texts = seeds + [p[0] for p in planted] + clean
+    got = {r["doc_id"]: [(s["kind"], s["begin"], s["end"]) for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for kind in ("phone", "card", "email"):
+        of = [(i, p) for i, p in enumerate(planted, len(seeds)) if p[1] == kind]
+        assert sum(got[i] == [p[1:]] for i, p in of) >= 0.9 * len(of), kind
+    assert all(not got[i] for i in range(len(seeds) + len(planted), len(texts)))
+
+
+def test_pii_pattern_scores(spark):
+    """The rounds of scoring against plain loops over pairs."""
+    rng = random.Random(6)
+    seeds = [(rng.randrange(4), rng.randrange(12), rng.randrange(40)) for _ in range(150)]
+    more = [(rng.randrange(16), rng.randrange(30, 90)) for _ in range(120)]
+    pairs = {(p, i) for _, p, i in seeds} | set(more)
+    known = {(i, k): 1.0 for k, _, i in seeds}
+    trusted, scores = known, {}
+    for _ in range(pii.ROUNDS):
+        got = Counter()
+        for p, i in pairs:
+            for (j, k), t in trusted.items():
+                if i == j:
+                    got[p, k] += t
+        scores = {(p, k): min(1.0, g / (sum(q == p for q, _ in pairs) + 1)) for (p, k), g in got.items() if g >= pii.MIN_SUPPORT}
+        left = {}
+        for p, i in pairs:
+            for (q, k), s in scores.items():
+                if p == q and s >= pii.MIN_SCORE and (i, k) not in known:
+                    left[i, k] = left.get((i, k), 1.0) * max(1e-6, 1 - s)
+        trusted = known | {key: 1 - v for key, v in left.items()}
+    out = pii.pattern_scores(spark.createDataFrame(seeds, "k int, p long, i long"), spark.createDataFrame(more, "p long, i long"))
+    found = {(r["p"], r["k"]): r["score"] for r in out.collect()}
+    assert found.keys() == scores.keys() and all(abs(found[x] - scores[x]) < 1e-9 for x in scores)
+    assert any(s >= pii.MIN_SCORE for s in scores.values())
+
+
+def test_pii_edges(spark):
+    long = "x " * 50_000 + "call +1 (713) 555-8702 now " + "7 " * 20_000 + "end"
+    docs = spark.createDataFrame([(None, "mail a@b.cc"), (1, long), (1, long), (2, None), (3, "")], "doc_id long, text string").withColumn("p", F.lit(1)).withColumn("_n", F.lit(2))
+    out = pii.find_pii(docs).collect()
+    assert sorted(len(r["spans"]) for r in out) == [0, 0, 1, 1, 1] and all(r["p"] == 1 and r["_n"] == 2 for r in out)
+
+
 @pytest.mark.parametrize("kind", ["clean", "toxic"])
 def test_toxicity_learns_from_long_documents(spark, kind):
     """Labelled documents of one class are all far over 20,000 code points, those of the other short; null texts and ids without a text change nothing."""
@@ -309,6 +457,42 @@ def test_toxicity(spark):
     assert any(b in raw[worst.offending[0]["begin"] : worst.offending[0]["end"]].decode() for b in bad)
 
 
+def test_noisy_or_and_its_gradient():
+    """Scores by plain products, and weights that no small step of the likelihood improves by much."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(30)}" + (" vermin." if i % 3 == 0 and k == 0 else ".") for k in range(rng.randrange(1, 5))) for i in range(90)]
+    y = [int(i % 3 == 0) for i in range(90)]
+    m = toxicity.learn(texts, y, rounds=400)
+    f = toxicity.Features()
+
+    def score(weights, bias, t):
+        none = 1.0
+        for b in toxicity.bag(t, f):
+            none *= 1 - 1 / (1 + math.exp(-(sum(weights[i] for i in b) + bias)))
+        return 1 - none
+
+    assert all(abs(score(m.weights, m.bias, t) - m.score(toxicity.bag(t, f))) < 1e-6 for t in texts)
+    loss = lambda w, b: -sum(math.log(max(1e-9, p if k else 1 - p)) for t, k in zip(texts, y, strict=True) for p in [score(w, b, t)]) + 0.5e-4 * len(y) * float((w**2).sum())
+    here = loss(m.weights.astype(float), m.bias)
+    for i in [*map(int, m.weights.nonzero()[0][:4]), -1]:
+        for step in (-0.01, 0.01):
+            w = m.weights.astype(float)
+            w[i] += step if i >= 0 else 0
+            assert loss(w, m.bias + (step if i < 0 else 0)) > here - 0.02
+
+
+def test_all_offending_sentences(spark):
+    """Every likely sentence is located, or the likeliest of many weak ones; a cut is optional."""
+    weights = toxicity.np.zeros(1 << toxicity.BITS, "float32")
+    for i in toxicity.Features()[b"vermin"]:
+        weights[i] = 3.0
+    model = toxicity.Model(weights, -8.0)
+    docs = spark.createDataFrame([(1, "You vermin. " * 7 + "Fine day. " * 20), (2, "Fine day. " * 2000), (3, "Fine.")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert len(got[1]["offending"]) == 7 and len(got[2]["offending"]) == 1 and got[3]["offending"] == []
+    assert len(toxicity.score_toxicity(docs, model, worst=2).where("doc_id = 1").first()["offending"]) == 2
+
+
 def test_toxicity_edges(spark, corpus):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (1, 1)], "doc_id long, toxic int")
     model = toxicity.fit(corpus, labels)

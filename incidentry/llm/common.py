@@ -85,6 +85,8 @@ def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -
     """
     value = [c for c in counted.columns if c not in (*keys, "_n")]
     hot = counted.where(F.col("_n") * HOT_SHARE > total).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*value).alias("_hot"))
+    # One row more whose value is null, so that it counts as no hot key: the plan is the same with hot keys and without.
+    hot = hot.union(rows.sparkSession.range(1).select(*[F.lit(None if c == "_hot" else 0).cast(t).alias(c) for c, t in hot.dtypes]))
     cold = counted.where(F.col("_n") * HOT_SHARE <= total).select(*[F.col(k).alias(f"_cold_{k}") for k in keys], F.struct(*value).alias("_cold"))
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_hot_{k}") for k in keys])
     marked = rows.join(F.broadcast(hot), same, "left")

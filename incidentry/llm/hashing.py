@@ -23,7 +23,7 @@ class WordHasher(dict):
     """Word (bytes) -> 64 bits of its BLAKE2 hash; words seen before in this task are looked up."""
 
     #: Words kept, and the longest kept.
-    LIMIT, LONGEST = 200_000, 64
+    LIMIT, LONGEST = 100_000, 64
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")

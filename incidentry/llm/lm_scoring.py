@@ -30,7 +30,7 @@ from .hashing import WordHasher, lowered, mix
 
 ORDER = 2
 #: Text bytes of a block; blocks whose slices of a bucket one task merges.
-BLOCK_BYTES, FAN_IN = 8 << 20, 8192
+BLOCK_BYTES, FAN_IN = 6 << 20, 8192
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 

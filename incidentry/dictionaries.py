@@ -1,151 +1,93 @@
-"""Dictionaries as data.  Every operator takes its dictionary as an argument; these are the defaults.
+"""Default dictionaries.  Every operator takes its dictionary as an argument.
 
-Category and feature names, weights, thresholds and rule constants are fixed values of the
-data model; the word lists are compiled for this library.
+Tables of ``fixed`` are the data model's.  The terms of keyword categories and of the
+product ontology are data that the user loads (``sources.dictionaries``); the defaults here
+are made by rule from the names, with a few words of our own.
 """
 
 from __future__ import annotations
 
-#: Keyword categories in tie order: category and keywords.
-CATEGORIES: dict[str, tuple[str, ...]] = {
-    "surveillance": ("surveillance", "tracking", "monitoring", "location data", "camera", "wiretap", "stalking"),
-    "interrogation": ("interrogation", "questioning", "background check", "probe"),
-    "aggregation": ("aggregation", "profiling", "data mining", "big data"),
-    "identification": ("re-identification", "unmask", "biometric", "facial recognition", "fingerprint"),
-    "model_inversion": ("model inversion", "membership inference", "memorization"),
-    "training_data_extraction": ("training data extraction", "scraping", "copyrighted data"),
-    "synthetic_media_misuse": ("deepfake", "synthetic media", "fake voice"),
-    "provenance_failure": ("provenance", "watermark", "undisclosed ai"),
-    "insecurity": ("data breach", "breach", "hack", "ransomware", "unencrypted", "leaked", "stolen data"),
-    "secondary_use": ("secondary use", "repurpose", "without consent", "sold to third party"),
-    "exclusion": ("no access", "cannot delete", "black box", "opaque"),
-    "breach_of_confidentiality": ("breach of confidentiality", "broken trust", "leaked confidential"),
-    "disclosure": ("disclosure", "reveal", "expose", "publish"),
-    "increased_accessibility": ("posted online", "searchable", "public database"),
-    "blackmail": ("blackmail", "extortion", "ransom", "sextortion"),
-    "appropriation": ("identity theft", "impersonation", "stolen identity"),
-    "distortion": ("misinformation", "defamation", "inaccurate"),
-    "intrusion": ("intrusion", "spam", "phishing", "unsolicited"),
-    "decisional_interference": ("manipulation", "dark pattern", "forced consent", "misleading"),
-    "data_handling": ("retention policy", "never deleted", "excessive collection"),
-    "regulatory_violation": ("gdpr", "hipaa", "violation", "fine", "penalty"),
+from .fixed import (  # noqa: F401
+    BOOTSTRAP,
+    CAUSAL,
+    CHECKS,
+    DEFAULT_WEIGHT,
+    DIMENSION_WEIGHTS,
+    DIMENSIONS,
+    DISTRESS,
+    FALLBACK,
+    FRAMEWORKS,
+    HINTS,
+    JURISDICTIONS,
+    KEYWORD_GROUPS,
+    LEGACY_PARENTS,
+    MISMATCH,
+    MITIGATIONS,
+    PAIRS,
+    PARENT_PATTERNS,
+    PRINCIPLES,
+    PROTECTIVE,
+    QUESTIONS,
+    RELEVANCE,
+    RISKY,
+    SECTORS,
+    SENSITIVITY,
+    SENTIMENTS,
+    SEVERITIES,
+    SLUGS,
+    SOLOVE_WORDS,
+    TAXONOMY,
+    WEIGHTS,
+)
+
+#: Keyword categories in tie order, with words of our own beside the name.
+_OWN_WORDS: dict[str, tuple[str, ...]] = {
+    "surveillance": ("hidden microphone", "watched by", "followed around"),
+    "interrogation": ("asked under pressure", "intrusive questions"),
+    "aggregation": ("combined records", "joined databases"),
+    "identification": ("singled out", "named individuals"),
+    "model_inversion": ("reconstructed training examples",),
+    "training_data_extraction": ("regurgitated records",),
+    "synthetic_media_misuse": ("cloned voice", "forged video"),
+    "provenance_failure": ("unknown origin",),
+    "insecurity": ("ransomware", "open bucket", "weak password", "unencrypted"),
+    "secondary_use": ("used for something else", "without consent"),
+    "exclusion": ("no way to object", "black box"),
+    "breach_of_confidentiality": ("broken promise of secrecy",),
+    "disclosure": ("handed over", "made known"),
+    "increased_accessibility": ("posted online", "searchable"),
+    "blackmail": ("extortion", "ransom demand"),
+    "appropriation": ("identity theft", "impersonation"),
+    "distortion": ("inaccurate", "false claims"),
+    "intrusion": ("unsolicited", "spam"),
+    "decisional_interference": ("nudged into", "forced consent", "dark pattern"),
+    "data_handling": ("never deleted", "excessive collection"),
+    "regulatory_violation": ("fined by", "gdpr", "penalty"),
 }
+CATEGORIES: dict[str, tuple[str, ...]] = {name: (name.replace("_", " "), *words) for name, words in _OWN_WORDS.items()}
 THRESHOLD = 1.0
 
-#: Four parents and their subtypes.
-TAXONOMY: dict[str, tuple[str, ...]] = {
-    "information_collection": ("surveillance", "interrogation"),
-    "information_processing": ("aggregation", "identification", "insecurity", "secondary_use", "exclusion"),
-    "information_dissemination": ("breach_of_confidentiality", "disclosure", "exposure", "increased_accessibility", "blackmail", "appropriation", "distortion"),
-    "invasion": ("intrusion", "decisional_interference"),
-}
 SUBTYPE_PARENT = {s: p for p, subs in TAXONOMY.items() for s in subs}
+#: Parents map to themselves, subtypes and the labels of older files to their parent.
+PARENT_OF = {p: p for p in TAXONOMY} | SUBTYPE_PARENT | LEGACY_PARENTS
+#: The categories for which a cascade asks questions: all subtypes.
+CASCADE = tuple(SUBTYPE_PARENT)
 
-#: Keyword groups of the feature builder.
-KEYWORD_GROUPS: dict[str, tuple[str, ...]] = {
-    "privacy": ("privacy", "personal data", "tracking", "surveillance"),
-    "video_surveillance": ("camera", "doorbell", "webcam", "ring"),
-    "biometric": ("biometric", "fingerprint", "facial recognition"),
-    "location": ("gps", "location data", "geofence"),
-    "monetary_penalty": ("fine", "penalty", "million"),
-    "reg_enforcement": ("enforcement", "complaint", "order"),
-}
-
-#: Product features: slug, substrings, regular expression (RE2 and Java agree on it) or None.
-ONTOLOGY: tuple[tuple[str, tuple[str, ...], str | None], ...] = (
-    ("always_on_listening", ("always-on", "wake word"), r"\balways listening (mic|microphone)\b"),
-    ("webcam_access", ("webcam",), r"\bcamera (access|feed|stream)\b"),
-    ("location_tracking", ("gps tracking", "location tracking"), r"\blocation (data|history)\b"),
-    ("third_party_sharing", ("third party", "third-party"), r"\bsold to [a-z]+ part(y|ies)\b"),
-    ("biometric_collection", ("biometric", "fingerprint"), r"\bfac(e|ial) recognition\b"),
-    ("behavioral_ads", ("behavioral ads", "targeted advertising"), None),
-    ("dark_patterns", ("dark pattern",), r"\bdeceptive (design|interface)\b"),
-    ("session_replay", ("session replay",), None),
-    ("data_broker_usage", ("data broker",), None),
-    ("forced_consent", ("forced consent",), r"\bno choice\b"),
-    ("no_user_control", ("cannot delete", "no control"), None),
-    ("profiling", ("profiling",), r"\bprofil(e|es|ing) users\b"),
-    ("opaque_algorithms", ("black box", "opaque"), None),
-    ("no_encryption", ("unencrypted", "no encryption"), None),
-    ("encryption_at_rest", ("encryption at rest",), None),
-    ("end_to_end_encryption", ("end-to-end encryption",), r"\be2e encrypt(ed|ion)\b"),
-    ("data_minimization", ("data minimization",), None),
-    ("multi_factor_auth", ("mfa", "two-factor"), None),
-)
-RISKY = ("always_on_listening", "webcam_access", "location_tracking", "third_party_sharing", "biometric_collection", "behavioral_ads", "dark_patterns", "session_replay", "data_broker_usage", "forced_consent", "no_user_control", "profiling", "opaque_algorithms", "no_encryption")
-PROTECTIVE = ("encryption_at_rest", "end_to_end_encryption", "data_minimization", "multi_factor_auth")
-PAIRS = (("always_on_listening", "third_party_sharing"), ("webcam_access", "session_replay"), ("location_tracking", "behavioral_ads"), ("forced_consent", "dark_patterns"), ("profiling", "opaque_algorithms"))
-
-#: Causal patterns in order: indicator and regular expression with the cause in group 1.
-CAUSAL = (
-    ("because_of", "because of ([^.,;]+)"),
-    ("due_to", "due to ([^.,;]+)"),
-    ("caused_by", "caused by ([^.,;]+)"),
-    ("led_to", "([^.,;]+) led to"),
-    ("as_result_of", "as a result of ([^.,;]+)"),
-    ("triggered_by", "triggered by ([^.,;]+)"),
-)
 
-#: Weak supervision: one alternation for each function.
-DISTRESS = r"\b(anxious|afraid|panic|ashamed|harassed|upset|angry|worried|deleted\s+account)\b"
-MISMATCH = r"\b(unexpected|without\s+consent|repurposed|secondary\s+use|sold\s+to|not\s+disclosed)\b"
-PARENT_PATTERNS = (
-    ("information_dissemination", r"\b(leaked|exposed|published|disclosed|revealed|searchable|posted\s+online)\b"),
-    ("information_collection", r"\b(surveillance|tracking|monitoring|recorded|collected|intercepted)\b"),
-    ("information_processing", r"\b(profiling|aggregat|correlat|automated\s+decision|scoring)\b"),
-    ("invasion", r"\b(intrusi|spam|unwanted|unsolicited|manipulat|dark\s+pattern|forced)\b"),
-)
-SENSITIVITY = (
-    ("special", ("biometric", "health", "medical", "religious", "child", "social security")),
-    ("high", ("credit card", "bank account", "password", "private message", "location history")),
-    ("moderate", ("email address", "phone number", "ip address", "profile")),
-)
+def slug_terms(slug: str) -> tuple[str, tuple[str, ...], str | None]:
+    """The default entry of a slug: its words with spaces or hyphens, and turned round with ``of``."""
+    words = slug.split("_")
+    terms = (" ".join(words), "-".join(words)) if len(words) > 1 else (slug,)
+    return slug, terms, rf"\b{words[-1]} of {' '.join(words[:-1])}\b" if len(words) > 1 else None
 
-#: Context detectors, tried in order.
-JURISDICTIONS = (("UK", ("ico", "uk gdpr")), ("FR", ("cnil", "france")), ("BR", ("lgpd", "brazil")), ("ES", ("aepd", "spain")), ("CA", ("pipeda", "canada")), ("EU", ("gdpr", "edpb")))
-SECTORS = (("health", ("hospital", "medical", "patient")), ("finance", ("bank", "payment", "card")), ("smart_home", ("camera", "doorbell", "smart home")), ("children_edtech", ("school", "student")))
 
-#: Risk weights by category; unknown categories weigh DEFAULT_WEIGHT.
-WEIGHTS = {"model_inversion": 0.14, "training_data_extraction": 0.16, "synthetic_media_misuse": 0.18, "provenance_failure": 0.08, "biometric_misuse": 0.12, "inadequate_security": 0.10, "online_tracking": 0.06, "unauthorized_sharing": 0.08}
-DEFAULT_WEIGHT = 0.5
-#: Framework hints by category.
-HINTS = {
-    "model_inversion": ("NIST Protect", "Solove Identification", "Iso/IEC 27001"),
-    "training_data_extraction": ("GDPR Art. 5", "Solove Appropriation", "NIST Protect"),
-    "synthetic_media_misuse": ("Calo Dignitary Harm", "Solove Distortion", "NIST Govern"),
-    "provenance_failure": ("NIST Govern", "GDPR Art. 13-14", "EU AI Act"),
-}
-FRAMEWORKS = ("Solove", "NIST", "GDPR", "Zuboff")
-#: Dimension weights of the composite score.
-DIMENSION_WEIGHTS = (1.0, 1.3, 1.2, 1.1)
+#: Product features: slug, substrings, regular expression or None.
+ONTOLOGY: tuple[tuple[str, tuple[str, ...], str | None], ...] = tuple(slug_terms(s) for s in SLUGS)
 
-#: Mitigations by risk feature: primary, secondary, effectiveness of each kind.
-MITIGATIONS = {
-    "third_party_sharing": (("data_minimization",), ("user_consent_granular",)),
-    "location_tracking": (("local_processing",), ("data_minimization", "privacy_dashboard")),
-    "biometric_collection": (("local_processing", "encryption_at_rest"), ("user_consent_granular",)),
-    "no_encryption": (("end_to_end_encryption", "encryption_at_rest"), ()),
-    "dark_patterns": (("privacy_by_design",), ("privacy_dashboard",)),
-    "profiling": (("anonymization",), ("privacy_by_design",)),
-}
+GENERAL = "general_privacy_concern"
 DEFAULT_MITIGATION = (("privacy_by_design",), ())
 PRIMARY_EFFECT, SECONDARY_EFFECT = 0.7, 0.5
 
-#: Evaluator B: category and keywords, first wins.
-SOLOVE_WORDS = (
-    ("surveillance", ("tracking", "monitoring", "watching")),
-    ("aggregation", ("combining", "profiling", "aggregating")),
-    ("insecurity", ("breach", "leak", "unauthorized access")),
-    ("secondary_use", ("repurposing", "selling", "sharing")),
-    ("disclosure", ("revealing", "exposing", "publishing")),
-    ("intrusion", ("spam", "harassment", "unwanted")),
-    ("decisional_interference", ("manipulation", "coercion", "dark pattern")),
-)
-
-#: Relevance words and the fallback ladder (substring, label).
-RELEVANCE = ("privacy", "gdpr", "personal data", "breach", "leak", "consent", "surveillance", "tracking")
-FALLBACK = (("surveillance", "surveillance"), ("tracking", "surveillance"), ("profiling", "aggregation"), ("identif", "identification"), ("breach", "insecurity"), ("hack", "insecurity"), ("repurpose", "secondary_use"), ("blackmail", "blackmail"), ("leak", "exposure"), ("disclosure", "disclosure"), ("password", "insecurity"), ("password", "breach_of_confidentiality"), ("camera", "surveillance"), ("deepfake", "synthetic_media_misuse"), ("scraping", "aggregation"))
-
 #: Rules: id, text, jurisdictions, sectors, languages, tags, source, priority.
 RULES = tuple(
     (f"r{i:02d}", f"Rule {i}: state the purpose before collecting {what}", j, s, lang, (what,), src, p)
@@ -157,33 +99,33 @@ RULES = tuple(
         ],
         1,
     )
-)
+)
 
 SOURCES = ("regulator", "news", "breach_report", "court", "forum")
 #: Invented incident texts; chosen so that every detector has hits, misses, ties and several hits.
 PHRASES = (
-    "Hackers used ransomware and stolen data was leaked due to an unencrypted backup disk",
-    "The doorbell camera kept tracking visitors and location data was sold to third party brokers without consent",
-    "A hospital exposed medical records because of a misconfigured bucket, and patients were worried",
-    "Users faced a dark pattern with forced consent and no choice in the deceptive interface",
+    "Hackers used ransomware and stolen files were leaked due to an unencrypted backup disk",
+    "The doorbell camera kept tracking visitors and location data was sold to brokers without consent after third party sharing",
+    "A hospital exposed medical records because of an open bucket, and patients were worried",
+    "Users faced a dark pattern with forced consent and no user control in the deceptive interface of dark patterns",
     "Regulators issued a gdpr fine after a data breach was disclosed late, the ico said",
-    "Profiling users with big data in a black box model led to inaccurate scores",
-    "A deepfake with a fake voice enabled impersonation and identity theft",
-    "Spam and phishing messages, unsolicited and unwanted, made people angry",
-    "The company could not explain the provenance or watermark of undisclosed ai text",
-    "Scraping of copyrighted data raised model inversion and membership inference concerns",
+    "Profiling users with combined records in opaque algorithms led to inaccurate scores",
+    "Forged video with a cloned voice enabled impersonation and identity theft",
+    "Spam and unsolicited messages, unwanted and often harassed calls, made people angry",
+    "The company could not explain the provenance failure of text of unknown origin",
+    "Scraping raised model inversion and training data extraction concerns with regurgitated records",
     "Blackmail and extortion followed; victims were afraid and deleted account after account",
     "The bank lost credit card numbers as a result of weak password rules, a breach of confidentiality",
-    "Students found school profiles posted online in a searchable public database",
-    "Facial recognition and fingerprint scans were collected, a biometric secondary use",
-    "An interrogation with a background check and questioning preceded the probe",
-    "There is no retention policy and records were never deleted, excessive collection caused by old scripts",
-    "The webcam had camera access with session replay and always-on wake word listening",
+    "Students found school profiles posted online in a searchable table, an increased accessibility",
+    "Facial recognition and fingerprint scans were collected, a biometric secondary use and collection of biometric traits",
+    "An interrogation with intrusive questions, asked under pressure, preceded the order",
+    "There is no retention rule and records were never deleted, excessive collection caused by old scripts and default opt in",
+    "The webcam access came with session replay and always-on-listening that resulted in complaints",
     "Aggregation of dark patterns in several places did not concern anyone here",
-    "Breaches were reported, and hackathons were held in france",
-    "Opaque manipulation was triggered by misleading prompts in the smart home app",
-    "End-to-end encryption and data minimization with mfa protect the private message archive",
+    "Breaches were reported, and hackathons were held in france following long talks",
+    "Manipulation and decisional interference, triggered by misleading prompts in the smart home app, nudged into buying",
+    "End-to-end-encryption and data minimization with multi factor auth protect the private message archive",
     "A complaint and an enforcement order asked for one million in penalty payments in canada",
-    "Data broker deals with targeted advertising used gps tracking and location tracking",
+    "Data broker usage with behavioral ads used gps and location tracking, hidden data collection and no encryption",
     "The weather was calm and the meeting ended early",
 )

@@ -6,14 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import dictionaries as D
 from ..functions.text import contains_any, string_array
 
-#: Labels by any keyword, for bootstrapping; without a hit GENERAL.
-BOOTSTRAP = (("tracking", ("tracking", "surveillance")), ("breach", ("breach", "leak", "hack")), ("consent", ("consent",)), ("children", ("child", "student", "school")), ("health", ("medical", "hospital", "patient")), ("finance", ("bank", "credit card", "payment")))
-GENERAL = "general_privacy_concern"
-#: Dimensions of features: the score of a dimension is the best of its features.
-DIMENSIONS = {"pf_location_tracking": "collection", "pf_webcam_access": "collection", "pf_profiling": "processing", "pf_no_encryption": "processing", "pf_third_party_sharing": "dissemination", "pf_dark_patterns": "invasion", "pf_forced_consent": "invasion"}
-
 
 def canonical_label(label: Column) -> Column:
     """Without the ``harm_`` prefix; null for the abstention ``unknown``."""
@@ -62,8 +57,8 @@ def metric_drift(emitted: DataFrame, reference: DataFrame, tolerance: float) ->
 
 def bootstrap_labels(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*[F.when(contains_any(t, ws), F.lit(n)) for n, ws in BOOTSTRAP]))
-    return F.when(F.size(found) > 0, found).otherwise(string_array([GENERAL]))
+    found = F.array_compact(F.array(*[F.when(contains_any(t, ws), F.lit(n)) for n, ws in D.BOOTSTRAP]))
+    return F.when(F.size(found) > 0, found).otherwise(string_array([D.GENERAL]))
 
 
 def annotate_scores(scores: Column, threshold: float) -> Column:
@@ -72,10 +67,10 @@ def annotate_scores(scores: Column, threshold: float) -> Column:
     return F.struct(over.alias("harm_categories"), F.coalesce(F.array_max(F.map_values(scores)), F.lit(0.0)).alias("harm_score"))
 
 
-def dimension_scores(df: DataFrame, key: str, dimensions=DIMENSIONS) -> DataFrame:
-    """(key, dimension, score): the maximum over a dimension's features, 0 without any; one projection, no shuffle."""
+def dimension_scores(df: DataFrame, key: str, dimensions=D.DIMENSIONS) -> DataFrame:
+    """(key, dimension, score): the maximum over a dimension's features that the frame has, 0 without any; one projection, no shuffle."""
     names = sorted(set(dimensions.values()))
-    best = lambda d: F.greatest(F.lit(0.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f, x in dimensions.items() if x == d])
+    best = lambda d: F.greatest(F.lit(0.0), F.lit(0.0), *[F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) for f, x in dimensions.items() if x == d and f in df.columns])
     return df.select(key, F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), best(d).alias("score")) for d in names])).alias("x")).select(key, "x.*")
 
 

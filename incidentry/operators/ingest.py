@@ -6,30 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..dictionaries import SOURCES
+from ..dictionaries import SENTIMENTS, SEVERITIES, SOURCES
 
+#: Fixed values of P13: an e-mail address in its common form; handles and phone numbers.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 HANDLE = r"@[A-Za-z0-9_]+@[A-Za-z0-9.-]+"
 PHONE = r"(?<![0-9])(\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9])"
 
+#: Labels of a sample that are broadcast at most.
+LABELS = 1000
 
-def violations(sources=SOURCES) -> Column:
-    """Names of the rules a record breaks, in fixed order."""
-    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return F.array_compact(
-        F.array(
-            F.when(~F.coalesce(F.col("source").isin(*sources), F.lit(False)), F.lit("source")),
-            F.when(~some("type"), F.lit("type")),
-            F.when(~some("id"), F.lit("id")),
-            F.when(F.col("penalty_amount") < 0, F.lit("penalty_amount")),
-            F.when(~F.col("sentiment_score").between(-1, 1), F.lit("sentiment_score")),
-        )
-    )
+
+def violations(sources=SOURCES, columns=None) -> Column:
+    """Names of the rules a record breaks, in fixed order.
+
+    Source, type, id and raw are required; penalties are not negative, sentiments in [-1, 1],
+    harm scores (single and in a map) in [0, 1], sentiment labels and severities in their
+    sets.  ``columns``: those the records have, if not all of these.
+    """
+    has = lambda c: columns is None or c in columns
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    rules = {
+        "source": lambda c: ~F.coalesce(c.isin(*sources), F.lit(False)),
+        "type": lambda c: ~some("type"),
+        "id": lambda c: ~some("id"),
+        "raw": lambda c: ~some("raw"),
+        "penalty_amount": lambda c: c < 0,
+        "sentiment_score": lambda c: ~c.between(-1, 1),
+        "sentiment_label": lambda c: ~c.isin(*SENTIMENTS),
+        "harm_severity": lambda c: ~c.isin(*SEVERITIES),
+        "harm_score": lambda c: ~c.between(0, 1),
+        "harm_category_scores": lambda c: F.exists(F.map_values(c), lambda v: ~v.between(0, 1)),
+    }
+    return F.array_compact(F.array(*[F.when(broken(F.col(c)), F.lit(c)) for c, broken in rules.items() if has(c)]))
 
 
 def quarantine(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid with ``violations``)."""
-    checked = records.withColumn("violations", violations())
+    checked = records.withColumn("violations", violations(columns=records.columns))
     return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
 
 
@@ -45,6 +59,16 @@ def scrub(df: DataFrame, forbidden: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.when(~F.coalesce(has_pii(text(c, t)), F.lit(False)), F.col(c)).alias(c) if t == "string" or t.startswith(nested) else F.col(c) for c, t in kept])
 
 
+def leaks(df: DataFrame, forbidden: tuple[str, ...] = ()) -> DataFrame:
+    """(field, rows): forbidden columns that are there, and columns in which rows still hold an e-mail, handle or phone number; no row if clean."""
+    text = {c: F.col(c) if t == "string" else F.to_json(c) for c, t in df.dtypes if t == "string" or t.startswith(("array", "struct", "map", "variant"))}
+    n = F.count(F.lit(1))
+    found = [F.struct(F.lit(c).alias("field"), n.alias("rows")) for c in df.columns if c in forbidden]
+    found += [F.struct(F.lit(c).alias("field"), F.count_if(F.coalesce(has_pii(e), F.lit(False))).alias("rows")) for c, e in text.items() if c not in forbidden]
+    listed = F.array(*found) if found else F.array().cast("array<struct<field:string,rows:long>>")
+    return df.agg(listed.alias("x")).select(F.explode("x").alias("x")).select("x.*").where("rows > 0")
+
+
 def record_key(df: DataFrame, key: str | None = None) -> Column:
     """The key column, or the SHA-256 of the record's JSON with sorted columns."""
     whole = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
@@ -71,10 +95,14 @@ def stratified_sample(df: DataFrame, label: str, key: str, target: int, floor: i
     name = F.coalesce(F.col(label).cast("string"), F.lit("unknown"))
     sizes = df.groupBy(name.alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"))
-    want = sizes.crossJoin(F.broadcast(total)).select("_l", F.least("_n", F.greatest(F.lit(floor), F.bround(F.col("_n") / F.col("_total") * target).cast("long"))).alias("_want"))
-    order = Window.partitionBy("_l").orderBy("_h", key)
-    ranked = df.withColumn("_l", name).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "_l", F.col(key).cast("string")))).withColumn("_r", F.row_number().over(order))
-    return ranked.join(want, "_l").where(F.col("_r") <= F.col("_want")).drop("_l", "_h", "_r", "_want")
+    want = sizes.crossJoin(F.broadcast(total)).select("_l", "_n", F.least("_n", F.greatest(F.lit(floor), F.bround(F.col("_n") / F.col("_total") * target).cast("long"))).alias("_want"))
+    want = want.withColumn("_most", (F.col("_want") + 8 * F.sqrt("_want") + 64) / F.col("_n"))
+    hashed = df.withColumn("_l", name).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "_l", F.col(key).cast("string"))))
+    # Hashes are even, so the first rows of a large label lie under its share with a margin of eight deviations: only those are ranked.
+    share = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(16**12)
+    near = hashed.join(F.broadcast(want.limit(LABELS)) if want.limit(LABELS + 1).count() <= LABELS else want, "_l").where(share <= F.col("_most"))
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", key)))
+    return ranked.where(F.col("_r") <= F.col("_want")).drop("_l", "_h", "_r", "_want", "_most", "_n")
 
 
 def without_gold(train: DataFrame, gold: DataFrame, key: str = "id") -> DataFrame:

@@ -52,7 +52,15 @@ def label_records(records: DataFrame, threshold: float = D.THRESHOLD) -> DataFra
     return scored.select(*records.columns, best_category(threshold).alias("harm_category"), F.array_max("scores")["score"].alias("harm_score_kw"))
 
 
-def parent_of(label: Column, parents=D.SUBTYPE_PARENT) -> Column:
+def label_missing(records: DataFrame, overwrite: bool = False, threshold: float = D.THRESHOLD) -> DataFrame:
+    """Label records that have no ``harm_category`` yet, or all with ``overwrite``: running it again changes nothing."""
+    old = F.col("harm_category") if "harm_category" in records.columns else F.lit(None).cast("string")
+    bare = records.drop("harm_category", "harm_score_kw").withColumn("_old", old)
+    new = label_records(bare, threshold).drop("harm_score_kw")
+    return new.withColumn("harm_category", F.when(F.lit(overwrite) | F.col("_old").isNull(), F.col("harm_category")).otherwise(F.col("_old"))).drop("_old")
+
+
+def parent_of(label: Column, parents=D.PARENT_OF) -> Column:
     """The parent category; labels that have none stay."""
     m = F.create_map(*[F.lit(x) for kv in parents.items() for x in kv])
     return F.coalesce(F.try_element_at(m, label), label)
@@ -106,8 +114,7 @@ def framework_predictions(records: DataFrame) -> DataFrame:
         F.when(top["n"] >= 3, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
         F.when(top["n"] >= 3, F.lit(0.9)).when(top["n"] >= 2, F.lit(0.7)).otherwise(F.lit(0.5)).alias("confidence"),
     )
-    principles = (("consent", "without permission"), ("unnecessary", "excessive"), ("breach", "unauthorized"), ("opaque", "hidden"))
-    n = sum((contains_any(t, p).cast("int") for p in principles), F.lit(0))
+    n = sum((contains_any(t, p).cast("int") for p in D.PRINCIPLES), F.lit(0))
     c = F.struct(
         F.lit("C").alias("framework"),
         F.when(n > 0, F.lit("regulatory_violation")).otherwise(F.lit("data_handling")).alias("harm"),

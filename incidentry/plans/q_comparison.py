@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import dictionaries as D
 from ..operators import comparison as C
 from ..operators import evaluation as E
 from ..operators import features as X
@@ -69,7 +70,7 @@ def fs15_bootstrap_labels(spark, sf):
 
 
 _BOOT = f"""WITH {INCIDENTS}, t AS (SELECT doc_id, lower(coalesce(description, '')) AS t FROM incidents)
-SELECT doc_id, coalesce(nullif(concat_ws(',', {", ".join(f"CASE WHEN {_any('t', ws)} THEN '{n}' END" for n, ws in C.BOOTSTRAP)}), ''), '{C.GENERAL}') AS labels FROM t"""
+SELECT doc_id, coalesce(nullif(concat_ws(',', {", ".join(f"CASE WHEN {_any('t', ws)} THEN '{n}' END" for n, ws in D.BOOTSTRAP)}), ''), '{D.GENERAL}') AS labels FROM t"""
 
 
 def fs16_annotate_scores(spark, sf):
@@ -88,8 +89,9 @@ def a23_dimension_scores(spark, sf):
     return C.dimension_scores(X.build_features(incidents(spark, sf)), "doc_id")
 
 
-_DIMENSIONS = f"""WITH {INCIDENTS}, {FEATURES}, d(f, dimension) AS (VALUES {", ".join(f"('{f[3:]}', '{d}')" for f, d in C.DIMENSIONS.items())})
-SELECT doc_id, dimension, max(CASE WHEN list_contains(pf, f) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM fr, d GROUP BY doc_id, dimension"""
+_HELD = {f: d for f, d in D.DIMENSIONS.items() if f == "penalty_amount" or f == "sentiment_score" or f[3:] in D.KEYWORD_GROUPS}
+_BEST = lambda d: ", ".join(f"coalesce({f}::DOUBLE, 0)" if f in ("penalty_amount", "sentiment_score") else f"CASE WHEN {_any('t', D.KEYWORD_GROUPS[f[3:]])} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for f, x in _HELD.items() if x == d)
+_DIMENSIONS = f"WITH {INCIDENTS}, {FEATURES} " + " UNION ALL ".join(f"SELECT doc_id, '{d}' AS dimension, greatest(0.0::DOUBLE{', ' if _BEST(d) else ''}{_BEST(d)}) AS score FROM fr" for d in sorted(set(D.DIMENSIONS.values())))
 
 
 def p18_expected_harms(spark, sf):

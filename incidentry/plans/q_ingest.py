@@ -19,16 +19,20 @@ from .views import GOLD, INCIDENTS, gold, incidents, table
 
 
 def _scratch(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def p1_validation(spark, sf):
-    return incidents(spark, sf).select("doc_id", F.concat_ws(",", I.violations()).alias("violations"))
+    return incidents(spark, sf).select("doc_id", F.concat_ws(",", I.violations(columns=incidents(spark, sf).columns)).alias("violations"))
 
 
-_VALID_SQL = f"""WITH {INCIDENTS} SELECT doc_id, concat_ws(',', CASE WHEN source NOT IN ({", ".join(f"'{s}'" for s in D.SOURCES)}) THEN 'source' END, CASE WHEN penalty_amount < 0 THEN 'penalty_amount' END,
-  CASE WHEN NOT sentiment_score BETWEEN -1 AND 1 THEN 'sentiment_score' END) AS violations FROM incidents"""
+_VALID_SQL = f"""WITH {INCIDENTS} SELECT doc_id, concat_ws(',', CASE WHEN source NOT IN ({", ".join(f"'{s}'" for s in D.SOURCES)}) THEN 'source' END, CASE WHEN coalesce(raw, '') = '' THEN 'raw' END, CASE WHEN penalty_amount < 0 THEN 'penalty_amount' END,
+  CASE WHEN NOT sentiment_score BETWEEN -1 AND 1 THEN 'sentiment_score' END, CASE WHEN sentiment_label NOT IN ('positive', 'negative', 'neutral') THEN 'sentiment_label' END, CASE WHEN harm_severity NOT IN ('low', 'medium', 'high', 'critical') THEN 'harm_severity' END) AS violations FROM incidents"""
 
 
 def p13_scrub(spark, sf):
@@ -77,7 +81,8 @@ def j6_without_gold(spark, sf):
 
 
 def p15_small_rows(spark, sf):
-    return I.small_rows(table(spark, sf, "documents").select("doc_id", "lang", F.substring("text", 1, 300).alias("n"), "n_chars").select("doc_id", "n_chars"), 30)
+    """Documents whose whole row, as JSON, has at most 5000 characters; JSON escapes differ between engines, so there is no SQL."""
+    return I.small_rows(table(spark, sf, "documents")).select("doc_id", "n_chars")
 
 
 def u1_merge_sources(spark, sf):
@@ -137,10 +142,10 @@ _STREAM_SQL = """SELECT min(event_id) AS event_id, event_type, CAST(user_id AS V
 def t3_stream_confidence(spark, sf):
     """Running confidence of event types as a stream; the final table."""
     s = _events_stream(spark, sf).withColumn("ok", (F.col("value") > 50).cast("int"))
-    name = f"confidence_{uuid.uuid4().hex[:8]}"
-    q = jobs.running_confidence(s, "event_type", "ok").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_scratch(spark)}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    root = _scratch(spark)
+    totals = jobs.running_confidence(s, "event_type", "ok").writeStream.outputMode("complete").option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
+    totals.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
 
 
 _TCONF_SQL = """WITH d AS (SELECT event_type, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN value > 50 THEN 0 ELSE 1 END)::DOUBLE AS b FROM events GROUP BY 1)
@@ -153,7 +158,6 @@ ORACLE_SQL = {
     "k2_dedup_ingest": _DEDUP_SQL,
     "w3_stratified_sample": _SAMPLE_SQL,
     "j6_without_gold": f"WITH {GOLD} SELECT doc_id, source FROM incidents WHERE doc_id NOT IN (SELECT doc_id FROM gold WHERE reviewed)",
-    "p15_small_rows": """SELECT doc_id, n_chars FROM documents WHERE length('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}') <= 30""",
     "u1_merge_sources": _MERGE_SQL,
     "a3_label_frequency": _FREQ_SQL,
     "s6_feature_join": _FJOIN_SQL,

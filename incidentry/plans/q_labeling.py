@@ -78,7 +78,7 @@ def _frameworks_cte(source: str) -> str:
     rows = sql_values((h, i, w) for i, (h, ws) in enumerate(D.SOLOVE_WORDS) for w in ws)
     b = f"""SELECT doc_id, 'B' AS framework, CASE WHEN n > 0 THEN h ELSE 'regulatory_violation' END AS harm, CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN n >= 3 THEN 0.9::DOUBLE WHEN n >= 2 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence
 FROM (SELECT doc_id, h, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) AS r FROM (SELECT doc_id, h, o, count(*) FILTER (contains(t, w)) AS n FROM ft, ({rows}) v(h, o, w) GROUP BY doc_id, h, o)) WHERE r = 1"""
-    n = " + ".join(f"(CASE WHEN {_any('t', p)} THEN 1 ELSE 0 END)" for p in (("consent", "without permission"), ("unnecessary", "excessive"), ("breach", "unauthorized"), ("opaque", "hidden")))
+    n = " + ".join(f"(CASE WHEN {_any('t', p)} THEN 1 ELSE 0 END)" for p in D.PRINCIPLES)
     c = f"SELECT doc_id, 'C' AS framework, CASE WHEN n > 0 THEN 'regulatory_violation' ELSE 'data_handling' END AS harm, CASE WHEN n >= 3 THEN 'critical' WHEN n >= 2 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN n >= 3 THEN 0.85::DOUBLE WHEN n >= 2 THEN 0.75::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM (SELECT doc_id, {n} AS n FROM ft)"
     return f"{t}, fw AS ({a} UNION ALL {b} UNION ALL {c})"
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dictionaries import PHRASES, SOURCES, SUBTYPE_PARENT
+from ..dictionaries import PARENT_OF, PHRASES, SOURCES
 
 HARMS = ("surveillance", "insecurity", "disclosure", "intrusion", "aggregation", "exposure", "regulatory_violation")
 INDIVIDUALS = ("0", None, "1000", "12,000", "3", "-5")
 USERS = ("250", None, "0", "17")
+SENTIMENT_LABELS = ("positive", None, "negative", "mixed", "neutral")
+SEVERITY = ("low", "severe", None, "critical")
 DATES = ("09/01/2025", "2025-9-1", "2025-09-01T10:11:12Z", "#1695000000", "9999-99-99", "soon", None)
 
 
@@ -42,6 +44,9 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 3 != 2, F.lit("en")).alias("language"),
         F.when(i % 5 != 0, _pick(PHRASES, i * 5 + 1)).alias("raw_title"),
         F.when(i % 5 != 1, _pick(PHRASES, i * 11 + 2)).alias("raw_body"),
+        F.when(i % 31 != 0, F.lit("{}")).alias("raw"),
+        _pick(SENTIMENT_LABELS, i).alias("sentiment_label"),
+        _pick(SEVERITY, i).alias("harm_severity"),
     )
 
 
@@ -73,7 +78,7 @@ def sql_values(rows) -> str:
 INCIDENTS = f"""incidents AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS id,
     CASE WHEN doc_id % 97 = 0 THEN 'unknown feed' ELSE {_sql_pick(SOURCES, "doc_id")} END AS source, 'incident' AS type,
-    CASE WHEN doc_id % 53 <> 0 THEN {_sql_pick(PHRASES, "doc_id")} || '. ' || substr(text, 1, 400) END AS description,
+    CASE WHEN doc_id % 53 <> 0 THEN {_sql_pick(PHRASES, "doc_id")} || '. ' || text END AS description,
     CASE WHEN doc_id % 11 <> 0 THEN {_sql_pick(PHRASES, "doc_id * 7 + 3")} END AS harm_summary,
     {_sql_pick(INDIVIDUALS, "doc_id")} AS individuals_affected, {_sql_pick(USERS, "doc_id")} AS num_users,
     CASE WHEN doc_id % 89 = 0 THEN -1.0::DOUBLE ELSE (doc_id % 7 * 1000)::DOUBLE END AS penalty_amount,
@@ -83,7 +88,8 @@ INCIDENTS = f"""incidents AS (
     CASE doc_id % 3 WHEN 1 THEN 'finance' WHEN 2 THEN 'health' END AS sector,
     CASE WHEN doc_id % 3 <> 2 THEN 'en' END AS language,
     CASE WHEN doc_id % 5 <> 0 THEN {_sql_pick(PHRASES, "doc_id * 5 + 1")} END AS raw_title,
-    CASE WHEN doc_id % 5 <> 1 THEN {_sql_pick(PHRASES, "doc_id * 11 + 2")} END AS raw_body
+    CASE WHEN doc_id % 5 <> 1 THEN {_sql_pick(PHRASES, "doc_id * 11 + 2")} END AS raw_body,
+    CASE WHEN doc_id % 31 <> 0 THEN '{{}}' END AS raw, {_sql_pick(SENTIMENT_LABELS, "doc_id")} AS sentiment_label, {_sql_pick(SEVERITY, "doc_id")} AS harm_severity
   FROM documents
 )"""
 GOLD = f"""{INCIDENTS}, gold AS (
@@ -93,4 +99,4 @@ GOLD = f"""{INCIDENTS}, gold AS (
     i.doc_id % 5 + 1 AS harm_score, quality = 1 AS reviewed, toxic = 1 AS needs_review, i.doc_id % 6 = 0 AS manually_edited
   FROM incidents i JOIN labels l ON i.doc_id = l.doc_id
 )"""
-PARENTS = f"parents(subtype, parent) AS ({sql_values(SUBTYPE_PARENT.items())})"
+PARENTS = f"parents(subtype, parent) AS ({sql_values(PARENT_OF.items())})"

@@ -50,6 +50,29 @@ def scan_rules(spark: SparkSession, path: str) -> DataFrame:
     return head.select("set", "version", text.alias("text"), listed("jurisdictions", "countries").alias("jurisdictions"), listed("sectors").alias("sectors"), listed("languages").alias("languages"), listed("tags").alias("tags"), F.coalesce(F.try_variant_get("r", "$.priority", "double"), F.lit(1.0)).alias("priority"))
 
 
+def scan_rule_set(spark: SparkSession, folder: str, name: str, version: str) -> DataFrame:
+    """The rules of ``<name>.v<version>.json`` in a folder; no rules where there is no such file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.v{version}.json")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    none = "set string, version string, text string, jurisdictions array<string>, sectors array<string>, languages array<string>, tags array<string>, priority double"
+    return scan_rules(spark, path.toString()) if there else spark.createDataFrame([], none)
+
+
+def scan_features(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines as a wide frame over the union of all keys; malformed lines are skipped."""
+    return spark.read.option("mode", "DROPMALFORMED").json(path)
+
+
+def scan_gold(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None) -> DataFrame:
+    """Gold cases with the length of their description, 0 without one."""
+    return scan_jsonl(spark, path, schema, limit).withColumn("description_length", F.length(F.coalesce("description", F.lit(""))))
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Lines that are not blank."""
+    return spark.read.text(path).where(F.trim("value") != "").count()
+
+
 def scan_jdbc(spark: SparkSession, url: str, query: str, options: dict[str, str] | None = None) -> DataFrame:
     """A query over JDBC; give partitionColumn and bounds in ``options`` to read in parallel."""
     return spark.read.format("jdbc").options(url=url, query=query, **(options or {})).load()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.evaluation import confidence
+from ..operators.features import build_features
 from ..operators.ingest import dedup_append
+from ..operators.labeling import label_records
 
 
 def dedup_ingest(stream: DataFrame, index_path: str, out_path: str, checkpoint: str, source: str, order: str, key: str | None = None) -> StreamingQuery:
@@ -33,6 +35,12 @@ def dedup_ingest(stream: DataFrame, index_path: str, out_path: str, checkpoint:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def enrich(stream: DataFrame) -> DataFrame:
+    """Labels and features of arriving records: the columns of the batch operators, one record at a time, without state."""
+    labelled = label_records(stream)
+    return build_features(labelled)
+
+
 def dedup_within_watermark(stream: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """Bounded state: repeats are dropped while their first row is within ``delay``."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

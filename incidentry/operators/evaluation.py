@@ -7,11 +7,18 @@ values squared), never on pairs of rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: The distribution function of Poisson(1), and the count up to which its draws are summed.
+POISSON_1 = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+EXACT_DRAWS = 40
+
+
 def multi_label(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """One row: n, jaccard, instance_f1, micro_f1, macro_f1, hamming, emr of two label-set columns.
 
@@ -158,9 +165,11 @@ def bootstrap_interval(df: DataFrame, value: str, replicates: int = 200, level:
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed + salt), "v", "rep"), F.lit(2**31)) + 0.5) / F.lit(2.0**31)
-    # Poisson(c) by its normal approximation for counted values; rounded at 0.
+    # Poisson(c) for few equal values as the sum of c Poisson(1) draws, for many by its normal approximation.
+    draw = lambda i: F.size(F.filter(F.array(*[F.lit(x) for x in POISSON_1]), lambda x: (F.pmod(F.xxhash64(F.lit(seed), "v", "rep", i), F.lit(2**31)) + 0.5) / F.lit(2.0**31) > x))
     normal = F.sqrt(-2 * F.log(u(0))) * F.cos(u(1) * 6.283185307179586)
-    weight = F.greatest(F.lit(0.0), F.round(F.col("c") + normal * F.sqrt("c")))
+    few = F.aggregate(F.sequence(F.lit(1), F.least("c", F.lit(EXACT_DRAWS)).cast("int")), F.lit(0), lambda a, i: a + draw(i)).cast("double")
+    weight = F.when(F.col("c") <= EXACT_DRAWS, few).otherwise(F.greatest(F.lit(0.0), F.round(F.col("c") + normal * F.sqrt("c"))))
     reps = counted.select("v", "c", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", weight)
     means = reps.groupBy("rep").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1.0))).alias("m"))
     cut = (1 - level) / 2

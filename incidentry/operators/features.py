@@ -15,6 +15,10 @@ from ..functions.text import assemble, contains_any, first_match, string_array
 BROADCAST_ROWS = 10_000
 
 
+#: How a causal pattern starts whose cause stands before its words.
+CLAUSE = "([^.,;]+)"
+
+
 def product_features(text: Column, ontology=D.ONTOLOGY) -> Column:
     """Slugs found in lower-cased text, in ontology order; substrings are tried before the regular expression."""
     found = []
@@ -55,12 +59,33 @@ def build_features(records: DataFrame) -> DataFrame:
     return base.withColumns(cols).drop("_t")
 
 
+def annotate(records: DataFrame, fields: tuple[str, ...] = ("description", "harm_summary", "raw_body")) -> DataFrame:
+    """Product features again, from other fields: they replace the old ones where those fields hold text.
+
+    Adds ``root_cause_features`` where there are any, and ``causal`` phrases where any are
+    found, else null.
+    """
+    text = F.lower(assemble(*[F.col(f) for f in fields]))
+    base = records.withColumn("_t", text).withColumn("_pf", product_features(F.col("_t")))
+    old = F.col("product_features") if "product_features" in records.columns else F.array().cast("array<string>")
+    found = F.when(F.col("_t") != "", F.col("_pf")).otherwise(old)
+    causes = causal_phrases(F.col("_t"))
+    return base.withColumns({"product_features": found, "root_cause_features": F.when(F.size(found) > 0, found), "causal": F.when(F.size(causes["causes"]) > 0, causes)}).drop("_t", "_pf")
+
+
 def causal_phrases(text: Column, patterns=D.CAUSAL, most: int = 10) -> Column:
     """Struct (indicators: sorted set, causes: the first ``most`` in pattern order) of causes of 6 to 199 characters."""
     t = F.lower(F.coalesce(text, F.lit("")))
 
+    def causes(pattern: str) -> Column:
+        if not pattern.startswith(CLAUSE):
+            return F.regexp_extract_all(t, F.lit(pattern), 1)
+        # A pattern that starts with a clause is tried once in each, not at each of its characters.
+        tail = pattern[len(CLAUSE) :]
+        return F.transform(F.filter(F.split(t, "[.,;]"), lambda c: F.contains(c, F.lit(tail))), lambda c: F.regexp_extract(c, "(?s)^(.+)" + tail, 1))
+
     def found(name: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), lambda c: F.struct(F.lit(name).alias("n"), F.trim(c).alias("c")))
+        return F.transform(causes(pattern), lambda c: F.struct(F.lit(name).alias("n"), F.trim(c).alias("c")))
 
     each = [found(n, p) for n, p in patterns]
     kept = F.filter(F.flatten(F.array(*each)), lambda x: (F.length(x["c"]) > 5) & (F.length(x["c"]) < 200))

@@ -55,7 +55,7 @@ def label_records(records: DataFrame, threshold: float = D.THRESHOLD) -> DataFra
 def label_missing(records: DataFrame, overwrite: bool = False, threshold: float = D.THRESHOLD) -> DataFrame:
     """Label records that have no ``harm_category`` yet, or all with ``overwrite``: running it again changes nothing."""
     old = F.col("harm_category") if "harm_category" in records.columns else F.lit(None).cast("string")
-    bare = records.drop("harm_category", "harm_score_kw").withColumn("_old", old)
+    bare = records.withColumn("_old", old).drop("harm_category", "harm_score_kw")
     new = label_records(bare, threshold).drop("harm_score_kw")
     return new.withColumn("harm_category", F.when(F.lit(overwrite) | F.col("_old").isNull(), F.col("harm_category")).otherwise(F.col("_old"))).drop("_old")
 

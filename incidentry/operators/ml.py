@@ -7,6 +7,7 @@ a matrix of the size of the features, or counts of feature pairs; never rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .evaluation import classification_report
 from .ingest import fold
 
 
@@ -295,3 +297,80 @@ def contributions(df: DataFrame, weights: list[tuple[str, float]], key: str) ->
     means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f, _ in weights])
     each = F.array(*[F.struct(F.lit(f).alias("feature"), ((F.col(f) - F.col(f"_m_{f}")) * w).alias("contribution")) for f, w in weights])
     return df.join(F.broadcast(means), F.lit(True)).select(key, F.explode(each).alias("x")).select(key, "x.*")
+
+
+def evaluate_fitted(fitted: Fitted, test: DataFrame, label: str) -> dict[str, float]:
+    """Accuracy and macro precision, recall and F1 on test rows, and of a tree its depth and leaves."""
+    report = {r["label"]: r for r in classification_report(fitted.predict(test), label, "predicted").collect()}  # one row a label
+    macro = report["macro avg"]
+    out = {"accuracy": report["accuracy"]["f1"], "macro_precision": macro["precision"], "macro_recall": macro["recall"], "macro_f1": macro["f1"]}
+    last = fitted.model.stages[-1]
+    if hasattr(last, "depth"):
+        out |= {"depth": float(last.depth), "leaves": float((last.numNodes + 1) // 2)}
+    return {k: float(v) if v is not None else 0.0 for k, v in out.items()}
+
+
+def importances(fitted: Fitted) -> list[tuple[str, float]]:
+    """(feature, importance) of a tree or boosted model, greatest first."""
+    w = fitted.model.stages[-1].featureImportances.toArray()
+    return sorted(((c, float(x)) for c, x in zip(fitted.columns, w, strict=True)), key=lambda x: (-x[1], x[0]))
+
+
+def sentiment_model(df: DataFrame, columns: list[str], score: str, key: str, positive: bool = False) -> dict:
+    """Root causes of negative scores, or with ``positive`` what goes with positive ones.
+
+    A linear model's directions and the rules of a tree of depth 3, learnt on 75 % of the
+    rows.  Fewer than four rows, one class, or a class of fewer than two rows give
+    ``{"status": ...}`` alone.
+    """
+    s = F.coalesce(F.col(score), F.lit(0.0))
+    d = df.withColumn("_target", ((s > 0) if positive else (s < 0)).cast("int").cast("string"))
+    n = {r["_target"]: r["n"] for r in d.groupBy("_target").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if sum(n.values()) < 4:
+        return {"status": "skipped: fewer than four rows"}
+    if len(n) < 2:
+        return {"status": "skipped: one class"}
+    if min(n.values()) < 2:
+        return {"status": "skipped: a class of one row"}
+    train, test = split(d, key, 25)
+    if train.select("_target").distinct().count() < 2:
+        train = d
+    linear, tree = fit_classifier(train, columns, "_target", "linear"), fit_classifier(train, columns, "_target", "tree", depth=3)
+    kind = F.when(~F.col("feature").startswith("pf_"), F.lit(None).cast("string")).when(F.col("weight") > 0, "protective" if positive else "risk_marker").otherwise("risk_marker" if positive else "protective")
+    return {
+        "status": "fitted",
+        "directions": directionality(coefficients(linear), d).withColumn("kind", kind),
+        "rules": tree_rules(tree, train, "_target"),
+        "metrics": {f"linear_{k}": v for k, v in evaluate_fitted(linear, test, "_target").items()} | {f"tree_{k}": v for k, v in evaluate_fitted(tree, test, "_target").items()},
+    }
+
+
+def evaluate_models(runners: dict[str, Fitted], df: DataFrame, label: str, heuristic: Column | None = None) -> DataFrame:
+    """(runner, label, precision, recall, f1, support) of saved models, and of a heuristic label, on one dataset."""
+    reports = [classification_report(m.predict(df), label, "predicted").select(F.lit(name).alias("runner"), "*") for name, m in sorted(runners.items())]
+    if heuristic is not None:
+        reports.append(classification_report(df.withColumn("_h", heuristic), label, "_h").select(F.lit("heuristic").alias("runner"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), reports)
+
+
+def sampled_shapley(df: DataFrame, fitted: Fitted, key: str, permutations: int = 8, seed: int = 5) -> DataFrame:
+    """(key, feature, contribution) for any fitted model, by sampled permutations.
+
+    A row walks from the features' means to its own values, one feature a step in a random
+    order; a step's change of the probability of the last label is the feature's part.  Parts
+    add up to the distance from the mean row.  Rows grow by permutations times steps.
+    """
+    cols, d = fitted.columns, len(fitted.columns)
+    rng = np.random.default_rng(seed)
+    orders = [rng.permutation(d).tolist() for _ in range(permutations)]
+    place = [[o.index(i) for i in range(d)] for o in orders]
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in cols])
+    grid = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p in range(permutations) for s in range(d + 1)])
+    walk = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).join(F.broadcast(means), F.lit(True)).withColumn("_x", F.explode(grid))
+    at = lambda i: F.element_at(F.array(*[F.lit(place[p][i]) for p in range(permutations)]), F.col("_x.p") + 1)
+    mixed = walk.select(key, "_x", *[F.when(at(i) < F.col("_x.s"), F.col(c)).otherwise(F.col(f"_m_{c}")).alias(c) for i, c in enumerate(cols)])
+    scored = fitted.model.transform(mixed).select(key, F.col("_x.p").alias("p"), F.col("_x.s").alias("s"), F.element_at(vector_to_array("probability"), -1).alias("f"))
+    step = Window.partitionBy(key, "p").orderBy("s")
+    moved = F.element_at(F.array(*[F.array(*[F.lit(cols[i]) for i in o]) for o in orders]), F.col("p") + 1)
+    parts = scored.withColumn("part", F.col("f") - F.lag("f").over(step)).where("s > 0").select(key, F.element_at(moved, F.col("s")).alias("feature"), "part")
+    return parts.groupBy(key, "feature").agg(F.avg("part").alias("contribution"))

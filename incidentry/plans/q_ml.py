@@ -89,8 +89,8 @@ def m10_calibrated_weights(spark, sf):
 
 
 def m11_network(spark, sf):
-    d = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).cast("string").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)]).where("e0 is not null")
-    return M.fit_classifier(d, [f"e{i}" for i in range(8)], "y", "network", hidden=8, rounds=15).predict(d).select("vec_id", "y", "predicted", "probability")
+    d = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).cast("string").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)]).where("e0 is not null")
+    return M.fit_classifier(d, [f"e{i}" for i in range(64)], "y", "network", hidden=100, rounds=30).predict(d).select("vec_id", "y", "predicted", "probability")
 
 
 def m12_reconstruction(spark, sf):

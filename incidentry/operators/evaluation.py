@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,8 @@ from pyspark.sql.window import Window
 #: The distribution function of Poisson(1), and the count up to which its draws are summed.
 POISSON_1 = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 EXACT_DRAWS = 40
+#: The number of differences up to which the signed-rank distribution is exact.
+EXACT_PAIRS = 25
 
 
 def multi_label(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -77,10 +80,11 @@ def ranking(df: DataFrame, truth: str, pred: str, k: int = 5) -> DataFrame:
 
 
 def ordinal(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """One row: n, qwk, spearman, kendall, accuracy of two ordinal columns.
+    """One row: n, qwk, lwk, kappa, spearman, kendall, accuracy of two ordinal columns.
 
-    Kappa's weights use the places of the values among all values of both raters.  An
-    undefined kappa is 1 if the raters agree everywhere, else 0; undefined correlations are 0.
+    The quadratic (qwk) and linear (lwk) weights use the places of the values among all values
+    of both raters; kappa is unweighted.  An undefined kappa is 1 if the raters agree
+    everywhere, else 0; undefined correlations are 0.
     """
     cells = df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     values = cells.select(F.col("t").alias("v")).union(cells.select("p")).distinct()
@@ -96,6 +100,7 @@ def ordinal(df: DataFrame, truth: str, pred: str) -> DataFrame:
     one = c.agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * (F.col("ti") - F.col("pi")) * (F.col("ti") - F.col("pi"))).alias("seen"),
+        F.sum(F.col("n") * F.abs(F.col("ti") - F.col("pi"))).alias("seen_l"),
         F.sum((F.col("t") == F.col("p")).cast("int") * F.col("n")).alias("same"),
         F.sum(F.col("n") * F.col("tr") * F.col("pr")).alias("xy"),
         F.sum(F.col("n") * F.col("tr")).alias("x"),
@@ -106,7 +111,8 @@ def ordinal(df: DataFrame, truth: str, pred: str) -> DataFrame:
     # All values squared at most, whatever the rows.
     index_of = lambda f: f.join(F.broadcast(place), "v")
     ti, pi = index_of(t).select(F.col("m").alias("a"), F.col("i").alias("ai")), index_of(p).select(F.col("m").alias("b"), F.col("i").alias("bi"))
-    chance = ti.crossJoin(F.broadcast(pi)).agg(F.sum(F.col("a") * F.col("b") * (F.col("ai") - F.col("bi")) * (F.col("ai") - F.col("bi"))).alias("chance"))
+    both, gap = F.col("a") * F.col("b"), F.col("ai") - F.col("bi")
+    chance = ti.crossJoin(F.broadcast(pi)).agg(F.sum(both * gap * gap).alias("chance"), F.sum(both * F.abs(gap)).alias("chance_l"), F.sum(both * (gap != 0).cast("int")).alias("chance_n"))
     l, r = cells.alias("l"), F.broadcast(cells).alias("r")
     sign = F.signum((F.col("l.t") - F.col("r.t")).cast("double")) * F.signum((F.col("l.p") - F.col("r.p")).cast("double"))
     pairs = l.crossJoin(r).agg(F.sum(sign * F.col("l.n") * F.col("r.n")).alias("s"))
@@ -114,10 +120,13 @@ def ordinal(df: DataFrame, truth: str, pred: str) -> DataFrame:
     f = one.crossJoin(chance).crossJoin(pairs).crossJoin(ties)
     n = F.col("n")
     var = (n * F.col("xx") - F.col("x") * F.col("x")) * (n * F.col("yy") - F.col("y") * F.col("y"))
+    kappa = lambda seen, by_chance: F.when(by_chance > 0, 1 - seen * n / by_chance).otherwise(F.when(F.col("same") == n, 1.0).otherwise(0.0))
     open_t, open_p = n * (n - 1) - F.col("tt"), n * (n - 1) - F.col("pt")
     return f.select(
         n.cast("long").alias("n"),
-        F.when(F.col("chance") > 0, 1 - F.col("seen") * n / F.col("chance")).otherwise(F.when(F.col("same") == n, 1.0).otherwise(0.0)).alias("qwk"),
+        kappa(F.col("seen"), F.col("chance")).alias("qwk"),
+        kappa(F.col("seen_l"), F.col("chance_l")).alias("lwk"),
+        kappa(n - F.col("same"), F.col("chance_n")).alias("kappa"),
         F.when(var > 0, (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(var)).otherwise(0.0).alias("spearman"),
         F.when((open_t > 0) & (open_p > 0), F.col("s") / F.sqrt(open_t.cast("double") * open_p)).otherwise(0.0).alias("kendall"),
         (F.col("same") / n).alias("accuracy"),
@@ -194,6 +203,61 @@ def cliffs_delta(df: DataFrame, group: str, value: str) -> DataFrame:
     return diff.join(F.broadcast(sizes), "g").select(F.col("g").alias("a"), F.col("h").alias("b"), (F.col("d") / (F.col("n") * F.col("nh"))).alias("delta"), (F.col("mean") - F.col("mh")).alias("mean_diff"))
 
 
+def signed_rank(df: DataFrame, key: str, group: str, value: str, level: float = 0.05) -> DataFrame:
+    """(a, b, n, w, z, p, alpha, significant) for each pair of groups, paired by key.
+
+    Repeated values of a key in a group are averaged; rows with a null key, group or value and
+    zero differences take no part.  w sums the ranks (ties share their mean) of keys where a is
+    above b; z is its normal score without continuity correction; p is two-sided, exact up to EXACT_PAIRS differences and
+    normal beyond.  alpha is the level over the number of pairs (Bonferroni).  Where all
+    differences are zero, n and w are 0, z and p null and significant false.
+    """
+    cells = df.where(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(group).alias("g")).agg(F.avg(value).alias("v"))
+    # Groups meet per key in one array: no self-join, and a key's array is as long as the groups are many.
+    pair = F.flatten(F.transform("gs", lambda x: F.transform(F.filter("gs", lambda y: x["g"] < y["g"]), lambda y: F.struct(x["g"].alias("a"), y["g"].alias("b"), (x["v"] - y["v"]).alias("d")))))
+    diffs = cells.groupBy("k").agg(F.collect_list(F.struct("g", "v")).alias("gs")).select(F.explode(pair).alias("x")).select("x.*")
+    sizes = diffs.groupBy("a", "b", F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("d") > 0).cast("int")).alias("up"))
+    upto = Window.partitionBy("a", "b").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    used = F.when(F.col("size") > 0, F.col("m")).otherwise(0)
+    ranked = sizes.withColumn("m", used).withColumn("r", F.sum("m").over(upto) - (F.col("m") - 1) / 2.0)
+    sums = ranked.groupBy("a", "b").agg(
+        F.sum("m").alias("n"),
+        F.sum(F.col("r") * F.when(F.col("m") > 0, F.col("up")).otherwise(0)).alias("w"),
+        F.sum(F.col("m").cast("double") * F.col("m") * F.col("m") - F.col("m")).alias("ties"),
+        # Only pairs of few differences keep their ranks: at most EXACT_PAIRS entries are read.
+        F.collect_list(F.when((F.col("m") > 0) & (F.col("r") + (F.col("m") - 1) / 2.0 <= EXACT_PAIRS), F.struct("r", "m"))).alias("ranks"),
+    )
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    z = F.when(var > 0, (F.col("w") - n * (n + 1) / 4) / F.sqrt(var))
+    out = sums.withColumn("z", z).withColumn("p", _signed_rank_p("n", "w", "z", F.flatten(F.transform("ranks", lambda x: F.array_repeat(x["r"], x["m"].cast("int"))))))
+    alpha = out.agg((F.lit(level) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("alpha"))
+    return out.crossJoin(F.broadcast(alpha)).select("a", "b", "n", "w", "z", "p", "alpha", F.coalesce(F.col("p") < F.col("alpha"), F.lit(False)).alias("significant"))
+
+
+def _signed_rank_p(n, w, z, ranks) -> Column:
+    few = EXACT_PAIRS
+
+    @F.pandas_udf("double")
+    def p_value(n: pd.Series, w: pd.Series, z: pd.Series, ranks: pd.Series) -> pd.Series:
+        def one(n, w, z, ranks):
+            if n == 0:
+                return None
+            if n > few:
+                return math.erfc(abs(z) / math.sqrt(2))
+            # Sums of doubled ranks over all sign patterns.
+            ways = {0: 1}
+            for r in (round(2 * x) for x in ranks):
+                ways = {s: ways.get(s, 0) + ways.get(s - r, 0) for s in set(ways) | {s + r for s in ways}}
+            total, at = sum(ways.values()), round(2 * w)
+            tail = min(sum(c for s, c in ways.items() if s <= at), sum(c for s, c in ways.items() if s >= at))
+            return min(1.0, 2 * tail / total)
+
+        return pd.Series([one(*r) for r in zip(n, w, z, ranks, strict=True)], dtype="float64")
+
+    return p_value(n, w, z, ranks)
+
+
 def confidence(alpha: Column, beta: Column) -> Column:
     """Beta(1, 1) posterior mean damped by the number of trials, four decimals; 0 without trials."""
     n = alpha + beta

@@ -54,10 +54,12 @@ def a9_ordinal(spark, sf):
 _ORDINAL_SQL = _ARM_SQL + """, v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT s AS v FROM x UNION SELECT DISTINCT q FROM x)),
 y AS (SELECT x.s, x.q, a.i AS si, b.i AS qi FROM x JOIN v a ON a.v = x.s JOIN v b ON b.v = x.q),
 n AS (SELECT count(*)::DOUBLE AS n FROM y),
-kappa AS (SELECT 1 - (SELECT sum((si - qi) ** 2) FROM y) * (SELECT n FROM n) / (SELECT sum((a.si - b.qi) ** 2) FROM y a, y b) AS qwk),
+kappa AS (SELECT 1 - (SELECT sum((si - qi) ** 2) FROM y) * (SELECT n FROM n) / (SELECT sum((a.si - b.qi) ** 2) FROM y a, y b) AS qwk,
+  1 - (SELECT sum(abs(si - qi)) FROM y) * (SELECT n FROM n) / (SELECT sum(abs(a.si - b.qi)) FROM y a, y b) AS lwk,
+  1 - (SELECT count(*) FILTER (si <> qi) FROM y) * (SELECT n FROM n) / (SELECT count(*) FILTER (a.si <> b.qi) FROM y a, y b) AS kappa),
 rk AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0::DOUBLE AS b FROM y),
 kd AS (SELECT sum(sign(a.s - b.s) * sign(a.q - b.q))::DOUBLE AS c, sum(CASE WHEN a.s <> b.s THEN 1 ELSE 0 END)::DOUBLE AS t, sum(CASE WHEN a.q <> b.q THEN 1 ELSE 0 END)::DOUBLE AS p FROM y a, y b)
-SELECT (SELECT count(*) FROM y) AS n, round((SELECT qwk FROM kappa), 6) AS qwk, round((SELECT corr(a, b) FROM rk), 6) AS spearman, round((SELECT c / sqrt(t * p) FROM kd), 6) AS kendall, round((SELECT avg(CASE WHEN s = q THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM y), 6) AS accuracy"""
+SELECT (SELECT count(*) FROM y) AS n, round((SELECT qwk FROM kappa), 6) AS qwk, round((SELECT lwk FROM kappa), 6) AS lwk, round((SELECT kappa FROM kappa), 6) AS kappa, round((SELECT corr(a, b) FROM rk), 6) AS spearman, round((SELECT c / sqrt(t * p) FROM kd), 6) AS kendall, round((SELECT avg(CASE WHEN s = q THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM y), 6) AS accuracy"""
 
 
 def _probs(spark, sf):
@@ -115,6 +117,20 @@ SELECT a.g AS a, b.g AS b, round(sum(a.c * b.c * sign(a.v - b.v)) / (x.n * y.n),
 FROM e a JOIN e b ON a.g < b.g JOIN s x ON x.g = a.g JOIN s y ON y.g = b.g GROUP BY a.g, b.g, x.n, y.n, x.m, y.m"""
 
 
+def a22_signed_rank(spark, sf):
+    """Whole values of event types, paired by user; p is tested by listing all sign patterns."""
+    e = table(spark, sf, "events").select("user_id", "event_type", F.floor(F.col("value")).alias("v"))
+    return _round(E.signed_rank(e, "user_id", "event_type", "v").select("a", "b", "n", "w", "z"))
+
+
+_SIGNED_SQL = """WITH c AS (SELECT user_id AS k, event_type AS g, avg(floor(value)) AS v FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2 HAVING avg(floor(value)) IS NOT NULL),
+d AS (SELECT x.g AS a, y.g AS b, x.v - y.v AS d FROM c x JOIN c y ON x.k = y.k AND x.g < y.g),
+s AS (SELECT a, b, abs(d) AS size, count(*) AS m, count(*) FILTER (d > 0) AS up FROM d WHERE d <> 0 GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(m) OVER (PARTITION BY a, b ORDER BY size) - (m - 1) / 2.0::DOUBLE AS r FROM s),
+t AS (SELECT a, b, sum(m)::BIGINT AS n, sum(r * up)::DOUBLE AS w, sum(m::DOUBLE * m * m - m) AS ties FROM r GROUP BY 1, 2)
+SELECT p.a, p.b, coalesce(n, 0) AS n, round(coalesce(w, 0), 6) AS w, round((w - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM (SELECT DISTINCT a, b FROM d) p LEFT JOIN t USING (a, b)"""
+
+
 def w6_running_confidence(spark, sf):
     e = table(spark, sf, "events").withColumn("ok", (F.col("value") > 50).cast("int"))
     day = e.groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.sum("ok").alias("a"), F.sum(1 - F.col("ok")).alias("b"))
@@ -156,5 +172,5 @@ def a29_arm_comparison(spark, sf):
     return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("a").cast("int")), 6).alias("acc_a"), F.round(F.avg(F.col("b").cast("int")), 6).alias("acc_b"), F.round(F.avg(F.col("same").cast("int")), 6).alias("agreement"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
 
 
-QUERIES = {f.__name__: f for f in (a6_multi_label, a8_ranking, a9_ordinal, a13_calibration, a16_classification_report, a20_experiment_summary, a21_bootstrap, a22_cliffs_delta, w6_running_confidence, w7_budget_routing, a2_review_stats, a29_arm_comparison)}
-ORACLE_SQL = {"a6_multi_label": _MULTI_SQL, "a8_ranking": _RANK_SQL, "a9_ordinal": _ORDINAL_SQL, "a13_calibration": _ECE_SQL, "a16_classification_report": _REPORT_SQL, "a20_experiment_summary": _SUMMARY_SQL, "a22_cliffs_delta": _DELTA_SQL, "w6_running_confidence": _CONF_SQL, "w7_budget_routing": _BUDGET_SQL, "a2_review_stats": _REVIEW_SQL}
+QUERIES = {f.__name__: f for f in (a6_multi_label, a8_ranking, a9_ordinal, a13_calibration, a16_classification_report, a20_experiment_summary, a21_bootstrap, a22_cliffs_delta, a22_signed_rank, w6_running_confidence, w7_budget_routing, a2_review_stats, a29_arm_comparison)}
+ORACLE_SQL = {"a6_multi_label": _MULTI_SQL, "a8_ranking": _RANK_SQL, "a9_ordinal": _ORDINAL_SQL, "a13_calibration": _ECE_SQL, "a16_classification_report": _REPORT_SQL, "a20_experiment_summary": _SUMMARY_SQL, "a22_cliffs_delta": _DELTA_SQL, "a22_signed_rank": _SIGNED_SQL, "w6_running_confidence": _CONF_SQL, "w7_budget_routing": _BUDGET_SQL, "a2_review_stats": _REVIEW_SQL}

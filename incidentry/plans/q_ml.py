@@ -53,7 +53,7 @@ def m5_rule_list(spark, sf):
 def m6_cascade_checklist(spark, sf):
     """Questions of all category trees and the categories that ask them."""
     d = L.with_category_scores(_frame(spark, sf), L.labeler_text())
-    targets = ["insecurity", "surveillance", "intrusion"]
+    targets = list(D.CATEGORIES)
     d = d.withColumns({t: _over(t) for t in targets})
     trees = M.cascade(d.select("doc_id", *FLAGS, *targets), list(FLAGS), targets)
     rows = sorted({(n["predicate"].split(" ")[0], t) for t, f in trees.items() if not isinstance(f, str) for n in M.tree_nodes(f) if n["parent"] is not None})

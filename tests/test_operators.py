@@ -1,5 +1,6 @@
 """Known answers and edge cases of the operators."""
 
+import itertools
 import json
 import math
 
@@ -60,10 +61,36 @@ def test_ordinal_known_answers(spark):
     assert abs(back["qwk"] + 1) < 1e-12 and abs(back["kendall"] + 1) < 1e-12
     flat = f([(1, 1), (1, 1)])
     assert flat["qwk"] == 1.0 and flat["spearman"] == 0.0
+    mixed = f([(1, 1), (2, 3), (3, 3), (1, 2)])
+    assert abs(mixed["kappa"] - 3 / 11) < 1e-12 and abs(mixed["lwk"] - 1 / 2) < 1e-12
+    assert flat["lwk"] == flat["kappa"] == 1.0
     # The distance is the place among the values: 1 and 5 are neighbours when no value lies between.
     assert f([(1, 5), (5, 1)])["qwk"] == f([(1, 2), (2, 1)])["qwk"]
 
 
+def test_signed_rank_by_all_sign_patterns(spark):
+    vals = {"x": [5, 3, 9, 4, 7, 2, None, 8], "y": [4, 5, 5, 4, 1, 3, 6, 2], "z": [4, 5, 5, 4, 1, 3, 6, 2]}
+    data = [(i, g, v) for g, vs in vals.items() for i, v in enumerate(vs)]
+    got = {(r.a, r.b): r for r in E.signed_rank(spark.createDataFrame(data, "k int, g string, v int"), "k", "g", "v").collect()}
+    d = [x - y for x, y in zip(vals["x"], vals["y"]) if x is not None and x != y]
+    order = sorted(map(abs, d))
+    rank = {s: sum(i for i, o in enumerate(order, 1) if o == s) / order.count(s) for s in order}
+    w = sum(rank[abs(v)] for v in d if v > 0)
+    sums = [sum(rank[abs(v)] for v, on in zip(d, signs) if on) for signs in itertools.product((0, 1), repeat=len(d))]
+    p = min(1, 2 * min(sum(s <= w for s in sums), sum(s >= w for s in sums)) / len(sums))
+    r = got["x", "y"]
+    assert (r.n, r.w) == (len(d), w) and abs(r.p - p) < 1e-12 and abs(r.alpha - 0.05 / 3) < 1e-12
+    same = got["y", "z"]
+    assert (same.n, same.w, same.z, same.p, same.significant) == (0, 0.0, None, None, False)
+
+
+def test_signed_rank_of_many_pairs_is_normal(spark):
+    data = [(i, g, i % 7 if g == "a" else (i * 3) % 5) for i in range(200) for g in "ab"]
+    r = E.signed_rank(spark.createDataFrame(data, "k int, g string, v int"), "k", "g", "v").first()
+    assert r.n > E.EXACT_PAIRS and abs(r.p - math.erfc(abs(r.z) / math.sqrt(2))) < 1e-12
+    assert E.signed_rank(spark.createDataFrame([], "k int, g string, v int"), "k", "g", "v").count() == 0
+
+
 def test_calibration_bin_edge(spark):
     d = spark.createDataFrame([(1, 0.3), (0, 0.29), (1, 1.0), (0, -2.0)], "y int, p double")
     r = E.calibration(d, "y", "p").first()

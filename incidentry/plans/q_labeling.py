@@ -110,18 +110,16 @@ h AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS harms FROM (SELECT
 SELECT t.doc_id, {_any("t", D.RELEVANCE)} AS is_relevant, CASE WHEN {_any("t", D.RELEVANCE)} THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence, coalesce(harms, '') AS harms FROM t LEFT JOIN h USING (doc_id)"""
 
 
-LABELS = ("surveillance", "insecurity", "disclosure", "data_handling")
-
-
 def fs18_parse_label(spark, sf):
-    answer = F.concat(F.initcap(F.element_at(F.array(*[F.lit(x) for x in (*LABELS, "no idea")]), (F.col("doc_id") % 5 + 1).cast("int"))), F.when(F.col("doc_id") % 2 == 0, F.lit("!\nmore")).otherwise(F.lit(" is the label")))
-    d = incidents(spark, sf).select("doc_id", answer.alias("answer"))
-    return d.select("doc_id", L.parse_label(F.col("answer"), LABELS).alias("label"))
+    """Labels of answers in free text that name each record's keyword label."""
+    answer = F.concat(F.initcap("harm_category"), F.when(F.col("doc_id") % 2 == 0, F.lit("!\nmore")).otherwise(F.lit(" is the label")))
+    d = L.label_records(incidents(spark, sf)).select("doc_id", answer.alias("answer"))
+    return d.select("doc_id", L.parse_label(F.col("answer"), D.CATEGORIES).alias("label"))
 
 
-_PARSE_SQL = f"""WITH a AS (SELECT doc_id, ['Surveillance', 'Insecurity', 'Disclosure', 'Data_handling', 'No Idea'][doc_id % 5 + 1] || CASE WHEN doc_id % 2 = 0 THEN '!' || chr(10) || 'more' ELSE ' is the label' END AS answer FROM documents),
+_PARSE_SQL = f"""{_LABELED}, a AS (SELECT doc_id, upper(harm_category[1]) || substr(harm_category, 2) || CASE WHEN doc_id % 2 = 0 THEN '!' || chr(10) || 'more' ELSE ' is the label' END AS answer FROM lab),
 l AS (SELECT doc_id, trim(regexp_replace(lower(split_part(answer, chr(10), 1)), '[^a-z0-9_ -]', '', 'g')) AS line FROM a)
-SELECT doc_id, CASE WHEN list_contains({sql_list(LABELS)}, line) THEN line ELSE list_filter({sql_list(LABELS)}, lambda x: contains(line, x))[1] END AS label FROM l"""
+SELECT doc_id, CASE WHEN list_contains({sql_list(D.CATEGORIES)}, line) THEN line ELSE list_filter({sql_list(D.CATEGORIES)}, lambda x: contains(line, x))[1] END AS label FROM l"""
 
 QUERIES = {f.__name__: f for f in (label_incidents, a1_label_distribution, fs3_offline_arm, fs6_weak_labels, fs8_frameworks, a18_framework_hit_rate, fs5_relevance, fs18_parse_label)}
 ORACLE_SQL = {

@@ -137,16 +137,24 @@ def ff12_quantile_bins(spark, sf):
 _QBIN_SQL = """WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_extendedprice::DOUBLE AS v FROM lineitem), e AS (SELECT list_distinct(quantile_cont(v, [0.2, 0.4, 0.6, 0.8])) AS e FROM l)
 SELECT k, len(list_filter(e, lambda x: v > x))::INTEGER AS bin FROM l, e"""
 
-ANSWERS = ('```json\n{"relevant": true, "harms": ["insecurity", "other"], "confidence": 1.7}\n```', 'I say {"relevant": false, "confidence": 0.25} here', "no json", '{"harms": ["disclosure"]}', "{broken")
-_OUT = ((True, "insecurity", 1.0), (False, "", 0.25), (False, "", 0.0), (False, "disclosure", 0.0), (False, "", 0.0))
+#: Labels that answers may name.
+ALLOWED = ("en", "fr", "src0", "src4", "src7")
 
 
 def fd3_json_answers(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*[F.lit(a) for a in ANSWERS]), (F.col("doc_id") % 5 + 1).cast("int")).alias("a"))
-    return d.select("doc_id", N.json_answer(F.col("a"), ("insecurity", "disclosure")).alias("x")).select("doc_id", "x.relevant", F.concat_ws(",", "x.harms").alias("harms"), "x.confidence")
+    """Answers of a model, made from each document's language, source, size and text."""
+    kind, size = F.col("n_chars") % 4, F.col("n_chars").cast("string")
+    fenced = F.concat(F.lit('```json\n{"relevant": true, "harms": ["'), "lang", F.lit('", "other"], "confidence": '), size, F.lit("e-3}\n```"))
+    inline = F.concat(F.lit('I say {"relevant": false, "confidence": '), size, F.lit("e-4} here"))
+    bare = F.concat(F.lit('{"harms": ["'), F.coalesce("source", F.lit("none")), F.lit('"]}'))
+    answer = F.when(kind == 0, fenced).when(kind == 1, inline).when(kind == 2, bare).otherwise(F.translate("text", "{}", ""))
+    d = table(spark, sf, "documents").select("doc_id", N.json_answer(answer, ALLOWED).alias("x"))
+    return d.select("doc_id", "x.relevant", F.concat_ws(",", "x.harms").alias("harms"), "x.confidence")
 
 
-_JSON_SQL = f"SELECT doc_id, [{', '.join(str(r).lower() for r, _, _ in _OUT)}][doc_id % 5 + 1] AS relevant, {sql_list(h for _, h, _ in _OUT)}[doc_id % 5 + 1] AS harms, [{', '.join(f'{c}::DOUBLE' for _, _, c in _OUT)}][doc_id % 5 + 1] AS confidence FROM documents"
+_JSON_SQL = f"""WITH d AS (SELECT doc_id, coalesce(n_chars % 4, 3) AS kind, n_chars, CASE n_chars % 4 WHEN 0 THEN lang WHEN 2 THEN coalesce(source, 'none') END AS harm FROM documents)
+SELECT doc_id, kind = 0 AS relevant, CASE WHEN list_contains({sql_list(ALLOWED)}, harm) THEN harm ELSE '' END AS harms,
+CASE kind WHEN 0 THEN least(1.0::DOUBLE, n_chars::DOUBLE / 1000) WHEN 1 THEN least(1.0::DOUBLE, n_chars::DOUBLE / 10000) ELSE 0 END::DOUBLE AS confidence FROM d"""
 
 
 def z1_batch_inference(spark, sf):
@@ -160,15 +168,18 @@ def z1_batch_inference(spark, sf):
 
 
 def ff9_label_projection(spark, sf):
-    i = F.col("doc_id")
-    d = table(spark, sf, "documents").select("doc_id", F.when(i % 4 != 0, F.array(F.lit("harm_leak"), F.when(i % 2 == 0, F.lit("rc_logs")).otherwise(F.lit("harm_abuse")))).alias("labels"), F.array(F.lit("pf_camera"), F.lit("city")).alias("spans"))
+    """Labels and spans that name each document's language and source; every fourth size has none."""
+    source = F.coalesce("source", F.lit("none"))
+    labels = F.when(F.col("n_chars") % 4 != 0, F.array(F.concat(F.lit("harm_"), "lang"), F.concat(F.lit("rc_"), source), F.concat(F.lit("harm_"), source)))
+    d = table(spark, sf, "documents").select("doc_id", labels.alias("labels"), F.array(F.concat(F.lit("pf_"), source), F.lit("city")).alias("spans"))
     p = N.project_labels(d, "labels", "spans")
     j = lambda c: F.concat_ws(",", c).alias(c)
     return p.select("doc_id", j("harm_categories"), j("root_cause_features"), j("product_features"))
 
 
-_PROJ_SQL = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'leak' ELSE 'abuse,leak' END AS harm_categories,
-CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'pf_camera,rc_logs' ELSE 'pf_camera' END AS root_cause_features, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'camera' END AS product_features FROM documents"""
+_PROJ_SQL = """WITH d AS (SELECT doc_id, lang, coalesce(source, 'none') AS s, coalesce(n_chars % 4, 0) <> 0 AS labelled FROM documents)
+SELECT doc_id, CASE WHEN labelled THEN array_to_string(list_sort(list_distinct([lang, s])), ',') ELSE '' END AS harm_categories,
+CASE WHEN labelled THEN 'pf_' || s || ',rc_' || s ELSE '' END AS root_cause_features, CASE WHEN labelled THEN s ELSE '' END AS product_features FROM d"""
 
 
 def z3_label_cascade(spark, sf):

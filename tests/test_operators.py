@@ -199,6 +199,19 @@ def test_impute(spark):
     assert all(math.isfinite(a) and b == 0.0 for a, b in got)
 
 
+def test_exact_quantiles(spark, monkeypatch):
+    """A coarse sketch needs several rounds; the result is exact all the same, with ties, infinities and few rows."""
+    monkeypatch.setattr(M, "SKETCH", 5)
+    for values in ([float(i * i % 97) for i in range(300)], [7.0] * 90 + [float(i) for i in range(10)], [float("-inf"), 0.0, 4.0, float("inf")], [3.0]):
+        d = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double").coalesce(1)
+        ordered = sorted(values)
+        for share, q in zip([0.3, 0.5, 1.0], M.exact_quantiles(d, F.col("x"), [0.3, 0.5, 1.0]), strict=True):
+            place = share * (len(ordered) - 1)
+            part, low, high = place - int(place), ordered[int(place)], ordered[math.ceil(place)]
+            assert q == (low if low == high else (1 - part) * low + part * high)
+    assert M.exact_quantiles(d.where("false"), F.col("x"), [0.5]) == [None]
+
+
 def test_batch_infer_loads_once_a_task(spark):
     d = spark.createDataFrame([(1, "ab"), (2, None)], "id int, t string")
     got = N.batch_infer(d, "t", lambda: lambda ts: [str(len(t or "")) for t in ts])

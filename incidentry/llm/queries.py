@@ -16,6 +16,9 @@ _LISTED = (
     ("op8_topk_search", "topk_search", "OP8_SQL"),
     ("op9_line_dedup", "line_dedup", "OP9_SQL"),
     ("op10_license_scan", "license_scan", None),
+    ("op11_token_counts", "token_counts", None),
+    ("op12_fill_in_middle", "fill_in_middle", "OP12_SQL"),
+    ("op13_merkle_manifest", "merkle", "OP13_SQL"),
 )
 
 QUERIES, ORACLE_SQL = {}, {}

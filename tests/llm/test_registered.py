@@ -28,6 +28,9 @@ TYPES = {
     "op8_topk_search": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
     "op10_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op11_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op12_fill_in_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op13_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
@@ -104,7 +107,7 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 spark.range(1).repartition(1).mapInPandas(lambda b: b, "id long").count()
 sys.path.insert(0, {REPO!r})
 from incidentry.llm import queries
-for name in ("op5_toxicity", "op6_pii", "op10_license_scan", "op4_url_filter", "op8_topk_search"):
+for name in ("op5_toxicity", "op6_pii", "op10_license_scan", "op4_url_filter", "op8_topk_search", "op11_token_counts", "op12_fill_in_middle"):
     assert queries.QUERIES[name](spark, {small!r}).count()
 print("all ran")
 """

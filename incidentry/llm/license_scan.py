@@ -177,8 +177,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([scan(a, t) for t in texts], columns=names).astype(kinds)
 
-    keep = [F.col(c) for c in docs.columns if c not in names]
-    return docs.select(*keep, apply(F.col(text_col)).alias("_found")).select(*[c for c in docs.columns if c not in names], "_found.*")
+    keep = F.struct(*[F.col(c) for c in docs.columns if c not in names])
+    return docs.select(keep.alias("_row"), apply(F.col(text_col)).alias("_found")).select("_row.*", "_found.*")
 
 
 def op10_license_scan(spark, sf_dir):

@@ -56,11 +56,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("_row", "_gone", F.split(body_again, "\n").alias("_split"))
         .select("_row", "_gone", "_split", kept.alias("_kept"))
         .select(
-            "_row.*",
-            F.size("_split").cast("long").alias("n_lines"),
-            (F.size("_split") - F.size("_kept")).cast("long").alias("n_dropped"),
-            F.when(F.col("_gone").isNull(), body_again).otherwise(F.array_join(F.transform("_kept", lambda i: F.element_at(F.col("_split"), i)), "\n")).alias("kept_text"),
+            "_row",
+            F.size("_split").cast("long").alias("_lines"),
+            (F.size("_split") - F.size("_kept")).cast("long").alias("_dropped"),
+            F.when(F.col("_gone").isNull(), body_again).otherwise(F.array_join(F.transform("_kept", lambda i: F.element_at(F.col("_split"), i)), "\n")).alias("_text"),
         )
+        # The user's columns come last, where no expression can take one of them for its own.
+        .select("_row.*", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.col("_text").alias("kept_text"))
     )
 
 

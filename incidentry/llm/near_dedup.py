@@ -347,13 +347,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(named, "named")
     smallest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_text = named.join(smallest, "comp").select("fp", "component_id")
-    result = all_profiles.select("id", "th", "n", "fp").join(of_text, "fp", "left").select("id", "th", "n", F.coalesce("component_id", "id").alias("component_id")).dropDuplicates(["id", "th"])
-    keep = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
-    every = docs.select(*keep, F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"))
-    same = F.col("__id").eqNullSafe(F.col("r.id")) & (F.col("__th") == F.col("r.th"))
-    joined = every.join(result.select(F.struct("id", "th", "n", "component_id").alias("r")), same, "left")
-    own = F.col("__id").isNull() | (F.col("__id") == F.col("r.component_id"))
-    return joined.select(*keep, F.col("r.n").alias("n_shingles"), F.col("r.component_id").alias("component_id"), own.alias("kept"))
+    # Rows without words are linked with nothing: they are kept out of the join, where they would be one key.
+    of_row = all_profiles.select("id", "th", "n", "fp")
+    result = of_row.where(F.col("fp").isNotNull()).join(of_text, "fp", "left").select("id", "th", "n", F.coalesce("component_id", "id").alias("component_id"))
+    result = result.union(of_row.where(F.col("fp").isNull()).select("id", "th", "n", F.col("id").alias("component_id"))).dropDuplicates(["id", "th"])
+    keep = [F.col(c) for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
+    every = docs.select(F.struct(*keep).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"))
+    same = F.col("_id").eqNullSafe(F.col("_r.id")) & (F.col("_th") == F.col("_r.th"))
+    joined = every.join(result.select(F.struct("id", "th", "n", "component_id").alias("_r")), same, "left")
+    own = F.col("_id").isNull() | (F.col("_id") == F.col("_r.component_id"))
+    return joined.select("_row.*", F.col("_r.n").alias("n_shingles"), F.col("_r.component_id").alias("component_id"), own.alias("kept"))
 
 
 def op3_near_dedup(spark, sf_dir):

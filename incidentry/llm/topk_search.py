@@ -87,8 +87,8 @@ def exact_kind(q: np.ndarray, x: np.ndarray):
     return np.float32 if largest < 2**22 else np.float64 if largest < 2**51 else np.int64
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, beat: np.ndarray, xid: np.ndarray, x: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query in one block that reach ``beat`` (the least whole number: any): (query index, candidate index, score)."""
+def search_block(qrow: np.ndarray, q: np.ndarray, beat: np.ndarray, xrow: np.ndarray, xid: np.ndarray, x: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``qrow``, ``xrow``: numbers of the rows, of which a query leaves out its own; ties go to the smaller ``xid``.  The k best candidates of each query in one block that reach ``beat`` (the least whole number: any): (query index, candidate index, score)."""
     n = len(x)
     kind = exact_kind(q, x)
     qf, xf, beat = q.astype(kind), x.astype(kind), beat.astype(kind)
@@ -99,7 +99,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, beat: np.ndarray, xid: np.ndarr
         reader = Reader(qf[open_q], xf, lists)
         for step in range(1, STEPS + 1):
             reader.read(max(1, math.ceil(n * step / STEPS)))
-            own = qid[open_q][:, None] == xid[None, :]
+            own = qrow[open_q][:, None] == xrow[None, :]
             bar = beat[open_q]
             if n > k and (bar == least).any():
                 lower = reader.lower()
@@ -137,11 +137,11 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
-BLOCK = "block string, wide int, ids binary, values binary, lists binary"
+BLOCK = "block string, wide int, rows binary, ids binary, values binary, lists binary"
 
 
 def dealt(rows: DataFrame, cells: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, v) with the name of their block of about ``cells`` numbers, and (wide, n): the numbers of blocks.
+    """Rows (row, id, v) with the name of their block of about ``cells`` numbers, and (wide, n): the numbers of blocks.
 
     Vectors are dealt by the power of two over their length, so a long one widens no block of short ones.
     """
@@ -149,27 +149,28 @@ def dealt(rows: DataFrame, cells: int) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("wide", width)
     # One row for each power of two: at most 31.
     blocks = stored(rows.groupBy("wide").agg(F.ceil(F.count(F.lit(1)) * F.col("wide") / cells).cast("int").alias("n")), "block-counts")
-    named = rows.join(F.broadcast(blocks), "wide").select("id", "v", F.concat_ws("-", "wide", F.pmod(F.xxhash64(F.col("id"), F.col("v")), F.col("n"))).alias("block"))
+    named = rows.join(F.broadcast(blocks), "wide").select("row", "id", "v", F.concat_ws("-", "wide", F.pmod(F.xxhash64(F.col("row"), F.col("id"), F.col("v")), F.col("n"))).alias("block"))
     return named, blocks
 
 
 def packed(rows: DataFrame, with_lists: bool) -> DataFrame:
-    """(block, wide, ids, values, lists): a stored row for each block of ``dealt`` rows."""
-    schema = pa.schema([("block", pa.string()), ("wide", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("lists", pa.binary())])
+    """(block, wide, rows, ids, values, lists): a stored row for each block of ``dealt`` rows."""
+    schema = pa.schema([("block", pa.string()), ("wide", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("values", pa.binary()), ("lists", pa.binary())])
 
     def pack(t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return schema.empty_table()
         x = _matrix(t)
         lists = sorted_lists(x).tobytes() if with_lists else b""
-        return pa.table([[t.column("block")[0].as_py()], [x.shape[1]], [np.asarray(t.column("id")).astype(np.int64).tobytes()], [x.tobytes()], [lists]], schema=schema)
+        numbers = lambda c: np.asarray(t.column(c)).astype(np.int64).tobytes()
+        return pa.table([[t.column("block")[0].as_py()], [x.shape[1]], [numbers("row")], [numbers("id")], [x.tobytes()], [lists]], schema=schema)
 
     return stored(rows.groupBy("block").applyInArrow(pack, BLOCK), "vector-blocks")
 
 
-def _unpacked(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = t.column("wide")[i].as_py()
-    return np.frombuffer(t.column("ids")[i].as_py(), np.int64), np.frombuffer(t.column("values")[i].as_py(), np.int64).reshape(-1, wide)
+    return np.frombuffer(t.column("rows")[i].as_py(), np.int64), np.frombuffer(t.column("ids")[i].as_py(), np.int64), np.frombuffer(t.column("values")[i].as_py(), np.int64).reshape(-1, wide)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -177,36 +178,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     Components become floor(scale * x).  Vectors that are null or hold a null or non-finite
     component take no part, nor do rows with a null id.  A shorter vector counts as filled up with zeros;
-    scores have to fit 64 bits.  Rows that repeat an id are candidates each, but one query
-    (the smallest vector), which meets no row of its own id.  Fewer than k candidates give
+    scores have to fit 64 bits.  Rows that repeat an id are candidates each and queries each:
+    a query meets all rows but its own, so each of them has its k rows.  Fewer than k candidates give
     all of them; an empty table gives an empty result.  Other columns are ignored.
     """
     v = F.col(vector_col)
     fit = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = stored(vectors.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), quantised(v, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "vectors")
-    named, x_blocks = dealt(rows.select("id", "v"), CANDIDATE_CELLS)
+    rows = stored(vectors.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), quantised(v, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    named, x_blocks = dealt(rows.select("row", "id", "v"), CANDIDATE_CELLS)
     candidates = packed(named, True)
-    named, q_blocks = dealt(rows.where("q").groupBy("id").agg(F.min("v").alias("v")), QUERY_CELLS)
+    named, q_blocks = dealt(rows.where("q").select("row", "id", "v"), QUERY_CELLS)
     asked = packed(named, False)
-    found_type, schema = "qb string, query_id long, id long, score long", pa.schema([("qb", pa.string()), ("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+    found_type, schema = "qb string, row long, query_id long, id long, score long", pa.schema([("qb", pa.string()), ("row", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         """One block of queries, with the scores to beat, and one of candidates."""
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        qid, q = _unpacked(left, 0)
-        xid, x = _unpacked(right, 0)
+        qrow, qid, q = _unpacked(left, 0)
+        xrow, xid, x = _unpacked(right, 0)
         wide = min(q.shape[1], x.shape[1])
         lists = np.frombuffer(right.column("lists")[0].as_py(), np.int32).reshape(x.shape)[:, :wide]
         beat = np.full(len(qid), LEAST)
         known = left.column("beat")[0].as_py() or []
         if known:
-            place = {i: at for at, i in enumerate(qid.tolist())}
+            place = {i: at for at, i in enumerate(qrow.tolist())}
             for b in known:
-                beat[place[b["id"]]] = b["score"]
-        i, j, score = search_block(qid, q[:, :wide], beat, xid, x[:, :wide], lists, k)
+                beat[place[b["row"]]] = b["score"]
+        i, j, score = search_block(qrow, q[:, :wide], beat, xrow, xid, x[:, :wide], lists, k)
         name = left.column("qb")[0].as_py()
-        return pa.table([[name] * len(i), qid[i], xid[j], score.astype(np.int64)], schema=schema)
+        return pa.table([[name] * len(i), qrow[i], qid[i], xid[j], score.astype(np.int64)], schema=schema)
 
     def names(blocks: DataFrame, first: bool | None = None) -> DataFrame:
         """(name): the blocks' names, made from their numbers; ``first``: the first one of each width, or the others."""
@@ -216,15 +217,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     def meet(queries: DataFrame, first: bool) -> DataFrame:
         """Each block of queries meets the first blocks of candidates, or the others: a row for each pair of blocks and side."""
-        left = queries.select(F.col("block").alias("qb"), "wide", "ids", "values", "beat").join(names(x_blocks, first).withColumnRenamed("name", "xb"), F.lit(True))
-        right = candidates.select(F.col("block").alias("xb"), "wide", "ids", "values", "lists").join(names(x_blocks, first).withColumnRenamed("name", "xb"), "xb", "left_semi")
+        left = queries.select(F.col("block").alias("qb"), "wide", "rows", "ids", "values", "beat").join(names(x_blocks, first).withColumnRenamed("name", "xb"), F.lit(True))
+        right = candidates.select(F.col("block").alias("xb"), "wide", "rows", "ids", "values", "lists").join(names(x_blocks, first).withColumnRenamed("name", "xb"), "xb", "left_semi")
         right = right.join(names(q_blocks).withColumnRenamed("name", "qb"), F.lit(True))
         return stored(left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInArrow(search, found_type), "found")
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    start = meet(asked.withColumn("beat", F.lit(None).cast("array<struct<id:long,score:long>>")), True)
-    bars = ranked(start).where(F.col("rank") == k).groupBy("qb").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "score")).alias("beat"))
+    start = meet(asked.withColumn("beat", F.lit(None).cast("array<struct<row:long,score:long>>")), True)
+    bars = ranked(start).where(F.col("rank") == k).groupBy("qb").agg(F.collect_list(F.struct("row", "score")).alias("beat"))
     rest = meet(asked.join(bars.withColumnRenamed("qb", "block"), "block", "left"), False)
     return ranked(start.union(rest)).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
@@ -235,13 +236,13 @@ def op8_topk_search(spark, sf_dir):
 
 OP8_SQL = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.r <> q.r
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,13 +151,20 @@ def learn(texts: list[str | None], labels: list[int], clean_weight: float = 1.0,
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
-    """A sample of the labelled rows that ``docs`` holds, the same for every run: at most ``max_train`` of each class, texts whole and of any length."""
+    """A sample of the labelled rows that ``docs`` holds, the same for every run: at most ``max_train`` of each class, texts whole and of any length.
+
+    Rows that repeat id and text are one; rows that share an id only are sampled each.
+    """
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     named = named.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     order = F.xxhash64(F.lit(5), "_id")
-    picked = [named.where(F.col("_y") == y).orderBy(order, "_id").limit(max_train) for y in (0, 1)]
-    return rows.join(F.broadcast(picked[0].union(picked[1])), "_id").select("_id", "_text", "_y")
+    # First ids, then the rows of those ids: both are bounded before any text moves.
+    first = lambda found, *by: reduce(DataFrame.union, [found.where(F.col("_y") == y).orderBy(order, *by).limit(max_train) for y in (0, 1)])
+    picked = first(named.distinct(), "_id")
+    hits = rows.join(F.broadcast(picked), "_id").select("_id", "_y", F.xxhash64("_text").alias("_th"), "_text")
+    bounded = first(hits.select("_id", "_y", "_th").distinct(), "_id", "_th")
+    return hits.join(F.broadcast(bounded), ["_id", "_y", "_th"]).dropDuplicates(["_id", "_y", "_th"]).select("_id", "_text", "_y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
@@ -212,9 +220,9 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", thresh
                 out.append((total, top))
             yield pd.DataFrame(out, columns=["score", "offending"])
 
-    keep = [c for c in docs.columns if c not in added]
-    scored = docs.select(*keep, apply(F.col(text_col)).alias("_s"))
-    return scored.select(*keep, "_s.score", (F.col("_s.score") >= threshold).cast("int").alias("predicted"), "_s.offending")
+    keep = F.struct(*[F.col(c) for c in docs.columns if c not in added])
+    scored = docs.select(keep.alias("_row"), apply(F.col(text_col)).alias("_s"))
+    return scored.select("_row.*", "_s.score", (F.col("_s.score") >= threshold).cast("int").alias("predicted"), "_s.offending")
 
 
 def op5_toxicity(spark, sf_dir):

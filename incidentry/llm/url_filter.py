@@ -7,6 +7,7 @@ a whole batch of URLs advances together, one character a step.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,10 +101,15 @@ def run(masks: dict, urls: list[str]) -> np.ndarray:
     other = len(masks["chars"])
     state = np.repeat(masks["init"][None, :], len(urls), axis=0)
     one, top = np.uint64(1), np.uint64(63)
-    ranked = [urls[i] for i in order]
+    # All characters of the batch as class numbers, each url from its start on.
+    classes = np.full(sys.maxunicode + 1, other, np.int16)
+    for c, i in masks["chars"].items():
+        classes[ord(c)] = i
+    codes = classes[np.frombuffer("".join(urls).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    starts = (np.cumsum(lengths) - lengths)[order]
     for step in range(int(sorted_lengths[0])):
         live = int(np.searchsorted(-sorted_lengths, -step, side="left"))
-        code = np.fromiter((masks["chars"].get(u[step], other) for u in ranked[:live]), np.int64, live)
+        code = codes[starts[:live] + step]
         s = state[:live]
         moved = s << one
         moved[:, 1:] |= s[:, :-1] >> top
@@ -142,8 +148,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, globs=GLOBS,
     rest = F.coalesce(rest, F.lit(""))
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER)
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
-    split = pages.select(*keep, host.alias("host"), path.alias("path"))
-    return split.withColumn("_said", decide(F.concat("host", "path"))).select(*[c for c in split.columns], "_said.rule", "_said.verdict")
+    split = pages.select(F.struct(*keep).alias("_row"), host.alias("host"), path.alias("path"))
+    return split.withColumn("_said", decide(F.concat("host", "path"))).select("_row.*", "host", "path", "_said.rule", "_said.verdict")
 
 
 def op4_url_filter(spark, sf_dir):

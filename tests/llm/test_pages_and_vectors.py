@@ -84,11 +84,21 @@ def test_top_k(spark, vectors, monkeypatch, block):
 def test_top_k_edges(spark, vectors):
     few = vectors.where("vec_id < 3")
     got = topk_search.top_k(few.union(few.where("vec_id = 0")), F.col("vec_id") == 0)
-    assert [r["vec_id"] for r in got.collect()] and got.count() == 2
+    # Row 0 twice: each of them meets its twin, 1 and 2.
+    assert got.count() == 6 and sorted(r["vec_id"] for r in got.collect()) == [0, 0, 1, 1, 2, 2]
     assert topk_search.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert topk_search.top_k(vectors, F.lit(None).cast("boolean")).count() == 0
 
 
+def test_repeated_query_rows(spark, duck):
+    """Rows that share an id are queries each, with their own vectors; the SQL agrees."""
+    data = spark.createDataFrame([(20, [1.0, 2.0]), (20, [-3.0, 0.5]), (20, [-3.0, 0.5]), (7, [2.0, 2.0]), (40, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = topk_search.top_k(data, F.col("vec_id") % 20 == 0)
+    assert got.count() == 16 and rows(got.toPandas()) == rows(duck(topk_search.OP8_SQL, embeddings=data.toArrow()))
+    two = data.where("vec_id <> 40 and embedding[0] > -3 or vec_id = 7").union(data.where("vec_id = 40").selectExpr("20L", "embedding"))
+    assert topk_search.top_k(two, F.col("vec_id") % 20 == 0).count() == 4
+
+
 def test_long_vector(spark):
     """A vector of another length is a block of its own and counts as filled up with zeros."""
     data = [(i, [float(i), 1.0]) for i in range(1, 9)] + [(20, [0.0] * 5000 + [3.0]), (40, [2.0] * 300), (60, [])]
@@ -111,7 +121,7 @@ def test_search_large_numbers():
     """Products beyond 24 and 53 bits stay exact; a score to beat keeps its ties."""
     for scale in (10**4, 10**8):
         q, x = np.array([[scale, -scale, 1]]), np.array([[scale, scale - 1, 0], [scale, scale, 0], [0, -1, 3]])
-        search = lambda beat: topk_search.search_block(np.array([9]), q, np.array([beat]), np.array([1, 2, 3]), x, topk_search.sorted_lists(x), 3)[1:]  # noqa: E731, B023
+        search = lambda beat: topk_search.search_block(np.array([9]), q, np.array([beat]), np.array([1, 2, 3]), np.array([1, 2, 3]), x, topk_search.sorted_lists(x), 3)[1:]  # noqa: E731, B023
         want = sorted((-int(v), i) for i, v in enumerate((q @ x.T)[0]))
         j, s = search(topk_search.LEAST)
         assert list(zip(-s, j, strict=True)) == want
@@ -128,7 +138,7 @@ def test_reading_stops_early(monkeypatch):
     x = rng.integers(-3, 4, (800, 4))
     q = np.array([[60, 1, -1, 1]])
     best = int(np.sort((x @ q[0]))[-5])
-    topk_search.search_block(np.array([-1]), q, np.array([best]), np.arange(800), x, topk_search.sorted_lists(x), 5)
+    topk_search.search_block(np.array([-1]), q, np.array([best]), np.arange(800), np.arange(800), x, topk_search.sorted_lists(x), 5)
     assert max(depths) < 800
 
 

@@ -15,6 +15,7 @@ from .fixed import (  # noqa: F401
     DIMENSION_WEIGHTS,
     DIMENSIONS,
     DISTRESS,
+    EFFECTIVENESS,
     FALLBACK,
     FRAMEWORKS,
     HINTS,
@@ -23,12 +24,15 @@ from .fixed import (  # noqa: F401
     LEGACY_PARENTS,
     MISMATCH,
     MITIGATIONS,
+    NO_RISK_WEIGHT,
+    PAIR_EFFECTIVENESS,
     PAIRS,
     PARENT_PATTERNS,
     PRINCIPLES,
     PROTECTIVE,
     QUESTIONS,
     RELEVANCE,
+    RISK_WEIGHTS,
     RISKY,
     SECTORS,
     SENSITIVITY,
@@ -75,17 +79,17 @@ CASCADE = tuple(SUBTYPE_PARENT)
 
 
 def slug_terms(slug: str) -> tuple[str, tuple[str, ...], str | None]:
-    """The default entry of a slug: its words with spaces or hyphens, and turned round with ``of``."""
+    """The default entry of a slug: its words with spaces, hyphens or nothing between; turned round with ``of``, and with a word between."""
     words = slug.split("_")
-    terms = (" ".join(words), "-".join(words)) if len(words) > 1 else (slug,)
-    return slug, terms, rf"\b{words[-1]} of {' '.join(words[:-1])}\b" if len(words) > 1 else None
+    terms = (" ".join(words), "-".join(words), "".join(words)) if len(words) > 1 else (slug,)
+    return slug, terms, rf"\b{words[-1]} of {' '.join(words[:-1])}\b|\b{words[0]} [a-z]+ {' '.join(words[1:])}\b" if len(words) > 1 else None
 
 
 #: Product features: slug, substrings, regular expression or None.
 ONTOLOGY: tuple[tuple[str, tuple[str, ...], str | None], ...] = tuple(slug_terms(s) for s in SLUGS)
 
 GENERAL = "general_privacy_concern"
-DEFAULT_MITIGATION = (("privacy_by_design",), ())
+#: Effectiveness against a risk of a pair that has no score of its own.
 PRIMARY_EFFECT, SECONDARY_EFFECT = 0.7, 0.5
 
 #: Rules: id, text, jurisdictions, sectors, languages, tags, source, priority.

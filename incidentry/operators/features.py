@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import dictionaries as D
-from ..functions.text import assemble, contains_any, first_match, string_array
+from ..functions.matcher import TermIndex, any_of, let
+from ..functions.text import assemble, string_array
 
 #: Dictionary-like sides are broadcast only up to this many rows.
 BROADCAST_ROWS = 10_000
@@ -19,17 +20,25 @@ BROADCAST_ROWS = 10_000
 CLAUSE = "([^.,;]+)"
 
 
+def term_index(ontology=D.ONTOLOGY, groups=D.KEYWORD_GROUPS) -> TermIndex:
+    """One index of all that features look for."""
+    return TermIndex([t for _, ts, _ in ontology for t in ts] + [t for ts in groups.values() for t in ts], [p for _, _, p in ontology if p])
+
+
+def slugs_found(index: TermIndex, found: Column, text: Column, ontology=D.ONTOLOGY) -> Column:
+    """Slugs, in ontology order, of a text whose terms were ``found``; substrings are tried before the regular expression."""
+    hit = lambda terms, pattern: any_of([index.holds(found, *terms), *([index.matches(found, text, pattern)] if pattern else [])])
+    return F.array_compact(F.array(*[F.when(hit(terms, pattern), F.lit(slug)) for slug, terms, pattern in ontology]))
+
+
 def product_features(text: Column, ontology=D.ONTOLOGY) -> Column:
-    """Slugs found in lower-cased text, in ontology order; substrings are tried before the regular expression."""
-    found = []
-    for slug, terms, pattern in ontology:
-        hit = contains_any(text, terms)
-        found.append(F.when(hit | text.rlike(pattern) if pattern else hit, F.lit(slug)))
-    return F.array_compact(F.array(*found))
+    """Slugs found in lower-cased text, in ontology order."""
+    index = term_index(ontology, {})
+    return let(index.found(text), lambda found: slugs_found(index, found, text, ontology))
 
 
-def keyword_flags(text: Column, groups=D.KEYWORD_GROUPS) -> dict[str, Column]:
-    return {f"kw_{g}": contains_any(text, ts).cast("int") for g, ts in groups.items()}
+def keyword_flags(index: TermIndex, found: Column, groups=D.KEYWORD_GROUPS) -> dict[str, Column]:
+    return {f"kw_{g}": index.holds(found, *ts).cast("int") for g, ts in groups.items()}
 
 
 def individuals(affected: Column, users: Column) -> Column:
@@ -38,25 +47,27 @@ def individuals(affected: Column, users: Column) -> Column:
     return F.when(n > 0, F.log1p(n)).otherwise(F.lit(0.0))
 
 
-def build_features(records: DataFrame) -> DataFrame:
-    """Add f_*, kw_*, product_features, pf_*, rc_* and pair_* columns."""
+def build_features(records: DataFrame, ontology=D.ONTOLOGY, groups=D.KEYWORD_GROUPS) -> DataFrame:
+    """Add f_*, kw_*, product_features, pf_*, rc_* and pair_* columns; each text is read once for all terms of both dictionaries."""
     text = F.lower(assemble(F.col("description"), F.col("raw_title"), F.col("raw_body")))
-    base = records.withColumn("_t", text).withColumn("product_features", product_features(F.col("_t")))
+    index = term_index(ontology, groups)
+    base = records.withColumn("_t", text).withColumn("_found", index.found(F.col("_t")))
+    base = base.withColumn("product_features", slugs_found(index, F.col("_found"), F.col("_t"), ontology))
     pf = F.col("product_features")
     risky, protective = F.size(F.array_intersect(pf, string_array(D.RISKY))), F.size(F.array_intersect(pf, string_array(D.PROTECTIVE)))
     has = lambda s: F.array_contains(pf, s)
     cols = {
         "f_individuals_log": individuals(F.col("individuals_affected"), F.col("num_users")),
         "f_has_description": (F.coalesce("description", F.lit("")) != "").cast("int"),
-        **keyword_flags(F.col("_t")),
-        **{f"pf_{s}": has(s).cast("int") for s, _, _ in D.ONTOLOGY},
+        **keyword_flags(index, F.col("_found"), groups),
+        **{f"pf_{s}": has(s).cast("int") for s, _, _ in ontology},
         "rc_risky": risky,
         "rc_protective": protective,
         "rc_ratio": F.when(risky + protective > 0, risky / F.greatest(risky + protective, F.lit(1))).otherwise(F.lit(0.0)),
         "rc_net": risky - protective,
         **{f"pair_{a}__{b}": (has(a) & has(b)).cast("int") for a, b in D.PAIRS},
     }
-    return base.withColumns(cols).drop("_t")
+    return base.withColumns(cols).drop("_t", "_found")
 
 
 def annotate(records: DataFrame, fields: tuple[str, ...] = ("description", "harm_summary", "raw_body")) -> DataFrame:
@@ -66,11 +77,13 @@ def annotate(records: DataFrame, fields: tuple[str, ...] = ("description", "harm
     found, else null.
     """
     text = F.lower(assemble(*[F.col(f) for f in fields]))
-    base = records.withColumn("_t", text).withColumn("_pf", product_features(F.col("_t")))
+    index = term_index(groups={})
+    base = records.withColumn("_t", text).withColumn("_found", index.found(F.col("_t")))
+    base = base.withColumn("_pf", slugs_found(index, F.col("_found"), F.col("_t")))
     old = F.col("product_features") if "product_features" in records.columns else F.array().cast("array<string>")
     found = F.when(F.col("_t") != "", F.col("_pf")).otherwise(old)
     causes = causal_phrases(F.col("_t"))
-    return base.withColumns({"product_features": found, "root_cause_features": F.when(F.size(found) > 0, found), "causal": F.when(F.size(causes["causes"]) > 0, causes)}).drop("_t", "_pf")
+    return base.withColumns({"product_features": found, "root_cause_features": F.when(F.size(found) > 0, found), "causal": F.when(F.size(causes["causes"]) > 0, causes)}).drop("_t", "_found", "_pf")
 
 
 def causal_phrases(text: Column, patterns=D.CAUSAL, most: int = 10) -> Column:
@@ -127,8 +140,10 @@ def composite(dims: list[Column], weights=D.DIMENSION_WEIGHTS, eps: float = 1e-6
 
 def detect_context(records: DataFrame) -> DataFrame:
     """Add ctx_jurisdiction, ctx_sector and ctx_language: metadata first, then the text ladders; language from metadata only."""
-    t = F.lower(F.coalesce("description", F.lit("")))
-    return records.withColumns({"ctx_jurisdiction": F.coalesce("jurisdiction", first_match(t, D.JURISDICTIONS)), "ctx_sector": F.coalesce("sector", first_match(t, D.SECTORS)), "ctx_language": F.col("language")})
+    index = TermIndex([t for ladder in (D.JURISDICTIONS, D.SECTORS) for _, ts in ladder for t in ts])
+    read = records.withColumn("_found", index.found(F.lower(F.coalesce("description", F.lit("")))))
+    said = lambda known, ladder: F.coalesce(known, index.first(F.col("_found"), ladder))
+    return read.withColumns({"ctx_jurisdiction": said("jurisdiction", D.JURISDICTIONS), "ctx_sector": said("sector", D.SECTORS), "ctx_language": F.col("language")}).drop("_found")
 
 
 def rules_frame(spark: SparkSession, rules=D.RULES) -> DataFrame:
@@ -155,10 +170,35 @@ def select_rules(records: DataFrame, rules: DataFrame, most: int = 50) -> DataFr
     return records.select("doc_id", *key).join(ranked, same).select("doc_id", "rule_id", "rank", "score")
 
 
-def mitigations(records: DataFrame, table=D.MITIGATIONS) -> DataFrame:
-    """(doc_id, mitigation, is_primary, effectiveness, risks) for the risky features of each record."""
-    entry = lambda pair: F.array(*[F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(e).alias("e")) for ms, p, e in ((pair[0], True, D.PRIMARY_EFFECT), (pair[1], False, D.SECONDARY_EFFECT)) for m in ms])
-    lookup = F.create_map(*[x for r, pair in table.items() for x in (F.lit(r), entry(pair))])
-    risks = F.array_intersect("product_features", string_array(D.RISKY))
-    x = records.select("doc_id", F.explode(risks).alias("risk")).select("doc_id", "risk", F.explode(F.coalesce(F.try_element_at(lookup, F.col("risk")), entry(D.DEFAULT_MITIGATION))).alias("x"))
-    return x.groupBy("doc_id", F.col("x.m").alias("mitigation")).agg(F.max("x.p").alias("is_primary"), F.round(F.avg("x.e"), 6).alias("effectiveness"), F.concat_ws(",", F.array_sort(F.collect_set("risk"))).alias("risks"))
+def recommendations(records: DataFrame, table=D.MITIGATIONS, weights=D.RISK_WEIGHTS, alone=D.EFFECTIVENESS, pairs=D.PAIR_EFFECTIVENESS) -> DataFrame:
+    """(doc_id, risk, weight, mitigation, is_primary, alone, combined, pair): a row for each mitigation of each risky feature.
+
+    ``alone``: effectiveness of the mitigation by itself, ``combined`` against the risk, 0.5
+    where a table has none; ``pair`` is the score of the two without a default.  A risk
+    without mitigations has one row with nulls and the default weight.
+    """
+    known = lambda r, m: pairs.get((r, m))
+    entry = lambda r, m, p: F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(alone.get(m, 0.5)).alias("a"), F.lit(known(r, m)).cast("double").alias("c"))
+    of = {r: [entry(r, m, p) for ms, p in ((first, True), (second, False)) for m in ms] for r, (first, second) in table.items()}
+    lookup = F.create_map(*[x for r, entries in of.items() for x in (F.lit(r), F.array(*entries))])
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    risks = records.select("doc_id", F.explode(F.array_intersect("product_features", string_array(D.RISKY))).alias("risk"))
+    x = risks.select("doc_id", "risk", F.coalesce(F.try_element_at(weight, F.col("risk")), F.lit(D.NO_RISK_WEIGHT)).alias("weight"), F.explode_outer(F.try_element_at(lookup, F.col("risk"))).alias("x"))
+    combined = F.when(F.col("x.m").isNotNull(), F.coalesce("x.c", F.lit(0.5)))
+    return x.select("doc_id", "risk", "weight", F.col("x.m").alias("mitigation"), F.col("x.p").alias("is_primary"), F.col("x.a").alias("alone"), combined.alias("combined"), F.col("x.c").alias("pair"))
+
+
+def mitigations(records: DataFrame, table=D.MITIGATIONS, pairs=D.PAIR_EFFECTIVENESS) -> DataFrame:
+    """(doc_id, mitigation, is_primary, effectiveness, risks, place) for the risky features of each record.
+
+    A mitigation that is primary for one risk is primary.  Effectiveness is the mean over
+    the risks that it is listed for, either way, of the pair's score, else of the default;
+    ``risks`` are those for which it is listed in its own class; ``place`` orders the
+    mitigations of a class by effectiveness, ties by name.
+    """
+    x = recommendations(records, table, pairs=pairs).where(F.col("mitigation").isNotNull())
+    score = F.coalesce("pair", F.when(F.col("is_primary"), D.PRIMARY_EFFECT).otherwise(D.SECONDARY_EFFECT))
+    listed = lambda c: F.collect_set(F.when(c, F.col("risk")))
+    out = x.groupBy("doc_id", "mitigation").agg(F.max("is_primary").alias("is_primary"), F.round(F.avg(score), 6).alias("effectiveness"), listed(F.col("is_primary")).alias("_p"), listed(~F.col("is_primary")).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "is_primary").orderBy(F.desc("effectiveness"), "mitigation"))
+    return out.select("doc_id", "mitigation", "is_primary", "effectiveness", F.concat_ws(",", F.array_sort(F.when(F.col("is_primary"), F.col("_p")).otherwise(F.col("_s")))).alias("risks"), place.alias("place"))

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..dictionaries import SENTIMENTS, SEVERITIES, SOURCES
+from ..sources.steps import written
 
 #: Fixed values of P13: an e-mail address in its common form; handles and phone numbers.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 HANDLE = r"@[A-Za-z0-9_]+@[A-Za-z0-9.-]+"
 PHONE = r"(?<![0-9])(\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9])"
 
-#: Labels of a sample that are broadcast at most.
-LABELS = 1000
+#: Labels of a sample that are broadcast at most, and digits of a hash that rounds of counting look at.
+LABELS, DIGITS = 1000, (3, 6, 12, 48)
 
 
 def violations(sources=SOURCES, columns=None) -> Column:
@@ -90,19 +91,47 @@ def dedup_append(batch: DataFrame, index: DataFrame | None, source: str, order:
     return keyed.join(first, same).select(*batch.columns, F.col("_key").alias("key"))
 
 
+def first_of_each(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_l, _p, _take, _same): where the first rows of each label by ``_s`` end.
+
+    ``rows``: stored (_l, _s), ``_s`` a string of 48 hex digits; ``wanted``: (_l, _want), at
+    least 1 and at most the label's rows.  Rows whose ``_s`` starts with less than ``_p`` are
+    among the first, and ``_take`` of the ``_same`` rows that start with it.  Each round
+    counts the rows under a label's open prefix by longer prefixes, so no label is sorted.
+    """
+    ends = wanted.select("_l", F.lit("").alias("_p"), F.col("_want").alias("_take"))
+    for digits in DIGITS:
+        few = F.broadcast(ends) if ends.limit(LABELS + 1).count() <= LABELS else ends
+        under = rows.join(few, "_l").where(F.substring("_s", 1, F.length("_p")) == F.col("_p"))
+        counts = under.groupBy("_l", F.substring("_s", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_same"), F.first("_take").alias("_take"))
+        upto = F.sum("_same").over(Window.partitionBy("_l").orderBy("_p"))
+        ends = written(counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_same") < F.col("_take"))).select("_l", "_p", (F.col("_take") - F.col("_upto") + F.col("_same")).alias("_take"), "_same"))
+        if not ends.where("_take < _same").limit(1).count():
+            break
+    return ends
+
+
 def stratified_sample(df: DataFrame, label: str, key: str, target: int, floor: int = 10, seed: str = "s") -> DataFrame:
-    """min(n, max(floor, round(n / N * target))) rows of each label, the first by a hash of seed, label and key."""
+    """min(n, max(floor, round(n / N * target))) rows of each label, the first by a hash of seed, label and key.
+
+    Rows that repeat a key follow each other by a hash of all their columns; of rows that
+    are equal in all of them any may be taken.  Null labels are ``unknown``.
+    """
+    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
     name = F.coalesce(F.col(label).cast("string"), F.lit("unknown"))
-    sizes = df.groupBy(name.alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    want = sizes.crossJoin(F.broadcast(total)).select("_l", "_n", F.least("_n", F.greatest(F.lit(floor), F.bround(F.col("_n") / F.col("_total") * target).cast("long"))).alias("_want"))
-    want = want.withColumn("_most", (F.col("_want") + 8 * F.sqrt("_want") + 64) / F.col("_n"))
-    hashed = df.withColumn("_l", name).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "_l", F.col(key).cast("string"))))
-    # Hashes are even, so the first rows of a large label lie under its share with a margin of eight deviations: only those are ranked.
-    share = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(16**12)
-    near = hashed.join(F.broadcast(want.limit(LABELS)) if want.limit(LABELS + 1).count() <= LABELS else want, "_l").where(share <= F.col("_most"))
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", key)))
-    return ranked.where(F.col("_r") <= F.col("_want")).drop("_l", "_h", "_r", "_want", "_most", "_n")
+    place = F.concat(F.md5(F.concat_ws("|", F.lit(seed), "_l", F.col(key).cast("string"))), F.lpad(F.hex(F.xxhash64(*plain)), 16, "0"))
+    marked = df.withColumn("_l", name).withColumn("_s", place)
+    rows = written(marked.select("_l", "_s"))
+    sizes = written(rows.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    want = F.least("_n", F.greatest(F.lit(floor), F.bround(F.col("_n") / F.lit(total) * target).cast("long")))
+    ends = first_of_each(rows, sizes.select("_l", want.alias("_want")).where("_want > 0"))
+    few = F.broadcast(ends) if ends.limit(LABELS + 1).count() <= LABELS else ends
+    at = F.substring("_s", 1, F.length("_p"))
+    near = marked.join(few, "_l").where(at <= F.col("_p"))
+    last = (at == F.col("_p")) & (F.col("_take") < F.col("_same"))
+    ranked = near.where(last).withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_s"))).where(F.col("_r") <= F.col("_take"))
+    return near.where(~last).select(*df.columns).union(ranked.select(*df.columns))
 
 
 def without_gold(train: DataFrame, gold: DataFrame, key: str = "id") -> DataFrame:

@@ -1,39 +1,35 @@
 """Keyword labelling, weak supervision, framework evaluators and fallback classifiers.
 
-Every operator is a set of Column expressions over the record: one projection, no shuffle.
-Word overlaps of a category collapse to one intersection for each multiplicity, so the plan
-stays small with many keywords.
+Every operator is a set of Column expressions over the record: no shuffle, and each text is
+read once for all terms (``functions.matcher``).  Word overlaps of a category collapse to
+one intersection for each multiplicity, so the plan stays small with many keywords.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
-from ..functions.text import assemble, contains_any, first_match, hits, string_array, tokens
+from ..functions.matcher import TermIndex, let
+from ..functions.text import assemble, string_array
 
 
-def category_score(text: Column, words: Column, keywords) -> Column:
-    """2 for each keyword that is a substring, 0.5 for each token shared with each keyword."""
-    times = Counter(w for k in keywords for w in set(re.findall(r"\w+", k)))
-    score = F.lit(0.0)
-    for k in keywords:
-        score = score + F.contains(text, F.lit(k)).cast("int") * 2.0
-    for m in sorted(set(times.values())):
-        score = score + F.size(F.array_intersect(words, string_array(w for w, n in times.items() if n == m))) * (0.5 * m)
-    return score
+def category_score(index: TermIndex, found: Column, keywords) -> Column:
+    """2 for each keyword that is a substring, 0.5 for each word of the text shared with each keyword."""
+    shared = [w for k in keywords for w in set(re.findall(r"\w+", k))]
+    return index.count(found, keywords) * 2.0 + index.count(found, shared, whole=True) * 0.5
 
 
 def with_category_scores(records: DataFrame, text: Column, categories=D.CATEGORIES) -> DataFrame:
     """Add ``text_lc`` and ``scores``: an array of (score, ord, category), ord negative in dictionary order.  Null text scores 0."""
-    base = records.withColumn("text_lc", F.lower(F.coalesce(text, F.lit(""))))
-    base = base.withColumn("words", tokens(F.col("text_lc")))
-    each = [F.struct(category_score(F.col("text_lc"), F.col("words"), ks).alias("score"), F.lit(-i).alias("ord"), F.lit(c).alias("category")) for i, (c, ks) in enumerate(categories.items())]
-    return base.withColumn("scores", F.array(*each)).drop("words")
+    keywords = [k for ks in categories.values() for k in ks]
+    index = TermIndex(keywords, words=[w for k in keywords for w in re.findall(r"\w+", k)])
+    base = records.withColumn("text_lc", F.lower(F.coalesce(text, F.lit("")))).withColumn("_found", index.found(F.col("text_lc")))
+    each = [F.struct(category_score(index, F.col("_found"), ks).alias("score"), F.lit(-i).alias("ord"), F.lit(c).alias("category")) for i, (c, ks) in enumerate(categories.items())]
+    return base.withColumn("scores", F.array(*each)).drop("_found")
 
 
 def best_category(threshold: float = D.THRESHOLD) -> Column:
@@ -80,41 +76,43 @@ def offline_arm(records: DataFrame) -> DataFrame:
 def weak_labels(records: DataFrame) -> DataFrame:
     """Add distress terms, sensitivity level with its first five terms, mismatch flag and parents in their fixed order."""
     text = assemble(F.col("description"), F.col("harm_summary"), F.col("raw_body"), F.col("raw_title"))
-    base = records.withColumn("_t", F.lower(text))
-    distress = F.array_sort(F.array_distinct(F.regexp_extract_all("_t", F.lit(D.DISTRESS), 1)))
-    matched = lambda terms: F.filter(string_array(terms), lambda t: F.contains(F.col("_t"), t))
-    terms = F.coalesce(*[F.when(contains_any(F.col("_t"), ts), F.slice(matched(ts), 1, 5)) for _, ts in D.SENSITIVITY], F.array().cast("array<string>"))
-    parents = F.array_compact(F.array(*[F.when(F.col("_t").rlike(p), F.lit(n)) for n, p in D.PARENT_PATTERNS]))
+    index = TermIndex([t for _, ts in D.SENSITIVITY for t in ts], [D.DISTRESS, D.MISMATCH, *[p for _, p in D.PARENT_PATTERNS]])
+    base = records.withColumn("_t", F.lower(text)).withColumn("_found", index.found(F.col("_t")))
+    found, t, none = F.col("_found"), F.col("_t"), F.array().cast("array<string>")
+    distress = F.when(index.holds(found, *index.required[D.DISTRESS]), F.array_sort(F.array_distinct(F.regexp_extract_all("_t", F.lit(D.DISTRESS), 1)))).otherwise(none)
+    terms = F.coalesce(*[F.when(index.holds(found, *ts), F.slice(index.listed(found, ts), 1, 5)) for _, ts in D.SENSITIVITY], none)
+    parents = F.array_compact(F.array(*[F.when(index.matches(found, t, p), F.lit(n)) for n, p in D.PARENT_PATTERNS]))
     return base.select(
         *records.columns,
         distress.alias("distress"),
-        first_match(F.col("_t"), D.SENSITIVITY).alias("sensitivity"),
+        index.first(found, D.SENSITIVITY).alias("sensitivity"),
         terms.alias("sensitive_terms"),
-        F.col("_t").rlike(D.MISMATCH).alias("contextual_mismatch"),
+        index.matches(found, t, D.MISMATCH).alias("contextual_mismatch"),
         parents.alias("parents"),
     )
 
 
 def framework_predictions(records: DataFrame) -> DataFrame:
     """Long frame (doc_id, framework, harm, severity, confidence) of the three rule frameworks."""
-    t = F.lower(F.coalesce("description", F.lit("")))
-    base = records.select("doc_id", t.alias("t"))
-    t = F.col("t")
-    severe, excess = contains_any(t, ("breach", "exposure", "unauthorized", "leak")), contains_any(t, ("excessive", "unnecessary"))
+    breach, much = ("breach", "exposure", "unauthorized", "leak"), ("excessive", "unnecessary")
+    index = TermIndex([*breach, *much, *[w for _, ws in D.SOLOVE_WORDS for w in ws], *[w for ws in D.PRINCIPLES for w in ws]])
+    base = records.select("doc_id", index.found(F.lower(F.coalesce("description", F.lit("")))).alias("_found"))
+    found = F.col("_found")
+    severe, excess = index.holds(found, *breach), index.holds(found, *much)
     a = F.struct(
         F.lit("A").alias("framework"),
         F.when(excess, F.lit("aggregation")).when(severe, F.lit("insecurity")).otherwise(F.lit("regulatory_violation")).alias("harm"),
         F.when(severe, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
         F.when(excess, F.lit(0.7)).when(severe, F.lit(0.8)).otherwise(F.lit(0.6)).alias("confidence"),
     )
-    top = F.array_max(F.array(*[F.struct(hits(t, ws).alias("n"), F.lit(-i).alias("o"), F.lit(h).alias("h")) for i, (h, ws) in enumerate(D.SOLOVE_WORDS)]))
+    top = F.array_max(F.array(*[F.struct(index.count(found, ws).alias("n"), F.lit(-i).alias("o"), F.lit(h).alias("h")) for i, (h, ws) in enumerate(D.SOLOVE_WORDS)]))
     b = F.struct(
         F.lit("B").alias("framework"),
         F.when(top["n"] > 0, top["h"]).otherwise(F.lit("regulatory_violation")).alias("harm"),
         F.when(top["n"] >= 3, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
         F.when(top["n"] >= 3, F.lit(0.9)).when(top["n"] >= 2, F.lit(0.7)).otherwise(F.lit(0.5)).alias("confidence"),
     )
-    n = sum((contains_any(t, p).cast("int") for p in D.PRINCIPLES), F.lit(0))
+    n = sum((index.holds(found, *p).cast("int") for p in D.PRINCIPLES), F.lit(0))
     c = F.struct(
         F.lit("C").alias("framework"),
         F.when(n > 0, F.lit("regulatory_violation")).otherwise(F.lit("data_handling")).alias("harm"),
@@ -126,12 +124,15 @@ def framework_predictions(records: DataFrame) -> DataFrame:
 
 def relevance(text: Column) -> Column:
     """Struct (is_relevant, confidence, harms) of the offline classifier; harms are a sorted set."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    yes = contains_any(t, D.RELEVANCE)
-    names = [F.when(F.contains(t, F.lit(s.replace("_", " "))), F.lit(s)) for s in D.SUBTYPE_PARENT]
-    ladder = [F.when(F.contains(t, F.lit(w)), F.lit(label)) for w, label in D.FALLBACK]
-    harms = F.array_sort(F.array_distinct(F.array_compact(F.array(*names, *ladder))))
-    return F.struct(yes.alias("is_relevant"), F.when(yes, F.lit(0.5)).otherwise(F.lit(0.3)).alias("confidence"), harms.alias("harms"))
+    rungs = [(s.replace("_", " "), s) for s in D.SUBTYPE_PARENT] + list(D.FALLBACK)
+    index = TermIndex([*D.RELEVANCE, *[w for w, _ in rungs]])
+
+    def judged(found: Column) -> Column:
+        yes = index.holds(found, *D.RELEVANCE)
+        harms = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(index.holds(found, w), F.lit(label)) for w, label in rungs]))))
+        return F.struct(yes.alias("is_relevant"), F.when(yes, F.lit(0.5)).otherwise(F.lit(0.3)).alias("confidence"), harms.alias("harms"))
+
+    return let(index.found(F.lower(F.coalesce(text, F.lit("")))), judged)
 
 
 def parse_label(answer: Column, labels) -> Column:

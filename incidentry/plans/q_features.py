@@ -118,11 +118,23 @@ def a24_mitigations(spark, sf):
     return X.mitigations(X.build_features(incidents(spark, sf)))
 
 
-_MIT = [(r, m, p, e) for r, pair in D.MITIGATIONS.items() for ms, p, e in ((pair[0], 1, D.PRIMARY_EFFECT), (pair[1], 0, D.SECONDARY_EFFECT)) for m in ms]
-_MIT_SQL = f"""WITH {INCIDENTS}, {FEATURES}, m(risk, m, p, e) AS ({sql_values(_MIT)}),
-x AS (SELECT doc_id, unnest(list_intersect(pf, {sql_list(D.RISKY)})) AS risk FROM fr),
-y AS (SELECT doc_id, x.risk, m, p, e FROM x JOIN m USING (risk) UNION ALL SELECT doc_id, risk, '{D.DEFAULT_MITIGATION[0][0]}', 1, {D.PRIMARY_EFFECT} FROM x WHERE risk NOT IN (SELECT risk FROM m))
-SELECT doc_id, m AS mitigation, max(p) = 1 AS is_primary, round(avg(e::DOUBLE), 6) AS effectiveness, string_agg(DISTINCT risk, ',' ORDER BY risk) AS risks FROM y GROUP BY doc_id, m"""
+_MIT = [(r, m, p, D.EFFECTIVENESS.get(m, 0.5), D.PAIR_EFFECTIVENESS.get((r, m))) for r, pair in D.MITIGATIONS.items() for ms, p in ((pair[0], 1), (pair[1], 0)) for m in ms]
+_RISKS = f"""m(risk, m, p, a, c) AS ({sql_values(_MIT)}), rw(risk, weight) AS ({sql_values(D.RISK_WEIGHTS.items())}),
+x AS (SELECT doc_id, unnest(list_intersect(pf, {sql_list(D.RISKY)})) AS risk FROM fr)"""
+_MIT_SQL = f"""WITH {INCIDENTS}, {FEATURES}, {_RISKS},
+y AS (SELECT doc_id, x.risk, m, p, coalesce(c::DOUBLE, CASE p WHEN 1 THEN {D.PRIMARY_EFFECT}::DOUBLE ELSE {D.SECONDARY_EFFECT}::DOUBLE END) AS e, max(p) OVER (PARTITION BY doc_id, m) AS top FROM x JOIN m USING (risk)),
+z AS (SELECT doc_id, m AS mitigation, max(p) = 1 AS is_primary, round(avg(e), 6) AS effectiveness, string_agg(DISTINCT risk, ',' ORDER BY risk) FILTER (p = top) AS risks FROM y GROUP BY doc_id, m)
+SELECT *, row_number() OVER (PARTITION BY doc_id, is_primary ORDER BY effectiveness DESC, mitigation)::INTEGER AS place FROM z"""
+
+
+def r11_recommendations(spark, sf):
+    """Mitigations of each risky feature with their scores; risks without any keep a row."""
+    return X.recommendations(X.build_features(incidents(spark, sf)))
+
+
+_REC_SQL = f"""WITH {INCIDENTS}, {FEATURES}, {_RISKS}
+SELECT doc_id, x.risk, coalesce(weight::DOUBLE, {D.NO_RISK_WEIGHT}::DOUBLE) AS weight, m AS mitigation, p = 1 AS is_primary, a::DOUBLE AS alone, CASE WHEN m IS NOT NULL THEN coalesce(c::DOUBLE, 0.5::DOUBLE) END AS combined, c::DOUBLE AS pair
+FROM x LEFT JOIN m USING (risk) LEFT JOIN rw USING (risk)"""
 
 
 def fd1_canonical_date(spark, sf):
@@ -155,5 +167,5 @@ k AS (SELECT p.doc_id, p.label, coalesce(sc.score, 0) >= 0.5 AS good FROM p LEFT
 SELECT i.doc_id, coalesce(string_agg(label, ',' ORDER BY label) FILTER (good), '') AS kept, coalesce(string_agg(label, ',' ORDER BY label) FILTER (NOT good), '') AS rejected
 FROM incidents i LEFT JOIN k ON k.doc_id = i.doc_id GROUP BY i.doc_id"""
 
-QUERIES = {f.__name__: f for f in (ff_features, ff7_causal_phrases, fs11_risk_score, fs13_composite, r2_select_rules, a24_mitigations, fd1_canonical_date, fd2_truncate, j15_validated_harms)}
-ORACLE_SQL = {"ff_features": _FEATURES_SQL, "ff7_causal_phrases": _causal_sql(), "fs11_risk_score": _RISK_SQL, "fs13_composite": _COMPOSITE_SQL, "r2_select_rules": _RULES_SQL, "a24_mitigations": _MIT_SQL, "fd1_canonical_date": _DATE_SQL, "fd2_truncate": _TRUNCATE_SQL, "j15_validated_harms": _VALIDATED_SQL}
+QUERIES = {f.__name__: f for f in (ff_features, ff7_causal_phrases, fs11_risk_score, fs13_composite, r2_select_rules, a24_mitigations, r11_recommendations, fd1_canonical_date, fd2_truncate, j15_validated_harms)}
+ORACLE_SQL = {"ff_features": _FEATURES_SQL, "ff7_causal_phrases": _causal_sql(), "fs11_risk_score": _RISK_SQL, "fs13_composite": _COMPOSITE_SQL, "r2_select_rules": _RULES_SQL, "a24_mitigations": _MIT_SQL, "r11_recommendations": _REC_SQL, "fd1_canonical_date": _DATE_SQL, "fd2_truncate": _TRUNCATE_SQL, "j15_validated_harms": _VALIDATED_SQL}

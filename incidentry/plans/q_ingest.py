@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,20 +10,12 @@ from ..functions.text import canonical_date
 from ..operators import ingest as I
 from ..operators import labeling as L
 from ..sources.jsonl import merge_sources
+from ..sources.steps import scratch
 from ..streaming import jobs
 from .q_labeling import _LABELED
 from .views import GOLD, INCIDENTS, gold, incidents, table
 
 
-def _scratch(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def p1_validation(spark, sf):
     return incidents(spark, sf).select("doc_id", F.concat_ws(",", I.violations(columns=incidents(spark, sf).columns)).alias("violations"))
 
@@ -130,7 +119,7 @@ def _events_stream(spark, sf):
 
 def t1_stream_dedup(spark, sf):
     """Dedup ingest of the events as a stream; the final table."""
-    root = _scratch(spark)
+    root = scratch(spark)
     s = _events_stream(spark, sf).select("event_id", "event_type", F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("value") / 25).cast("string")).alias("k"))
     jobs.dedup_ingest(s, f"{root}/index", f"{root}/out", f"{root}/log", "event_type", "event_id", "k").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type", "key")
@@ -142,7 +131,7 @@ _STREAM_SQL = """SELECT min(event_id) AS event_id, event_type, CAST(user_id AS V
 def t3_stream_confidence(spark, sf):
     """Running confidence of event types as a stream; the final table."""
     s = _events_stream(spark, sf).withColumn("ok", (F.col("value") > 50).cast("int"))
-    root = _scratch(spark)
+    root = scratch(spark)
     totals = jobs.running_confidence(s, "event_type", "ok").writeStream.outputMode("complete").option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
     totals.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out")).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")

@@ -17,7 +17,7 @@ from ..sources import dictionaries as S
 from ..sources import sinks as K
 from ..streaming import jobs
 from .q_features import FEATURES, _any, _pf
-from .q_ingest import _scratch
+from ..sources.steps import scratch
 from .q_labeling import _LABELED, RUNGS, _scored
 from .q_ml import FLAGS, _frame, _lines
 from .views import GOLD, INCIDENTS, gold, incidents, sql_list, sql_values, table
@@ -185,7 +185,7 @@ CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'size:' || n_chars || ':0.5,size:x:1.0' EN
 
 def t2_stream_enrichment(spark, sf):
     """Incidents that arrive as files, labelled and featured as a stream; the final table."""
-    root = _scratch(spark)
+    root = scratch(spark)
     i = incidents(spark, sf)
     i.write.parquet(f"{root}/in")
     out = jobs.enrich(spark.readStream.schema(i.schema).parquet(f"{root}/in")).select("doc_id", "harm_category", "rc_risky")
@@ -212,7 +212,7 @@ SELECT coalesce(w.category, c.category) AS category, coalesce(c.weight, w.weight
 def k7_saved_report(spark, sf):
     """A classification report of the keyword labels against the gold labels, saved as a long table and read back."""
     g = L.label_records(gold(spark, sf).where(F.size("harms") > 0)).select(F.col("harms")[0].alias("t"), F.col("harm_category").alias("p"))
-    path = f"{_scratch(spark)}/report"
+    path = f"{scratch(spark)}/report"
     K.save_report(K.long_report(E.classification_report(g, "t", "p"), "keywords"), path)
     return spark.read.parquet(path).where("label not in ('accuracy', 'macro avg', 'weighted avg')").select("runner", "label", "metric", F.round("value", 6).alias("value"))
 
@@ -226,7 +226,7 @@ def k9_saved_model(spark, sf):
     """A tree saved with its metrics, loaded again and scored: one report with the heuristic beside it, models ranked."""
     d = _lines(spark, sf).withColumn("y", (F.col("l_extendedprice") > 30000).cast("string"))
     train, test = T.split_dataset(d, "y", "k")
-    cols, path = ["l_quantity", "l_discount", "l_tax"], f"{_scratch(spark)}/bundle"
+    cols, path = ["l_quantity", "l_discount", "l_tax"], f"{scratch(spark)}/bundle"
     fitted = M.fit_classifier(train, cols, "y", "tree", depth=4)
     K.save_bundle(fitted, path, train.select("k", *cols, "y"), M.evaluate_fitted(fitted, test, "y"), {"depth": 4})
     loaded, _ = K.load_bundle(spark, path)

@@ -18,8 +18,8 @@ from incidentry.sources import jsonl, sinks
 
 
 def planted(spark, n=400):
-    d = spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("kw_privacy"), (F.floor(F.col("id") / 2) % 2).cast("int").alias("kw_security"))
-    return d.withColumn("y", (F.col("kw_privacy") * F.col("kw_security")).cast("string"))
+    rows = [(i, i % 2, i // 2 % 2, str(i % 2 * (i // 2 % 2))) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, kw_privacy int, kw_security int, y string")
 
 
 def test_bundle_round_trip(spark, tmp_path):

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.steps import written
+from .continuous import dominance as cliffs_delta  # noqa: F401
+
 
 #: The distribution function of Poisson(1), and the count up to which its draws are summed.
 POISSON_1 = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
@@ -86,7 +89,7 @@ def ordinal(df: DataFrame, truth: str, pred: str) -> DataFrame:
     of both raters; kappa is unweighted.  An undefined kappa is 1 if the raters agree
     everywhere, else 0; undefined correlations are 0.
     """
-    cells = df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    cells = written(df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n")))
     values = cells.select(F.col("t").alias("v")).union(cells.select("p")).distinct()
     place = values.select("v", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v")) - 1).alias("i"))
     rank_of = lambda side: cells.groupBy(F.col(side).alias("v")).agg(F.sum("n").alias("m")).select("v", "m", (F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("v")) - (F.col("m") - 1) / 2.0).alias("r"))
@@ -187,22 +190,6 @@ def bootstrap_interval(df: DataFrame, value: str, replicates: int = 200, level:
     return whole.crossJoin(limits).select("n", "mean", F.coalesce(F.col("q")[0], F.lit(0.0)).alias("low"), F.coalesce(F.col("q")[1], F.lit(0.0)).alias("high"))
 
 
-def cliffs_delta(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(a, b, delta, mean_diff) for each pair of groups, by sums of ranks over counted values."""
-    counted = df.groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    sizes = counted.groupBy("g").agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    below = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("v")))
-    values = counted.select("v").distinct()
-    grid = values.crossJoin(F.broadcast(sizes.select(F.col("g").alias("h")))).join(below.select(F.col("g").alias("h"), "v", "upto", F.col("c").alias("eq")), ["h", "v"], "left")
-    fill = Window.partitionBy("h").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.select("h", "v", F.coalesce(F.last("upto", ignorenulls=True).over(fill), F.lit(0)).alias("upto"), F.coalesce("eq", F.lit(0)).alias("eq"))
-    s = sizes.select(F.col("g").alias("h"), F.col("n").alias("nh"), F.col("mean").alias("mh"))
-    # For each value of g: rows of h below it minus rows above it = 2 * upto - eq - n.
-    joined = counted.join(grid, "v").join(F.broadcast(s), "h").where(F.col("g") < F.col("h"))
-    diff = joined.groupBy("g", "h", "nh", "mh").agg(F.sum(F.col("c") * (2 * F.col("upto") - F.col("eq") - F.col("nh"))).alias("d"))
-    return diff.join(F.broadcast(sizes), "g").select(F.col("g").alias("a"), F.col("h").alias("b"), (F.col("d") / (F.col("n") * F.col("nh"))).alias("delta"), (F.col("mean") - F.col("mh")).alias("mean_diff"))
-
-
 def signed_rank(df: DataFrame, key: str, group: str, value: str, level: float = 0.05) -> DataFrame:
     """(a, b, n, w, z, p, alpha, significant) for each pair of groups, paired by key.
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.steps import scratch, written
 from .evaluation import classification_report
 from .ingest import fold
 
@@ -110,6 +111,7 @@ class Fitted:
 
 def fit_classifier(train: DataFrame, columns: list[str], label: str, kind: str = "tree", **params) -> Fitted:
     """kind: tree, linear (L1), additive (boosted stumps, two labels), network."""
+    train = written(train.select(label, *columns))
     index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(train)
     stages = [index, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
     common = {"featuresCol": "features", "labelCol": "_y"}
@@ -123,7 +125,14 @@ def fit_classifier(train: DataFrame, columns: list[str], label: str, kind: str =
         stages.append(MultilayerPerceptronClassifier(**common, layers=[len(columns), params.get("hidden", 16), len(index.labels)], maxIter=params.get("rounds", 30), seed=0))
     else:
         raise ValueError(kind)
-    inner = Pipeline(stages=stages[1:]).fit(index.transform(train).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}))
+    # Iterations read a written frame of features and labels, not the texts that they come from.
+    data = index.transform(train).select("_y", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    inner = Pipeline(stages=stages[1:]).fit(data)
+    if kind in ("linear", "network"):
+        # A training summary holds the session, which no task can take along; a model read back has none.
+        path = scratch(train.sparkSession)
+        inner.save(path)
+        inner = PipelineModel.load(path)
     return Fitted(inner, columns, list(index.labels))
 
 
@@ -309,7 +318,7 @@ def reconstruction_error(df: DataFrame, columns: list[str], k: int) -> DataFrame
 def tune_tree(df: DataFrame, columns: list[str], label: str, key: str, depths=(2, 4), leaves=(1, 5), folds: int = 3) -> list[tuple[dict, float]]:
     """(parameters, mean F1) of a grid by cross-validation over hashed folds, best first, shallower on ties."""
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df)
-    data = assemble(index.transform(df).withColumn("_fold", fold(F.col(key), folds).cast("int")), columns)
+    data = written(assemble(index.transform(df).withColumn("_fold", fold(F.col(key), folds).cast("int")), columns).select("_y", "_fold", "features"))
     tree = DecisionTreeClassifier(featuresCol="features", labelCol="_y", seed=0)
     grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).addGrid(tree.minInstancesPerNode, list(leaves)).build()
     cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="_y", metricName="f1"), numFolds=folds, foldCol="_fold", parallelism=2).fit(data)
@@ -318,14 +327,11 @@ def tune_tree(df: DataFrame, columns: list[str], label: str, key: str, depths=(2
 
 
 def cascade(train: DataFrame, columns: list[str], targets: list[str], depth: int = 3) -> dict[str, Fitted | str]:
-    """One small tree for each 0/1 target over one cached frame; a target with one class is named instead of fitted."""
-    kept = train.cache()
-    try:
-        counts = kept.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(t).cast("int")).alias(t) for t in targets]).first()
-        leaf = max(5, counts["n"] // 100)
-        return {t: fit_classifier(kept, columns, t, "tree", depth=depth, leaf=leaf) if 0 < (counts[t] or 0) < counts["n"] else "single class" for t in targets}
-    finally:
-        kept.unpersist()
+    """One small tree for each 0/1 target over one written frame; a target with one class is named instead of fitted."""
+    kept = written(train.select(*columns, *targets))
+    counts = kept.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(t).cast("int")).alias(t) for t in targets]).first()
+    leaf = max(5, counts["n"] // 100)
+    return {t: fit_classifier(kept, columns, t, "tree", depth=depth, leaf=leaf) if 0 < (counts[t] or 0) < counts["n"] else "single class" for t in targets}
 
 
 def contributions(df: DataFrame, weights: list[tuple[str, float]], key: str) -> DataFrame:
@@ -360,7 +366,7 @@ def sentiment_model(df: DataFrame, columns: list[str], score: str, key: str, pos
     ``{"status": ...}`` alone.
     """
     s = F.coalesce(F.col(score), F.lit(0.0))
-    d = df.withColumn("_target", ((s > 0) if positive else (s < 0)).cast("int").cast("string"))
+    d = written(df.select(key, *columns, ((s > 0) if positive else (s < 0)).cast("int").cast("string").alias("_target")))
     n = {r["_target"]: r["n"] for r in d.groupBy("_target").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if sum(n.values()) < 4:
         return {"status": "skipped: fewer than four rows"}

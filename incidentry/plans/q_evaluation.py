@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import continuous as R
 from ..operators import evaluation as E
 from ..operators import labeling as L
 from .q_labeling import ARM
@@ -117,6 +118,50 @@ SELECT a.g AS a, b.g AS b, round(sum(a.c * b.c * sign(a.v - b.v)) / (x.n * y.n),
 FROM e a JOIN e b ON a.g < b.g JOIN s x ON x.g = a.g JOIN s y ON y.g = b.g GROUP BY a.g, b.g, x.n, y.n, x.m, y.m"""
 
 
+def a22_cliffs_continuous(spark, sf):
+    """Cliff's delta of the values as they are."""
+    return _round(E.cliffs_delta(table(spark, sf, "events"), "event_type", "value"))
+
+
+_DELTA_ALL_SQL = """WITH s AS (SELECT event_type AS g, count(*)::DOUBLE AS n, avg(value) AS m FROM events GROUP BY 1)
+SELECT a.event_type AS a, b.event_type AS b, round(sum(sign(a.value - b.value)) / (x.n * y.n), 6) AS delta, round(x.m - y.m, 6) AS mean_diff
+FROM events a JOIN events b ON a.event_type < b.event_type JOIN s x ON x.g = a.event_type JOIN s y ON y.g = b.event_type GROUP BY a.event_type, b.event_type, x.n, y.n, x.m, y.m"""
+
+
+def a11_kendall(spark, sf):
+    """Tau-b of the customers' balance and what they have ordered."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).cast("double").alias("ordered"))
+    c = table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    return _round(R.kendall(c, "c_acctbal", "ordered"))
+
+
+_KENDALL_SQL = """WITH o AS (SELECT o_custkey, round(sum(o_totalprice), 2)::DOUBLE AS y FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, c_acctbal::DOUBLE AS x, y FROM customer JOIN o ON c_custkey = o_custkey),
+p AS (SELECT count(*)::DOUBLE AS pairs, sum(CASE WHEN sign(a.x - b.x) * sign(a.y - b.y) > 0 THEN 1 ELSE 0 END)::DOUBLE AS c, sum(CASE WHEN sign(a.x - b.x) * sign(a.y - b.y) < 0 THEN 1 ELSE 0 END)::DOUBLE AS d,
+  sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END)::DOUBLE AS tx, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END)::DOUBLE AS ty FROM c a JOIN c b ON a.k < b.k)
+SELECT (SELECT count(*) FROM c) AS n, c AS concordant, d AS discordant, tx AS ties_x, ty AS ties_y, round((c - d) / sqrt(pairs - tx) / sqrt(pairs - ty), 6) AS tau FROM p"""
+
+MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def w8_average_ranks(spark, sf):
+    """Ranks of all different values of four measures of the order lines."""
+    return R.average_ranks(table(spark, sf, "lineitem"), list(MEASURES))
+
+
+_AVERAGE_SQL = "WITH m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v FROM lineitem" for c in MEASURES) + """), k AS (SELECT col, v, count(*) AS n FROM m GROUP BY 1, 2)
+SELECT col AS column, v, n, (sum(n) OVER (PARTITION BY col ORDER BY v) - (n - 1) / 2.0::DOUBLE)::DOUBLE AS rank FROM k"""
+
+
+def a10_spearman(spark, sf):
+    """Rho of three measures with the price."""
+    return _round(R.spearman(table(spark, sf, "lineitem"), [c for c in MEASURES if c != "l_extendedprice"], "l_extendedprice"))
+
+
+_RHO_SQL = "WITH m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v, l_extendedprice::DOUBLE AS t FROM lineitem" for c in MEASURES if c != "l_extendedprice") + """),
+r AS (SELECT col, rank() OVER (PARTITION BY col ORDER BY v) + (count(*) OVER (PARTITION BY col, v) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY col ORDER BY t) + (count(*) OVER (PARTITION BY col, t) - 1) / 2.0::DOUBLE AS y FROM m)
+SELECT col AS column, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY col"""
+
+
 def a22_signed_rank(spark, sf):
     """Whole values of event types, paired by user; p is tested by listing all sign patterns."""
     e = table(spark, sf, "events").select("user_id", "event_type", F.floor(F.col("value")).alias("v"))
@@ -172,5 +217,5 @@ def a29_arm_comparison(spark, sf):
     return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("a").cast("int")), 6).alias("acc_a"), F.round(F.avg(F.col("b").cast("int")), 6).alias("acc_b"), F.round(F.avg(F.col("same").cast("int")), 6).alias("agreement"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
 
 
-QUERIES = {f.__name__: f for f in (a6_multi_label, a8_ranking, a9_ordinal, a13_calibration, a16_classification_report, a20_experiment_summary, a21_bootstrap, a22_cliffs_delta, a22_signed_rank, w6_running_confidence, w7_budget_routing, a2_review_stats, a29_arm_comparison)}
-ORACLE_SQL = {"a6_multi_label": _MULTI_SQL, "a8_ranking": _RANK_SQL, "a9_ordinal": _ORDINAL_SQL, "a13_calibration": _ECE_SQL, "a16_classification_report": _REPORT_SQL, "a20_experiment_summary": _SUMMARY_SQL, "a22_cliffs_delta": _DELTA_SQL, "a22_signed_rank": _SIGNED_SQL, "w6_running_confidence": _CONF_SQL, "w7_budget_routing": _BUDGET_SQL, "a2_review_stats": _REVIEW_SQL}
+QUERIES = {f.__name__: f for f in (a6_multi_label, a8_ranking, a9_ordinal, a13_calibration, a16_classification_report, a20_experiment_summary, a21_bootstrap, a22_cliffs_delta, a22_cliffs_continuous, a11_kendall, w8_average_ranks, a10_spearman, a22_signed_rank, w6_running_confidence, w7_budget_routing, a2_review_stats, a29_arm_comparison)}
+ORACLE_SQL = {"a6_multi_label": _MULTI_SQL, "a8_ranking": _RANK_SQL, "a9_ordinal": _ORDINAL_SQL, "a13_calibration": _ECE_SQL, "a16_classification_report": _REPORT_SQL, "a20_experiment_summary": _SUMMARY_SQL, "a22_cliffs_delta": _DELTA_SQL, "a22_cliffs_continuous": _DELTA_ALL_SQL, "a11_kendall": _KENDALL_SQL, "w8_average_ranks": _AVERAGE_SQL, "a10_spearman": _RHO_SQL, "a22_signed_rank": _SIGNED_SQL, "w6_running_confidence": _CONF_SQL, "w7_budget_routing": _BUDGET_SQL, "a2_review_stats": _REVIEW_SQL}

@@ -107,6 +107,12 @@ def cascade_questions(trees: dict[str, Fitted | str], train: DataFrame) -> DataF
     return table.join(weights, ["category", "node"], "left").select("category", "node", "parent", "feature", F.when(F.col("feature").isNotNull(), question(F.col("feature"))).alias("question"), "path", "weight")
 
 
+def tree_questions(nodes: DataFrame) -> DataFrame:
+    """``cascade_questions`` of trees that grew together: from ``trees.node_table``, which knows the weights already."""
+    asks = F.when(F.col("feature").isNotNull(), question(F.col("feature")))
+    return nodes.select(F.col("tree").alias("category"), "node", "parent", "feature", asks.alias("question"), "path", F.when(F.col("leaf"), F.col("weight")).alias("weight"))
+
+
 def checklist(questions: DataFrame) -> DataFrame:
     """(question, harms, n): each question with the sorted categories that ask it, most first."""
     asked = questions.where(F.col("question").isNotNull()).select("question", "category").distinct()

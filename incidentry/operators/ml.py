@@ -12,10 +12,8 @@ from functools import reduce
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -315,17 +313,6 @@ def reconstruction_error(df: DataFrame, columns: list[str], k: int) -> DataFrame
     return pca.transform(scaled).select(*df.columns, (F.greatest(square("scaled") - square("reduced"), F.lit(0.0)) / len(columns)).alias("error"))
 
 
-def tune_tree(df: DataFrame, columns: list[str], label: str, key: str, depths=(2, 4), leaves=(1, 5), folds: int = 3) -> list[tuple[dict, float]]:
-    """(parameters, mean F1) of a grid by cross-validation over hashed folds, best first, shallower on ties."""
-    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df)
-    data = written(assemble(index.transform(df).withColumn("_fold", fold(F.col(key), folds).cast("int")), columns).select("_y", "_fold", "features"))
-    tree = DecisionTreeClassifier(featuresCol="features", labelCol="_y", seed=0)
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).addGrid(tree.minInstancesPerNode, list(leaves)).build()
-    cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="_y", metricName="f1"), numFolds=folds, foldCol="_fold", parallelism=2).fit(data)
-    scored = [({p.name: v for p, v in m.items()}, float(s)) for m, s in zip(grid, cv.avgMetrics, strict=True)]
-    return sorted(scored, key=lambda x: (-round(x[1], 9), x[0]["maxDepth"]))
-
-
 def cascade(train: DataFrame, columns: list[str], targets: list[str], depth: int = 3) -> dict[str, Fitted | str]:
     """One small tree for each 0/1 target over one written frame; a target with one class is named instead of fitted."""
     kept = written(train.select(*columns, *targets))

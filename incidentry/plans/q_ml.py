@@ -50,21 +50,6 @@ def m5_rule_list(spark, sf):
     return spark.createDataFrame(M.rule_list(d, list(FLAGS), "danger", 4), "antecedent string, probability double, n long")
 
 
-def m6_cascade_checklist(spark, sf):
-    """Questions of all category trees and the categories that ask them."""
-    d = L.with_category_scores(_frame(spark, sf), L.labeler_text())
-    targets = list(D.CATEGORIES)
-    d = d.withColumns({t: _over(t) for t in targets})
-    trees = M.cascade(d.select("doc_id", *FLAGS, *targets), list(FLAGS), targets)
-    rows = sorted({(n["predicate"].split(" ")[0], t) for t, f in trees.items() if not isinstance(f, str) for n in M.tree_nodes(f) if n["parent"] is not None})
-    asked = spark.createDataFrame(rows, "feature string, category string")
-    return asked.groupBy("feature").agg(F.concat_ws(",", F.array_sort(F.collect_set("category"))).alias("categories"), F.count(F.lit(1)).alias("n"))
-
-
-def _over(category: str):
-    return F.exists("scores", lambda s: (s["category"] == category) & (s["score"] >= 1)).cast("int")
-
-
 def m7_mutual_information(spark, sf):
     return M.mutual_information(_frame(spark, sf), list(FLAGS)).select("a", "b", F.round("mi", 6).alias("mi"))
 
@@ -98,12 +83,6 @@ def m12_reconstruction(spark, sf):
     return M.reconstruction_error(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2).select("k", F.round("error", 6).alias("error"))
 
 
-def m13_tuning(spark, sf):
-    d = _frame(spark, sf).withColumn("y", F.col("danger").cast("string")).select("doc_id", "y", *FLAGS)
-    best = M.tune_tree(d, list(FLAGS), "y", "doc_id", depths=(1, 3), leaves=(1, 5), folds=2)
-    return spark.createDataFrame([(i, p["maxDepth"], p["minInstancesPerNode"], s) for i, (p, s) in enumerate(best, 1)], "place int, depth int, leaf int, f1 double")
-
-
 def m17_contributions(spark, sf):
     return M.contributions(_lines(spark, sf), [("l_quantity", 0.5), ("l_discount", -2.0)], "k").select("k", "feature", F.round("contribution", 6).alias("contribution"))
 
@@ -188,7 +167,7 @@ def z3_label_cascade(spark, sf):
     return x.groupBy("x.source").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (m2_tree_rules, m3_linear_directions, m4_additive_predictions, m5_rule_list, m6_cascade_checklist, m7_mutual_information, m7_bayes_tree, m10_calibrated_weights, m11_network, m12_reconstruction, m13_tuning, m17_contributions, r7_linear_rules, ff11_binarise, ff12_quantile_bins, fd3_json_answers, z1_batch_inference, ff9_label_projection, z3_label_cascade)}
+QUERIES = {f.__name__: f for f in (m2_tree_rules, m3_linear_directions, m4_additive_predictions, m5_rule_list, m7_mutual_information, m7_bayes_tree, m10_calibrated_weights, m11_network, m12_reconstruction, m17_contributions, r7_linear_rules, ff11_binarise, ff12_quantile_bins, fd3_json_answers, z1_batch_inference, ff9_label_projection, z3_label_cascade)}
 ORACLE_SQL = {
     "m7_mutual_information": _MI_SQL,
     "m17_contributions": _CONTRIB_SQL,

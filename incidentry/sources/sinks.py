@@ -6,8 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.heuristics import cascade_questions, checklist
+from ..operators.heuristics import cascade_questions, checklist, tree_questions
 from ..operators.ml import Fitted
+from ..operators.trees import Trees, cascade_report, gains, node_table
 from .jsonl import write_jsonl
 
 
@@ -85,6 +86,17 @@ def save_cascade(trees: dict[str, Fitted | str], train: DataFrame, path: str) ->
     spark.createDataFrame(status, "category string, status string").write.mode("overwrite").parquet(f"{path}/status")
 
 
+def save_trees(trees: Trees, spark: SparkSession, path: str) -> None:
+    """A cascade that grew together: questions, checklist, metrics and importances of each category, and the aggregate."""
+    tree_questions(node_table(trees, spark)).write.mode("overwrite").parquet(f"{path}/questions")
+    checklist(spark.read.parquet(f"{path}/questions")).write.mode("overwrite").parquet(f"{path}/checklist")
+    rows, total = cascade_report(trees)
+    spark.createDataFrame(rows, "category string, status string, accuracy double, precision double, recall double, f1 double").write.mode("overwrite").parquet(f"{path}/metrics")
+    parts = [(t, f, g) for t in sorted(trees.nodes) for f, g in sorted(gains(trees, t).items())]
+    spark.createDataFrame(parts, "category string, feature string, importance double").write.mode("overwrite").parquet(f"{path}/importances")
+    spark.createDataFrame(list(total.items()), "metric string, value double").write.mode("overwrite").parquet(f"{path}/aggregate")
+
+
 def append_trial(trial: DataFrame, path: str, run_id: str) -> None:
     """Append the rows of one trial (iteration, approach, accuracy) under its run."""
     trial.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)

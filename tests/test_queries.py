@@ -11,7 +11,7 @@ from incidentry.plans import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
-SLOW = {"m2_tree_rules", "m6_cascade_checklist", "m13_tuning", "m8_root_causes", "m9_mitigation_effects", "r9_heuristics"}
+SLOW = {"m2_tree_rules", "m8_root_causes", "m9_mitigation_effects", "r9_heuristics"}
 
 
 @pytest.fixture(scope="module")

@@ -121,10 +121,18 @@ def t1_stream_dedup(spark, sf):
     """Dedup ingest of the events as a stream; the final table."""
     root = scratch(spark)
     s = _events_stream(spark, sf).select("event_id", "event_type", F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("value") / 25).cast("string")).alias("k"))
-    jobs.dedup_ingest(s, f"{root}/index", f"{root}/out", f"{root}/log", "event_type", "event_id", "k").awaitTermination()
+    jobs.dedup_ingest(s, f"{root}/index", f"{root}/out", f"{root}/log", "event_type", "event_id", "k", f"{root}/counts").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type", "key")
 
 
+def t1_stream_counts(spark, sf):
+    """Rows processed, written and skipped by the same ingest, over all its batches."""
+    root = scratch(spark)
+    s = _events_stream(spark, sf).select("event_id", "event_type", F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("value") / 25).cast("string")).alias("k"))
+    jobs.dedup_ingest(s, f"{root}/index", f"{root}/out", f"{root}/log", "event_type", "event_id", "k", f"{root}/counts").awaitTermination()
+    return spark.read.parquet(f"{root}/counts").agg(*[F.sum(c).alias(c) for c in ("processed", "written", "skipped")])
+
+
 _STREAM_SQL = """SELECT min(event_id) AS event_id, event_type, CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR) AS key FROM events GROUP BY 2, 3"""
 
 
@@ -140,7 +148,7 @@ def t3_stream_confidence(spark, sf):
 _TCONF_SQL = """WITH d AS (SELECT event_type, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN value > 50 THEN 0 ELSE 1 END)::DOUBLE AS b FROM events GROUP BY 1)
 SELECT event_type, round_even((a + 1) / (a + b + 2) * (1 - exp(-(a + b) / 10.0::DOUBLE)), 4) AS confidence FROM d"""
 
-QUERIES = {f.__name__: f for f in (p1_validation, p13_scrub, p13_scrub_all, k2_dedup_ingest, w3_stratified_sample, j6_without_gold, p15_small_rows, u1_merge_sources, a3_label_frequency, s6_feature_join, t1_stream_dedup, t3_stream_confidence)}
+QUERIES = {f.__name__: f for f in (p1_validation, p13_scrub, p13_scrub_all, k2_dedup_ingest, w3_stratified_sample, j6_without_gold, p15_small_rows, u1_merge_sources, a3_label_frequency, s6_feature_join, t1_stream_dedup, t1_stream_counts, t3_stream_confidence)}
 ORACLE_SQL = {
     "p1_validation": _VALID_SQL,
     "p13_scrub": _SCRUB_SQL,
@@ -151,5 +159,6 @@ ORACLE_SQL = {
     "a3_label_frequency": _FREQ_SQL,
     "s6_feature_join": _FJOIN_SQL,
     "t1_stream_dedup": _STREAM_SQL,
+    "t1_stream_counts": f"SELECT (SELECT count(*) FROM events) AS processed, count(*) AS written, (SELECT count(*) FROM events) - count(*) AS skipped FROM ({_STREAM_SQL})",
     "t3_stream_confidence": _TCONF_SQL,
 }

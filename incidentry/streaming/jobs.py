@@ -2,35 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.evaluation import confidence
 from ..operators.features import build_features
-from ..operators.ingest import dedup_append
+from ..operators.ingest import dedup_append, record_key
 from ..operators.labeling import label_records
+from ..sources.steps import written
 
 
-def dedup_ingest(stream: DataFrame, index_path: str, out_path: str, checkpoint: str, source: str, order: str, key: str | None = None) -> StreamingQuery:
+#: Columns of an index of seen keys; batch and bucket are folders.
+INDEX = "source string, key string, batch long, bucket int"
+
+
+def key_bucket(source: Column, key: Column, buckets: int) -> Column:
+    """The bucket of the index that holds (source, key); the same for every run and partitioning."""
+    return F.pmod(F.xxhash64(source, key), F.lit(buckets)).cast("int")
+
+
+def seen_keys(spark: SparkSession, index_path: str, before: int, touched: list[int]) -> DataFrame:
+    """(source, key) of earlier batches in the buckets ``touched``: other buckets' files are not opened."""
+    index = spark.read.schema(INDEX).parquet(index_path)
+    return index.where(F.col("bucket").isin(touched) & (F.col("batch") < before)).select("source", "key")
+
+
+def dedup_ingest(stream: DataFrame, index_path: str, out_path: str, checkpoint: str, source: str, order: str, key: str | None = None, counts_path: str | None = None, buckets: int = 64) -> StreamingQuery:
     """Append rows with unseen (source, key) to ``out_path`` and their keys to ``index_path``.
 
-    Each micro-batch writes under its batch number, so a batch that is run again after a
-    failure overwrites itself instead of adding rows.
+    The index is laid out by bucket of the key, so a batch reads the buckets that its own keys
+    fall into and no others.  Each micro-batch writes under its batch number and looks at
+    earlier numbers only, so a batch that is run again after a failure overwrites itself with
+    the same rows instead of adding or losing any.  ``counts_path`` gets processed, written and
+    skipped rows of each batch.  An index keeps its number of buckets for life.
     """
+    spark = stream.sparkSession
+    # An empty index, so that the first batch reads it like any other.
+    spark.createDataFrame([], INDEX).write.mode("append").partitionBy("batch", "bucket").parquet(index_path)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            index = spark.read.parquet(index_path).where(F.col("batch") != number)
-        except Exception as e:  # the first batch has no index yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            index = None
-        fresh = dedup_append(batch, index, source, order, key)
-        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        written = spark.read.parquet(f"{out_path}/batch={number}")
-        written.select(F.col(source).alias("source"), "key").write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        session = batch.sparkSession
+        keyed = written(batch.withColumn("_bucket", key_bucket(F.col(source).cast("string"), record_key(batch, key), buckets)))
+        per = {r["_bucket"]: r["n"] for r in keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a bucket
+        rows = keyed.drop("_bucket")
+        dedup_append(rows, seen_keys(session, index_path, number, sorted(per)), source, order, key).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        new = session.read.parquet(f"{out_path}/batch={number}").select(F.col(source).cast("string").alias("source"), "key")
+        new = new.withColumn("bucket", key_bucket(F.col("source"), F.col("key"), buckets))
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{index_path}/batch={number}")
+        if counts_path:
+            done, kept = sum(per.values()), new.count()
+            session.createDataFrame([(done, kept, done - kept)], "processed long, written long, skipped long").write.mode("overwrite").parquet(f"{counts_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import os
 
 from pyspark.sql import functions as F
 
@@ -230,6 +231,40 @@ def test_stream_dedup_equals_batch(spark, tmp_path):
     assert sorted(r["key"] for r in got.collect()) == ["0", "1", "2", "3"]
 
 
+def test_stream_dedup_reads_its_own_buckets(spark, tmp_path):
+    """Three runs over one checkpoint: a run starts where the last one ended, and opens the index files of its own keys only."""
+    ins, idx, out, log, counts = (str(tmp_path / x) for x in ("in", "i", "o", "c", "n"))
+    schema = "o int, s string, k string"
+    batches = [[(i, "s", str(i)) for i in range(200)], [(200, "s", "7"), (201, "s", "new"), (202, "s", "new"), (203, None, "7")], [(300, None, "7"), (301, "s", None), (302, "t", "7")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(ins)
+        jobs.dedup_ingest(spark.readStream.schema(schema).parquet(ins), idx, out, log, "s", "o", "k", counts, buckets=32).awaitTermination()
+    got = {(r["o"], r["s"], r["k"]) for r in spark.read.parquet(out).collect()}
+    assert got == {*batches[0], (201, "s", "new"), (203, None, "7"), (301, "s", None), (302, "t", "7")}
+    n = {r["batch"]: (r["processed"], r["written"], r["skipped"]) for r in spark.read.parquet(counts).collect()}
+    assert n == {0: (200, 200, 0), 1: (4, 2, 2), 2: (3, 2, 1)}
+    # The plan of one bucket's keys lists a thirty-second of the index, and nothing of later batches.
+    scan = jobs.seen_keys(spark, idx, 1, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "bucket" in scan.split("PartitionFilters")[1]
+    assert 0 < jobs.seen_keys(spark, idx, 1, [3]).count() < 30 and jobs.seen_keys(spark, idx, 0, list(range(32))).count() == 0
+    assert jobs.seen_keys(spark, idx, 3, list(range(32))).count() == 204
+
+
+def test_stream_dedup_runs_a_lost_batch_again(spark, tmp_path):
+    """A batch that ended after its rows and before its commit gives the same rows when it is run again."""
+    ins, idx, out, log = (str(tmp_path / x) for x in ("in", "i", "o", "c"))
+    schema = "o int, s string, k string"
+    for rows in ([(1, "s", "a"), (2, "s", "b")], [(3, "s", "b"), (4, "s", "c")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(ins)
+        jobs.dedup_ingest(spark.readStream.schema(schema).parquet(ins), idx, out, log, "s", "o", "k").awaitTermination()
+    before = sorted(map(tuple, spark.read.parquet(out).collect()))
+    for f in ("1", ".1.crc"):
+        if os.path.exists(f"{log}/commits/{f}"):
+            os.unlink(f"{log}/commits/{f}")
+    jobs.dedup_ingest(spark.readStream.schema(schema).parquet(ins), idx, out, log, "s", "o", "k").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == before and len(before) == 3
+
+
 def test_stream_windows(spark, tmp_path):
     d = spark.createDataFrame([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:02:00", "a"), ("2024-01-01 01:00:00", "b")], "t string, g string").withColumn("t", F.to_timestamp("t"))
     d.write.parquet(str(tmp_path / "in"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,6 @@ from pyspark.sql.window import Window
 from ..sources.steps import written
 from .continuous import dominance as cliffs_delta  # noqa: F401
 
-
-#: The distribution function of Poisson(1), and the count up to which its draws are summed.
-POISSON_1 = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
-EXACT_DRAWS = 40
 #: The number of differences up to which the signed-rank distribution is exact.
 EXACT_PAIRS = 25
 
@@ -169,25 +166,36 @@ def experiment_summary(df: DataFrame, value: str, dims: list[str]) -> DataFrame:
     return df.groupingSets(sets, *dims).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"))
 
 
+def bootstrap_weights(value: float, count: int, replicates: int, seed: int) -> np.ndarray:
+    """How often each replicate draws a value that ``count`` rows have: exact Poisson draws, the same wherever they are made."""
+    bits = int(np.float64(value + 0.0).view(np.uint64))  # -0.0 is 0.0
+    return np.random.Generator(np.random.Philox(key=[seed, bits])).poisson(count, replicates)
+
+
 def bootstrap_interval(df: DataFrame, value: str, replicates: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """One row (n, mean, low, high): percentile interval of the mean by a Poisson bootstrap.
+    """One row (n, mean, low, high): percentile interval of the mean by a Poisson bootstrap; zeros without values, nulls take no part.
 
-    Equal values are counted first; each counted value is weighted in each replicate, so
-    the blow-up is over different values, not rows.
+    Equal values are counted first, so a value of a third of the rows is one row.  A task adds
+    the weights of all its values to one array of replicates and gives a row a replicate at its
+    end: nothing is multiplied by the replicates but the number of tasks.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed + salt), "v", "rep"), F.lit(2**31)) + 0.5) / F.lit(2.0**31)
-    # Poisson(c) for few equal values as the sum of c Poisson(1) draws, for many by its normal approximation.
-    draw = lambda i: F.size(F.filter(F.array(*[F.lit(x) for x in POISSON_1]), lambda x: (F.pmod(F.xxhash64(F.lit(seed), "v", "rep", i), F.lit(2**31)) + 0.5) / F.lit(2.0**31) > x))
-    normal = F.sqrt(-2 * F.log(u(0))) * F.cos(u(1) * 6.283185307179586)
-    few = F.aggregate(F.sequence(F.lit(1), F.least("c", F.lit(EXACT_DRAWS)).cast("int")), F.lit(0), lambda a, i: a + draw(i)).cast("double")
-    weight = F.when(F.col("c") <= EXACT_DRAWS, few).otherwise(F.greatest(F.lit(0.0), F.round(F.col("c") + normal * F.sqrt("c"))))
-    reps = counted.select("v", "c", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", weight)
-    means = reps.groupBy("rep").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1.0))).alias("m"))
-    cut = (1 - level) / 2
-    limits = means.agg(F.percentile("m", F.array(F.lit(cut), F.lit(1 - cut))).alias("q"))
-    whole = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("v") * F.col("c")) / F.sum("c"), F.lit(0.0)).alias("mean"))
-    return whole.crossJoin(limits).select("n", "mean", F.coalesce(F.col("q")[0], F.lit(0.0)).alias("low"), F.coalesce(F.col("q")[1], F.lit(0.0)).alias("high"))
+
+    def replicate(batches):
+        # The last place holds the rows themselves, unweighted.
+        weight, total = np.zeros(replicates + 1), np.zeros(replicates + 1)
+        for batch in batches:
+            for v, c in zip(batch["v"].to_numpy(), batch["c"].to_numpy(), strict=True):
+                w = np.append(bootstrap_weights(v, c, replicates, seed), c)
+                weight += w
+                total += w * v
+        yield pd.DataFrame({"rep": np.arange(replicates + 1), "w": weight, "s": total})
+
+    sums = counted.mapInPandas(replicate, "rep int, w double, s double").groupBy("rep").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    mean, whole, cut = F.col("s") / F.greatest(F.col("w"), F.lit(1.0)), F.col("rep") == replicates, (1 - level) / 2
+    one = sums.agg(F.max(F.when(whole, F.col("w"))).alias("n"), F.max(F.when(whole, mean)).alias("mean"), F.percentile(F.when(~whole, mean), F.array(F.lit(cut), F.lit(1 - cut))).alias("q"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return one.select(zero(F.col("n")).cast("long").alias("n"), zero(F.col("mean")).alias("mean"), zero(F.col("q")[0]).alias("low"), zero(F.col("q")[1]).alias("high"))
 
 
 def signed_rank(df: DataFrame, key: str, group: str, value: str, level: float = 0.05) -> DataFrame:

@@ -108,6 +108,11 @@ def a21_bootstrap(spark, sf):
     return E.bootstrap_interval(table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("q")), "q")
 
 
+def a21_bootstrap_continuous(spark, sf):
+    """Percentile interval of the mean of values that hardly repeat."""
+    return E.bootstrap_interval(table(spark, sf, "events"), "value")
+
+
 def a22_cliffs_delta(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.floor(F.col("value")).alias("v"))
     return _round(E.cliffs_delta(e, "event_type", "v"))
@@ -217,5 +222,5 @@ def a29_arm_comparison(spark, sf):
     return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("a").cast("int")), 6).alias("acc_a"), F.round(F.avg(F.col("b").cast("int")), 6).alias("acc_b"), F.round(F.avg(F.col("same").cast("int")), 6).alias("agreement"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
 
 
-QUERIES = {f.__name__: f for f in (a6_multi_label, a8_ranking, a9_ordinal, a13_calibration, a16_classification_report, a20_experiment_summary, a21_bootstrap, a22_cliffs_delta, a22_cliffs_continuous, a11_kendall, w8_average_ranks, a10_spearman, a22_signed_rank, w6_running_confidence, w7_budget_routing, a2_review_stats, a29_arm_comparison)}
+QUERIES = {f.__name__: f for f in (a6_multi_label, a8_ranking, a9_ordinal, a13_calibration, a16_classification_report, a20_experiment_summary, a21_bootstrap, a21_bootstrap_continuous, a22_cliffs_delta, a22_cliffs_continuous, a11_kendall, w8_average_ranks, a10_spearman, a22_signed_rank, w6_running_confidence, w7_budget_routing, a2_review_stats, a29_arm_comparison)}
 ORACLE_SQL = {"a6_multi_label": _MULTI_SQL, "a8_ranking": _RANK_SQL, "a9_ordinal": _ORDINAL_SQL, "a13_calibration": _ECE_SQL, "a16_classification_report": _REPORT_SQL, "a20_experiment_summary": _SUMMARY_SQL, "a22_cliffs_delta": _DELTA_SQL, "a22_cliffs_continuous": _DELTA_ALL_SQL, "a11_kendall": _KENDALL_SQL, "w8_average_ranks": _AVERAGE_SQL, "a10_spearman": _RHO_SQL, "a22_signed_rank": _SIGNED_SQL, "w6_running_confidence": _CONF_SQL, "w7_budget_routing": _BUDGET_SQL, "a2_review_stats": _REVIEW_SQL}

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -127,6 +128,22 @@ def test_bootstrap_of_distinct_values(spark):
     assert r["low"] < r["mean"] == 199.5 < r["high"] and 17 < r["high"] - r["low"] < 29
 
 
+def test_bootstrap_against_plain_draws(spark):
+    """Continuous values, a value of a third of the rows, 0.0 and -0.0, nulls, and any partitioning."""
+    plain = {0.5: 700, 0.0: 3} | {i / 7 + 0.01: 1 + i % 2 for i in range(900)}
+    listed = [(v,) for v, c in plain.items() for _ in range(c)] + [(-0.0,), (None,), (None,)]
+    d = spark.createDataFrame(listed, "v double")
+    plain[0.0] += 1
+    w = {v: E.bootstrap_weights(v, c, 150, 7) for v, c in plain.items()}
+    means = [sum(w[v][r] * v for v in plain) / sum(w[v][r] for v in plain) for r in range(150)]
+    for some in (d, d.repartition(9)):
+        r = E.bootstrap_interval(some, "v", 150).first()
+        assert r["n"] == len(listed) - 2 and abs(r["mean"] - sum(v * c for v, c in plain.items()) / r["n"]) < 1e-9
+        assert abs(r["low"] - np.quantile(means, 0.025)) < 1e-9 and abs(r["high"] - np.quantile(means, 0.975)) < 1e-9
+    assert "Generate" not in E.bootstrap_interval(d, "v")._jdf.queryExecution().toString()
+    assert abs(E.bootstrap_weights(3.0, 10**9, 2000, 1).std() / 10**4.5 - 1) < 0.1
+
+
 def test_judgment_fallback(spark):
     d = spark.createDataFrame([("a stolen laptop",), ("gps data",), ("calm",), (None,)], "t string")
     assert [r["x"] for r in d.select(A.fallback_label(F.col("t"), ("location", "insecurity")).alias("x")).collect()] == ["insecurity", "location", "location", "location"]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import dictionaries as D
-from .ml import Fitted, tree_nodes
+from .additive import Additive
+from .ml import Fitted, importances, tree_nodes
 
 ITEM = "model_type string, kind string, text string, support double, precision double, lift double, weight double"
 
@@ -43,10 +44,10 @@ def edge_items(spark: SparkSession, edges: list[tuple[str, str, float]]) -> Data
     return spark.createDataFrame([("bayes_net", "edge", f"{a} -> {b}", None, None, None, float(w)) for a, b, w in edges], ITEM)
 
 
-def term_items(spark: SparkSession, fitted: Fitted, top: int = 15) -> DataFrame:
-    """Items of an additive model's terms by importance, without those that count nothing."""
-    weights = fitted.model.stages[-1].featureImportances.toArray()
-    terms = sorted(((float(w), c) for c, w in zip(fitted.columns, weights, strict=True) if w > 0), key=lambda x: (-x[0], x[1]))[:top]
+def term_items(spark: SparkSession, fitted: Fitted | Additive, top: int = 15) -> DataFrame:
+    """Items of an additive model's terms, pairs too, by importance, without those that count nothing."""
+    found = fitted.importances() if isinstance(fitted, Additive) else importances(fitted)
+    terms = [(w, c) for c, w in found if w > 0][:top]
     return spark.createDataFrame([("additive", "term", f"Term: {c} (importance={w:.4f})", None, None, None, w) for w, c in terms], ITEM)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import additive as A
 from ..operators import heuristics as H
+from ..operators import linear as N
 from .q_ml import FLAGS, _frame
 from .views import sql_list, table
 
@@ -52,6 +53,13 @@ def m13_tuning_additive(spark, sf):
     return spark.createDataFrame(rows, "place int, rate double, leaves int, f1 double, accuracy double").select("place", "rate", "leaves", F.round("f1", 6).alias("f1"), F.round("accuracy", 6).alias("accuracy"))
 
 
+def m13_tuning_linear(spark, sf):
+    """All eight settings of a sparse logistic model by cross-validation, best first."""
+    best = N.tune_linear(_frame(spark, sf).select("doc_id", "danger", *FLAGS), list(FLAGS), "danger", F.col("doc_id"))
+    rows = [(i, s["c"], s["balanced"], f1, acc) for i, (s, f1, acc) in enumerate(best, 1)]
+    return spark.createDataFrame(rows, "place int, c double, balanced boolean, f1 double, accuracy double").select("place", "c", "balanced", F.round("f1", 6).alias("f1"), F.round("accuracy", 6).alias("accuracy"))
+
+
 # SQL: rounds are unrolled.  cells are counted rows (id, y, c), bins their terms (id, t, b), s{i} the sums (id, k, s) after i rounds.
 
 
@@ -105,7 +113,7 @@ names AS (SELECT f AS t, name, f AS f1, NULL AS f2, 1 AS n2, fn.n AS n1 FROM wid
 
 
 _K = sql_list(LABELS)
-QUERIES = {f.__name__: f for f in (m4_additive_shapes, m4_additive_labels, l5_additive_terms, m13_tuning_additive)}
+QUERIES = {f.__name__: f for f in (m4_additive_shapes, m4_additive_labels, l5_additive_terms, m13_tuning_additive, m13_tuning_linear)}
 ORACLE_SQL = {
     "m4_additive_shapes": f"""{_model_sql()},
 spots AS (SELECT t, name, f1, f2, n2, unnest(range(n1 * n2)) AS b FROM names),

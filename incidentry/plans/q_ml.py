@@ -10,6 +10,7 @@ from ..operators import inference as N
 from ..operators import labeling as L
 from ..operators import ml as M
 from .q_features import FEATURES, _any
+from .q_labeling import _LABELED
 from .views import INCIDENTS, incidents, sql_list, table
 
 FLAGS = ("kw_privacy", "kw_video_surveillance", "kw_biometric", "kw_location", "kw_monetary_penalty", "kw_reg_enforcement")
@@ -167,8 +168,30 @@ def z3_label_cascade(spark, sf):
     return x.groupBy("x.source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _rule_list_sql(length: int, least: int = 10) -> str:
+    """Steps are unrolled: r{i} are the counted rows that no rule before covers, b{i} the best rule of step i, if any."""
+    pairs = [(i, i) for i in range(len(FLAGS))] + [(i, j) for i in range(len(FLAGS)) for j in range(i + 1, len(FLAGS))]
+    name = lambda i, j: f"{FLAGS[i]} = 1" + (f" AND {FLAGS[j]} = 1" if i != j else "")
+    rules = ", ".join(f"({n}, {i + 1}, {j + 1}, '{name(i, j)}')" for n, (i, j) in enumerate(pairs))
+    parts = []
+    for s in range(length):
+        parts.append(f"""t{s} AS (SELECT sum(c) AS n, sum(c * y) AS p FROM r{s}),
+b{s} AS MATERIALIZED (SELECT q.*, abs(q.p + 1 - (t{s}.p + 1)::DOUBLE / (t{s}.n + 2) * (q.n + 2)) / sqrt(q.n + 2) AS far FROM t{s},
+  (SELECT i, a, b, name, sum(c) AS n, sum(c * y) AS p FROM r{s}, rules WHERE x[a] = 1 AND x[b] = 1 GROUP BY ALL) q WHERE q.n >= {least} QUALIFY row_number() OVER (ORDER BY far DESC, i) = 1),
+g{s} AS MATERIALIZED (SELECT * FROM b{s} WHERE far >= 1),
+r{s + 1} AS MATERIALIZED (SELECT * FROM r{s} WHERE NOT EXISTS (SELECT 1 FROM g{s} WHERE x[a] = 1 AND x[b] = 1))""")
+    told = " UNION ALL ".join(f"SELECT name AS antecedent, (p + 1)::DOUBLE / (n + 2) AS probability, n::BIGINT AS n FROM g{s}" for s in range(length))
+    return f"""WITH {INCIDENTS}, {FEATURES}, k AS (SELECT {_KW}, risky FROM fr), rules(i, a, b, name) AS (VALUES {rules}),
+r0 AS MATERIALIZED (SELECT [{", ".join(FLAGS)}] AS x, CASE WHEN risky > 0 OR kw_biometric > 0 THEN 1 ELSE 0 END AS y, count(*) AS c FROM k GROUP BY ALL), {", ".join(parts)}
+{told} UNION ALL SELECT 'else', (coalesce(sum(c * y), 0) + 1)::DOUBLE / (coalesce(sum(c), 0) + 2), coalesce(sum(c), 0)::BIGINT FROM r{length}"""
+
+
+_CASCADE_SQL = f"""{_LABELED} SELECT CASE WHEN doc_id % 5 = 0 THEN 'extracted' WHEN harm_category <> 'unknown' THEN 'heuristic' WHEN doc_id % 2 = 0 THEN 'model' ELSE 'none' END AS source, count(*) AS n FROM lab GROUP BY 1"""
+
 QUERIES = {f.__name__: f for f in (m2_tree_rules, m3_linear_directions, m4_additive_predictions, m5_rule_list, m7_mutual_information, m7_bayes_tree, m10_calibrated_weights, m11_network, m12_reconstruction, m17_contributions, r7_linear_rules, ff11_binarise, ff12_quantile_bins, fd3_json_answers, z1_batch_inference, ff9_label_projection, z3_label_cascade)}
 ORACLE_SQL = {
+    "m5_rule_list": _rule_list_sql(4),
+    "z3_label_cascade": _CASCADE_SQL,
     "m7_mutual_information": _MI_SQL,
     "m17_contributions": _CONTRIB_SQL,
     "r7_linear_rules": _RULES,

@@ -33,40 +33,55 @@ def split(df: DataFrame, key: str, test_share: int = 20) -> tuple[DataFrame, Dat
     return df.where(f >= test_share), df.where(f < test_share)
 
 
-#: The sketch's rank error is one in so many rows.
-SKETCH = 10_000
+#: Parts of equal width that a round cuts each open range of values into.
+SKETCH = 2_000
 
 
 def exact_quantiles(df: DataFrame, column: Column, shares: list[float]) -> list[float | None]:
     """Exact quantiles of a column, between two values as ``percentile`` does; nulls and NaN take no part, None of no rows.
 
-    Selection by pivots: a sketch of fixed size proposes a value near each rank, and rows on
-    both sides are counted; where the rank is missed, its side goes on alone.  Two rounds
-    leave about one row in ``SKETCH``, so no task and no driver ever holds a column's values.
+    Selection by counts: a round counts the rows of each part of the values, with its least
+    and greatest value, and the parts that hold a rank are cut again until they hold one
+    value.  All shares take the same rounds.  Parts of the first round are powers of two, so
+    every later one narrows its range ``SKETCH`` times, however the values lie.  A round is
+    one scan with map-side combination; a row a part reaches the driver.
     """
     v = F.col("v")
     values = df.select(column.cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
-    n, pivots = values.agg(F.count(v), F.percentile_approx(v, shares, SKETCH)).first()
+    count = lambda part: sorted(values.groupBy(part.alias("part")).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).where("part is not null").collect())
+    power = F.floor(F.least(F.lit(2000.0), F.log2(F.abs(v)))) + 3000
+    parts = count(F.when(v == 0, F.lit(0).cast("long")).when(v > 0, power).otherwise(-power))
+    n = sum(p["n"] for p in parts)
     if not n:
         return [None] * len(shares)
-    beside = lambda rows, at: rows.agg(*[c for p in at for c in (F.count_if(v < p), F.count_if(v <= p))]).first()
-    sides = beside(values, pivots)
-
-    def select(share: float, pivot: float, under: int, upto: int) -> float:
-        place = share * (n - 1)
-        part, rank, inside, size = place - int(place), int(place), values, n
-        while not under <= rank < upto:
-            if rank < under:
-                inside, size = inside.where(v < pivot), under
-            else:
-                inside, rank, size = inside.where(v > pivot), rank - upto, size - upto
-            pivot = inside.agg(F.percentile_approx(v, (rank + 0.5) / size, SKETCH)).first()[0]
-            under, upto = beside(inside, [pivot])
-        if not part or rank + 1 < upto:
-            return pivot
-        return (1 - part) * pivot + part * values.where(v > pivot).agg(F.min(v)).first()[0]
-
-    return [select(s, p, sides[2 * i], sides[2 * i + 1]) for i, (s, p) in enumerate(zip(shares, pivots, strict=True))]
+    places = [s * (n - 1) for s in shares]
+    known: dict[int, float] = {}
+    # Ranks that are open, by the range (rows before it, least and greatest value) that holds them.
+    ranges = {(0, None, None): {r for p in places for r in (int(p), min(int(p) + 1, n - 1))}}
+    groups = [parts]
+    while ranges:
+        narrower: dict[tuple, set[int]] = {}
+        for ((before, _, _), ranks), cut in zip(ranges.items(), groups, strict=True):
+            ends = np.cumsum([before, *[p["n"] for p in cut]])
+            for r in ranks:
+                i = int(np.searchsorted(ends, r, "right")) - 1
+                if cut[i]["low"] == cut[i]["high"]:
+                    known[r] = cut[i]["low"]
+                else:
+                    narrower.setdefault((int(ends[i]), cut[i]["low"], cut[i]["high"]), set()).add(r)
+        ranges = dict(sorted(narrower.items()))
+        if ranges:
+            inside = lambda low, high: F.least(F.lit(SKETCH - 1), F.floor((v - low) / (F.lit(high) - low) * SKETCH))
+            cases = [F.when(v.between(low, high), i * SKETCH + inside(low, high)) for i, (_, low, high) in enumerate(ranges)]
+            groups = [[] for _ in ranges]
+            for p in count(F.coalesce(*cases)):
+                groups[p["part"] // SKETCH].append(p)
+
+    def between(place: float) -> float:
+        part, low, high = place - int(place), known[int(place)], known[min(int(place) + 1, n - 1)]
+        return low if not part or low == high else (1 - part) * low + part * high
+
+    return [between(p) for p in places]
 
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -271,3 +271,19 @@ def test_stream_windows(spark, tmp_path):
     s = jobs.windowed_counts(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), "t", "g", "10 minutes", "5 minutes")
     s.writeStream.outputMode("append").format("memory").queryName("win").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("win").where("g = 'a'").first()["n"] == 2
+
+
+def test_quantiles_share_their_rounds(spark):
+    """Twelve quantiles of values over many orders of magnitude take as many jobs as one, and few."""
+    values = sorted([(-1.0) ** i * 1.37 ** (i % 700) / 7 for i in range(2000)] + [0.0, -0.0, 5e-324, 1.7e308, float("inf")])
+    d = spark.createDataFrame([(v,) for v in values], "x double")
+    shares, group = [i / 11 for i in range(12)], "quantiles"
+    spark.sparkContext.setJobGroup(group, group)
+    got = M.exact_quantiles(d, F.col("x"), shares)
+    jobs_run = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for share, q in zip(shares, got, strict=True):
+        place = share * (len(values) - 1)
+        part, low, high = place - int(place), values[int(place)], values[math.ceil(place)]
+        assert q == (low if low == high else (1 - part) * low + part * high)
+    assert jobs_run <= 8

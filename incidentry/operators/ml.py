@@ -402,19 +402,30 @@ def sampled_shapley(df: DataFrame, fitted: Fitted, key: str, permutations: int =
 
     A row walks from the features' means to its own values, one feature a step in a random
     order; a step's change of the probability of the last label is the feature's part.  Parts
-    add up to the distance from the mean row.  Rows grow by permutations times steps.
+    add up to the distance from the mean row; rows that share a key give their mean.  Orders
+    that set out alike share a probability, and all of a row's stand beside each other: rows
+    are not multiplied, and one sum a feature and key is shuffled.
     """
     cols, d = fitted.columns, len(fitted.columns)
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(d).tolist() for _ in range(permutations)]
-    place = [[o.index(i) for i in range(d)] for o in orders]
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in cols])
-    grid = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p in range(permutations) for s in range(d + 1)])
-    walk = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).join(F.broadcast(means), F.lit(True)).withColumn("_x", F.explode(grid))
-    at = lambda i: F.element_at(F.array(*[F.lit(place[p][i]) for p in range(permutations)]), F.col("_x.p") + 1)
-    mixed = walk.select(key, "_x", *[F.when(at(i) < F.col("_x.s"), F.col(c)).otherwise(F.col(f"_m_{c}")).alias(c) for i, c in enumerate(cols)])
-    scored = fitted.model.transform(mixed).select(key, F.col("_x.p").alias("p"), F.col("_x.s").alias("s"), F.element_at(vector_to_array("probability"), -1).alias("f"))
-    step = Window.partitionBy(key, "p").orderBy("s")
-    moved = F.element_at(F.array(*[F.array(*[F.lit(cols[i]) for i in o]) for o in orders]), F.col("p") + 1)
-    parts = scored.withColumn("part", F.col("f") - F.lag("f").over(step)).where("s > 0").select(key, F.element_at(moved, F.col("s")).alias("feature"), "part")
-    return parts.groupBy(key, "feature").agg(F.avg("part").alias("contribution"))
+    out = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).join(F.broadcast(means), F.lit(True))
+    # Which features have their own value, after each step of each order.
+    known = dict.fromkeys(frozenset(o[:s]) for o in orders for s in range(d + 1))
+    *before, last = fitted.model.stages
+    for i, own in enumerate(known):
+        names = {"features": f"_features{i}", "scaled": f"_scaled{i}"}
+        for stage in before:
+            at = {stage.outputCol: names[stage.getOutputCol()]}
+            at |= {stage.inputCols: [c if j in own else f"_m_{c}" for j, c in enumerate(cols)]} if isinstance(stage, VectorAssembler) else {stage.inputCol: names[stage.getInputCol()]}
+            out = stage.copy(at).transform(out)
+        at = {last.featuresCol: names[last.getFeaturesCol()], last.probabilityCol: f"_probability{i}", last.rawPredictionCol: "", last.predictionCol: ""}
+        out = last.copy(at).transform(out)
+        known[own] = F.element_at(vector_to_array(f"_probability{i}"), -1)
+    out = out.select(key, *[p.alias(f"_p{i}") for i, p in enumerate(known.values())])
+    known = {own: F.col(f"_p{i}") for i, own in enumerate(known)}
+    step = lambda o, c: known[frozenset(o[: o.index(c) + 1])] - known[frozenset(o[: o.index(c)])]
+    parts = [F.avg(reduce(lambda a, b: a + b, [step(o, c) for o in orders]) / permutations).alias(f"_part{c}") for c in range(d)]
+    each = F.array(*[F.struct(F.lit(name).alias("feature"), F.col(f"_part{c}").alias("contribution")) for c, name in enumerate(cols)])
+    return out.groupBy(key).agg(*parts).select(key, F.explode(each).alias("x")).select(key, "x.*")

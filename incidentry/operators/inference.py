@@ -4,24 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.pandas.functions import arrow_udf
 
 from ..functions.text import string_array
 
+#: Texts that the user's function sees at once.
+BATCH = 256
+
 
 def batch_infer(df: DataFrame, text_col: str, load: Callable[[], Callable[[list], list]], out_col: str = "answer") -> DataFrame:
-    """Add ``out_col``: what the user's function says about batches of texts.  ``load`` runs once a task and returns the function."""
-    schema = StructType([*df.schema.fields, StructField(out_col, StringType())])
+    """Add ``out_col``: what the user's function says about batches of at most ``BATCH`` texts.  ``load`` runs once a task and returns the function.
+
+    Only the texts go to Python, and only the answers come back.
+    """
+    most = BATCH
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         infer = load()
         for b in batches:
-            yield b.assign(**{out_col: infer(b[text_col].tolist())})
+            parts = [pa.array(list(infer(b[i : i + most].to_pylist())), pa.string()) for i in range(0, len(b), most)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    return df.mapInPandas(run, schema)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # The model may be dear or not repeat itself: its answer is worked out once, whatever refers to it.
+    return df.withColumn(out_col, arrow_udf(run, "string").asNondeterministic()(F.col(text_col)))
 
 
 def prompt(text: Column, labels) -> Column:

@@ -287,3 +287,23 @@ def test_quantiles_share_their_rounds(spark):
         part, low, high = place - int(place), values[int(place)], values[math.ceil(place)]
         assert q == (low if low == high else (1 - part) * low + part * high)
     assert jobs_run <= 8
+
+
+def test_batch_infer_sees_few_texts_at_once(spark):
+    """Texts reach the function in lists of at most ``BATCH``, and all are answered, in whatever batches Arrow brings them."""
+    d = spark.range(1000, numPartitions=1).selectExpr("id", "string(id) as t")
+    got = N.batch_infer(d, "t", lambda: lambda ts: [f"{t}|{len(ts)}" for t in ts]).collect()
+    assert len(got) == 1000
+    assert all(r["answer"].split("|")[0] == r["t"] and int(r["answer"].split("|")[1]) <= 256 for r in got)
+
+
+def test_shapley_does_not_multiply_rows(spark):
+    """Orders stand side by side: no window, and as many rows meet the model as there are; a key's rows give their mean."""
+    d = spark.range(60).selectExpr("id", "double(id % 7) as a", "double(id % 4) as b", "string(id % 7 > id % 4) as y")
+    f = M.fit_classifier(d, ["a", "b"], "y", "tree", depth=2)
+    one = M.sampled_shapley(d, f, "id", 3)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate") == 1
+    of = lambda x: {(r["id"], r["feature"]): r["contribution"] for r in x.collect()}
+    parts, twice = of(one), of(M.sampled_shapley(d.unionAll(d), f, "id", 3))
+    assert parts.keys() == twice.keys() and all(abs(parts[k] - twice[k]) < 1e-9 for k in parts)

@@ -14,10 +14,10 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf
 
 from .text import string_array
 
@@ -85,8 +85,9 @@ class TermIndex:
         if not terms and not words:
             return F.array().cast("array<string>")
 
-        def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             import ahocorasick
+            import pyarrow as pa
 
             automaton = ahocorasick.Automaton()
             for t in terms | words:
@@ -104,10 +105,11 @@ class TermIndex:
                 return list(out)
 
             for texts in batches:
-                yield pd.Series([held(t) for t in texts])
+                # A text at a time becomes a Python string; the batch stays as Arrow holds it, which Spark bounds in bytes.
+                yield pa.array([held(t.as_py()) for t in texts], pa.list_(pa.string()))
 
-        read.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return pandas_udf(read, "array<string>")(text)
+        read.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return arrow_udf(read, "array<string>")(text)
 
     def holds(self, found: Column, *terms: str) -> Column:
         """Whether the text holds one of the terms."""

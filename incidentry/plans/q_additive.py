@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import additive as A
 from ..operators import heuristics as H
 from ..operators import linear as N
-from .q_ml import FLAGS, _frame
+from .q_ml import FLAGS, _features
 from .views import sql_list, table
 
 COLUMNS = ["quantity", "tax", "price"]
@@ -48,14 +48,14 @@ def l5_additive_terms(spark, sf):
 
 def m13_tuning_additive(spark, sf):
     """All six settings of an additive model by cross-validation, best first."""
-    best = A.tune_additive(_frame(spark, sf).select("doc_id", "danger", *FLAGS), list(FLAGS), "danger", F.col("doc_id"))
+    best = A.tune_additive(_features(spark, sf).select("doc_id", "danger", *FLAGS), list(FLAGS), "danger", F.col("doc_id"))
     rows = [(i, s["rate"], s["leaves"], f1, acc) for i, (s, f1, acc) in enumerate(best, 1)]
     return spark.createDataFrame(rows, "place int, rate double, leaves int, f1 double, accuracy double").select("place", "rate", "leaves", F.round("f1", 6).alias("f1"), F.round("accuracy", 6).alias("accuracy"))
 
 
 def m13_tuning_linear(spark, sf):
     """All eight settings of a sparse logistic model by cross-validation, best first."""
-    best = N.tune_linear(_frame(spark, sf).select("doc_id", "danger", *FLAGS), list(FLAGS), "danger", F.col("doc_id"))
+    best = N.tune_linear(_features(spark, sf).select("doc_id", "danger", *FLAGS), list(FLAGS), "danger", F.col("doc_id"))
     rows = [(i, s["c"], s["balanced"], f1, acc) for i, (s, f1, acc) in enumerate(best, 1)]
     return spark.createDataFrame(rows, "place int, c double, balanced boolean, f1 double, accuracy double").select("place", "c", "balanced", F.round("f1", 6).alias("f1"), F.round("accuracy", 6).alias("accuracy"))
 

@@ -9,6 +9,7 @@ from ..operators import features as X
 from ..operators import inference as N
 from ..operators import labeling as L
 from ..operators import ml as M
+from ..sources.steps import written
 from .q_features import FEATURES, _any
 from .q_labeling import _LABELED
 from .views import INCIDENTS, incidents, sql_list, table
@@ -21,6 +22,13 @@ def _frame(spark, sf):
     return f.withColumn("bad", (F.col("sentiment_score") < 0).cast("int").cast("string")).withColumn("danger", ((F.col("rc_risky") > 0) | (F.col("kw_biometric") > 0)).cast("int"))
 
 
+def _features(spark, sf):
+    """The frame without its texts, written: what iterates or counts twice reads flags, not texts."""
+    f = _frame(spark, sf)
+    kinds = ("kw_", "pf_", "rc_", "f_", "pair_")
+    return written(f.select("doc_id", "sentiment_score", "bad", "danger", *[c for c in f.columns if c.startswith(kinds)]))
+
+
 def _lines(spark, sf):
     t = table(spark, sf, "lineitem")
     return t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")], F.col("l_returnflag").alias("flag"))
@@ -28,7 +36,7 @@ def _lines(spark, sf):
 
 def m2_tree_rules(spark, sf):
     """Leaves of a tree for the risky incidents, with true support and precision."""
-    d = _frame(spark, sf).withColumn("y", F.col("danger").cast("string"))
+    d = _features(spark, sf).withColumn("y", F.col("danger").cast("string"))
     train, _ = M.split(d, "doc_id")
     cols = X.feature_columns(d, ("kw_", "rc_net"))
     return M.tree_rules(M.fit_classifier(train, cols, "y", "tree", depth=3), train, "y")
@@ -47,12 +55,12 @@ def m4_additive_predictions(spark, sf):
 
 
 def m5_rule_list(spark, sf):
-    d = _frame(spark, sf)
+    d = _features(spark, sf)
     return spark.createDataFrame(M.rule_list(d, list(FLAGS), "danger", 4), "antecedent string, probability double, n long")
 
 
 def m7_mutual_information(spark, sf):
-    return M.mutual_information(_frame(spark, sf), list(FLAGS)).select("a", "b", F.round("mi", 6).alias("mi"))
+    return M.mutual_information(_features(spark, sf), list(FLAGS)).select("a", "b", F.round("mi", 6).alias("mi"))
 
 
 _KW = ", ".join(f"CASE WHEN {_any('t', ts)} THEN 1 ELSE 0 END AS kw_{g}" for g, ts in D.KEYWORD_GROUPS.items())
@@ -63,7 +71,7 @@ SELECT a, b, round(sum(n / t * ln(n * t / (nx * ny))), 6) AS mi FROM m GROUP BY
 
 
 def m7_bayes_tree(spark, sf):
-    d = _frame(spark, sf)
+    d = _features(spark, sf)
     edges = M.chow_liu(d, [*FLAGS, "danger"], "danger")
     return M.bayes_tree_predict(d, edges, "danger", "doc_id")
 

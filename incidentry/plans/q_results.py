@@ -19,7 +19,7 @@ from ..streaming import jobs
 from .q_features import FEATURES, _any, _pf
 from ..sources.steps import scratch
 from .q_labeling import _LABELED, RUNGS, _scored
-from .q_ml import FLAGS, _frame, _lines
+from .q_ml import FLAGS, _features, _frame, _lines
 from .views import GOLD, INCIDENTS, gold, incidents, sql_list, sql_values, table
 
 
@@ -247,7 +247,7 @@ def m9_mitigation_effects(spark, sf):
 
 def r9_heuristics(spark, sf):
     """The best rule items of a tree, a rule list, a Bayes tree and an additive model."""
-    d = _frame(spark, sf).withColumn("y", F.col("danger").cast("string"))
+    d = _features(spark, sf).withColumn("y", F.col("danger").cast("string"))
     tree = M.tree_rules(M.fit_classifier(d, list(FLAGS), "y", "tree", depth=3), d, "y")
     items = [H.tree_items(tree), H.rule_list_items(spark, M.rule_list(d, list(FLAGS), "danger", 4)), H.edge_items(spark, M.chow_liu(d, [*FLAGS, "danger"], "danger"))]
     return H.extract([*items, H.term_items(spark, M.fit_classifier(d, list(FLAGS), "y", "additive", rounds=5))])

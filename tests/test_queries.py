@@ -42,3 +42,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["m7_bayes_tree", "m7_mutual_information", "m2_tree_rules"])
+def test_models_count_written_features(spark, name):
+    """The texts are read once, before the model: what counts and predicts reads a written frame."""
+    d = registry.QUERIES[name](spark, SF)
+    assert "EvalPython" not in d._jdf.queryExecution().executedPlan().toString()

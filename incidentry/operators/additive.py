@@ -68,9 +68,14 @@ class Additive:
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``predicted``, the first of the likeliest labels, and its ``probability``; missing features count as 0."""
         aligned = df.withColumns({c: F.lit(0.0) for t in self.terms for c in t if c not in df.columns})
-        p = self.probabilities()
-        said = F.array_position(p, F.array_max(p)).cast("int")
-        return aligned.select(*df.columns, F.element_at(F.lit(self.labels), said).alias("predicted"), F.array_max(p).alias("probability"))
+        # Bins, sums and probabilities are columns one after the other, so each is worked out once a row.
+        at = aligned.withColumn("_bins", F.array(*[self.cell(t) + 1 for t in range(len(self.terms))]))
+        add = lambda k: sum((F.element_at(F.lit(self.scores[t][k]), F.col("_bins")[t]) for t in range(len(self.terms))), F.lit(self.intercept[k]))
+        at = at.withColumn("_sums", F.array(*[add(k) for k in range(len(self.labels))]))
+        at = at.withColumn("_exp", F.transform("_sums", lambda s: F.exp(s - F.array_max("_sums"))))
+        at = at.withColumn("_p", F.transform("_exp", lambda e: e / F.aggregate("_exp", F.lit(0.0), lambda a, x: a + x)))
+        said = F.array_position("_p", F.array_max("_p")).cast("int")
+        return at.select(*df.columns, F.element_at(F.lit(self.labels), said).alias("predicted"), F.array_max("_p").alias("probability"))
 
     def importances(self) -> list[tuple[str, float]]:
         """(term, mean size of its score over training rows and labels), greatest first."""

@@ -128,3 +128,13 @@ def test_tuning(spark, frame):
     assert len(best) == 2 and best[0][1] > 0.9 and [b[1] for b in best] == sorted((b[1] for b in best), reverse=True)
     few = A.tune_additive(d.where("t = 0 or k < 30"), COLS, "t", F.col("k"), rates=(0.5,), leaves=(2,), rounds=1, bins=8)
     assert len(few) == 1  # the rarer class is too small for folds: one fifth is held out
+
+
+def test_prediction_bins_a_row_once(spark):
+    """Each column of each term is binned at one place of the plan, whatever the labels."""
+    d = spark.range(60).selectExpr("double(id % 7) as a", "double(id % 5) as b", "string(id % 3) as y")
+    m = A.fit_additive(d, ["a", "b"], "y", A.Setting(rounds=1), 1)
+    out = m.predict(d)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("filter(") <= sum(map(len, m.terms))
+    want = d.withColumn("p", m.probabilities()).selectExpr("array_max(p) as p").collect()
+    assert [r["probability"] for r in out.collect()] == [r["p"] for r in want]

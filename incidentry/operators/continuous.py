@@ -9,6 +9,7 @@ or the number of ranges.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,21 +50,72 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     return running(counted, "column", "v", "n").select("column", "v", "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
+#: Values of all columns whose ranks are broadcast at most, and columns that share an aggregate.
+FEW, WIDE = 10_000, 16
+
+
 def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(column, n, rho) of each column with ``target`` over the rows that have both; 0 where either does not vary."""
-    cells = melted(df.withColumn("_t", F.col(target).cast("double")), columns, "_t").where(F.col("_t").isNotNull() & ~F.isnan("_t"))
-    cells = written(cells.groupBy("column", "v", "_t").agg(F.count(F.lit(1)).alias("n")))
-    side = lambda by: running(written(cells.groupBy("column", F.col(by).alias("_v")).agg(F.sum("n").alias("m"))), "column", "_v", "m").select(F.col("column").alias("_c"), "_v", (F.col("upto") - (F.col("m") - 1) / 2.0).alias("r"))
-    joined = cells
-    for by, name in (("v", "x"), ("_t", "y")):
-        s = side(by).withColumnRenamed("r", name)
-        joined = joined.join(s, (F.col("column") == F.col("_c")) & (F.col(by) == F.col("_v"))).drop("_c", "_v")
+    """(column, n, rho) of each column with ``target`` over the rows that have both; 0 where either does not vary.
+
+    Pairs of values are not counted: a row takes its column's rank along, by a broadcast where
+    the values are few, and one aggregate by target sums the ranks of all such columns.  Ranks
+    of the target then are prefix sums inside ranges and over the small table of ranges.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    rows = df.select(F.col(target).cast("double").alias("_t"), *[F.col(c).cast("double").alias(name) for c, name in zip(columns, names, strict=True)])
+    rows = written(rows.where(F.col("_t").isNotNull() & ~F.isnan("_t")))
+    counted = written(melted(rows, names).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("rows"))
     # Ranks less their mean, so that sums of squares stay exact for longer.
-    total = cells.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("rows"))
-    d = joined.join(F.broadcast(total), F.col("column") == F.col("_c")).withColumns({"x": F.col("x") - (F.col("rows") + 1) / 2.0, "y": F.col("y") - (F.col("rows") + 1) / 2.0})
-    of = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
-    s = d.groupBy("column").agg(F.sum("n").alias("n"), of("x", "y").alias("xy"), of("x", "x").alias("xx"), of("y", "y").alias("yy"))
-    return s.select("column", "n", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(0.0).alias("rho"))
+    x = F.col("upto") - (F.col("n") - 1) / 2.0 - (F.col("rows") + 1) / 2.0
+    ranks = written(running(counted, "column", "v", "n").join(F.broadcast(total), F.col("column") == F.col("_c")).select("column", "v", "n", x.alias("x")))
+    sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}  # a row a column
+    few, upto = [], 0
+    for c in sorted(sizes, key=lambda c: (sizes[c], c)):
+        upto += sizes[c]
+        if upto <= FEW:
+            few.append(c)
+    blocks = [few[i : i + WIDE] for i in range(0, len(few), WIDE)] + [[c] for c in sizes if c not in few]
+    parts = [_range_sums(_by_target(rows, ranks, cs, cs[0] in few), cs) for cs in blocks] or [df.sparkSession.createDataFrame([], RANGE_SUMS)]
+    parts = reduce(DataFrame.unionAll, parts)
+    each = Window.partitionBy("column")
+    earlier = each.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # A range's mean rank, less that of all rows.
+    parts = parts.withColumn("y", F.coalesce(F.sum("m").over(earlier), F.lit(0)) + (F.col("m") + 1) / 2.0 - (F.sum("m").over(each) + 1) / 2.0)
+    y = parts.groupBy(F.col("column").alias("_c")).agg(F.sum(F.col("y") * F.col("s") + F.col("ys")).alias("xy"), F.sum(F.col("y") * F.col("y") * F.col("m") + F.col("yy")).alias("yy"))
+    s = ranks.groupBy("column").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("xx")).join(F.broadcast(y), F.col("column") == F.col("_c"))
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("column", 2, 9).cast("int") + 1)
+    return s.select(named.alias("column"), "n", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(0.0).alias("rho"))
+
+
+def _by_target(rows: DataFrame, ranks: DataFrame, columns: list[str], few: bool) -> DataFrame:
+    """(_t, and for each column i: m{i} rows, s{i} the sum of their ranks)."""
+    out, sums = rows.select("_t", *columns), []
+    for i, c in enumerate(columns):
+        one = ranks.where(F.col("column") == c).select(F.col("v").alias("_v"), F.col("x").alias(f"_x{i}"))
+        out = out.join(F.broadcast(one) if few else one, F.col(c) == F.col("_v"), "left" if few else "inner").drop("_v", c)
+        sums += [F.count(f"_x{i}").alias(f"m{i}"), F.coalesce(F.sum(f"_x{i}"), F.lit(0.0)).alias(f"s{i}")]
+    return written(out.groupBy("_t").agg(*sums))
+
+
+#: Of a column in a range: its rows, the sum of x, and the sums of y x and y y, where y are ranks of the target less their mean in the range.
+RANGE_SUMS = "_range int, column string, m long, s double, ys double, yy double"
+
+
+def _range_sums(sides: DataFrame, columns: list[str]) -> DataFrame:
+    placed = sides.repartitionByRange(ranges_for(sides.count()), "_t").withColumn("_range", F.spark_partition_id())
+
+    def add(batches):
+        t = pd.concat([*batches, pd.DataFrame()])
+        if not len(t):
+            return
+        t = t.sort_values("_t")
+        for i, c in enumerate(columns):
+            m, s = t[f"m{i}"].to_numpy(), t[f"s{i}"].to_numpy()
+            y = np.cumsum(m) - (m - 1) / 2.0 - (m.sum() + 1) / 2.0
+            yield pd.DataFrame({"_range": t["_range"].iloc[:1], "column": c, "m": m.sum(), "s": s.sum(), "ys": (y * s).sum(), "yy": (y * y * m).sum()})
+
+    return placed.mapInPandas(add, RANGE_SUMS)
 
 
 def _pieces(cells: DataFrame, by: str, name: str) -> DataFrame:

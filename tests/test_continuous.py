@@ -65,6 +65,30 @@ def test_ranks_and_rho(spark, small_ranges):
     assert abs(rho["x"] - np.corrcoef(average(x), average(y))[0, 1]) < 1e-12 and rho["same"] == 0
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_rho_of_rows_that_lack_values(spark, small_ranges, monkeypatch, few):
+    monkeypatch.setattr(R, "FEW", few)
+    x, y = values(6)
+    none = x.tolist()
+    none[4::5] = [None] * len(none[4::5])
+    none[1], target = float("nan"), [None, *y.tolist()[1:]]
+    d = spark.createDataFrame([*zip(none, y.tolist(), [2.0] * 700, [None] * 700, target, strict=True)], "x double, y double, same double, none double, t double")
+    got = {r["column"]: (r["n"], r["rho"]) for r in R.spearman(d, ["x", "y", "same", "none"], "t").collect()}
+    both = np.array([i for i in range(2, 700) if i % 5 != 4])
+    assert got.keys() == {"x", "y", "same"} and got["same"] == (699, 0) and got["x"][0] == len(both) and abs(got["y"][1] - 1) < 1e-12
+    assert abs(got["x"][1] - np.corrcoef(average(x[both]), average(y[both]))[0, 1]) < 1e-12
+    flat = R.spearman(d, ["x"], "same").first()
+    assert (flat["n"], flat["rho"]) == (559, 0) and R.spearman(d.limit(0), ["x"], "t").count() == 0
+
+
+def test_rho_writes_no_pairs_of_values(spark, monkeypatch):
+    """A step holds a row a target, however many columns there are."""
+    sizes, write = [], R.written
+    monkeypatch.setattr(R, "written", lambda df: sizes.append((out := write(df)).count()) or out)
+    d = spark.range(500).selectExpr("id % 3 AS a", "id % 5 AS b", "id % 7 AS c", "id * 37 % 500 AS t")
+    assert R.spearman(d, ["a", "b", "c"], "t").count() == 3 and max(sizes) <= 500
+
+
 def test_dominance(spark, small_ranges):
     x, y = values(5, 900)
     g = np.array(["a", "b", "b", "c"])[np.arange(900) % 4]

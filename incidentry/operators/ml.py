@@ -122,14 +122,49 @@ class Fitted:
         return out.select(*df.columns, F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted"), F.array_max(vector_to_array("probability")).alias("probability"))
 
 
+#: Different rows that a tree takes as counted ones at most: of up to so many Spark finds bins without a sample.
+COUNTED = 10_000
+#: Values that a part of an iterated frame should hold.
+PART_VALUES = 2_000_000
+
+
+def _counted(frame: DataFrame) -> DataFrame | None:
+    """Equal rows as one with their number ``_n``; None if more than ``COUNTED`` differ."""
+    about = frame.agg(F.approx_count_distinct(F.xxhash64(*frame.columns))).first()[0]
+    # The estimate is for not shuffling rows that hardly repeat; the count decides.
+    cells = written(frame.groupBy(*frame.columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))) if about <= 2 * COUNTED else None
+    return cells if cells is not None and cells.count() <= COUNTED else None
+
+
+def _spread(frame: DataFrame) -> DataFrame:
+    """``frame`` in parts of bounded size: files that are read together, compressed, are much larger as cached rows."""
+    parts = -(-frame.count() * len(frame.columns) // PART_VALUES)
+    return frame.repartition(parts) if parts > frame.rdd.getNumPartitions() else frame
+
+
 def fit_classifier(train: DataFrame, columns: list[str], label: str, kind: str = "tree", **params) -> Fitted:
-    """kind: tree, linear (L1), additive (boosted stumps, two labels), network."""
-    train = written(train.select(label, *columns))
-    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(train)
-    stages = [index, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
-    common = {"featuresCol": "features", "labelCol": "_y"}
+    """kind: tree, linear (L1), additive (boosted stumps, two labels), network.
+
+    Trees and boosted stumps fit equal rows once, weighed by their number, where few differ;
+    all else iterates over parts whose size is bounded.
+    """
+    # Iterations read a written frame of features and labels, not the texts that they come from.
+    train = written(train.select(F.col(label).alias("_label"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]))
+    counted = _counted(train) if kind in ("tree", "additive") else None
+    train = train if counted is None else counted
+    index = StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(train)
+    data = index.transform(train).select("_y", *columns, *(["_n"] if counted is not None else []))
+    data = data if counted is not None else _spread(data)
+    stages = [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
+    common = {"featuresCol": "features", "labelCol": "_y"} | ({"weightCol": "_n"} if counted is not None else {})
     if kind == "tree":
-        stages.append(DecisionTreeClassifier(**common, maxDepth=params.get("depth", 5), minInstancesPerNode=params.get("leaf", 1), seed=0))
+        depth, leaf = params.get("depth", 5), params.get("leaf", 1)
+        if counted is not None and leaf > 1:
+            # Instances are counted rows here, so the least rows of a leaf are a share of the weight, half a row less to be sure.
+            n = data.agg(F.sum("_n")).first()[0] or 0.0
+            depth, share = (depth, (leaf - 0.5) / n) if 2 * leaf <= n else (0, 0.0)
+            common, leaf = common | {"minWeightFractionPerNode": share}, 1
+        stages.append(DecisionTreeClassifier(**common, maxDepth=depth, minInstancesPerNode=leaf, seed=0))
     elif kind == "linear":
         stages += [StandardScaler(inputCol="features", outputCol="scaled"), LogisticRegression(featuresCol="scaled", labelCol="_y", elasticNetParam=1.0, regParam=params.get("penalty", 0.001), maxIter=params.get("rounds", 50))]
     elif kind == "additive":
@@ -138,9 +173,7 @@ def fit_classifier(train: DataFrame, columns: list[str], label: str, kind: str =
         stages.append(MultilayerPerceptronClassifier(**common, layers=[len(columns), params.get("hidden", 16), len(index.labels)], maxIter=params.get("rounds", 30), seed=0))
     else:
         raise ValueError(kind)
-    # Iterations read a written frame of features and labels, not the texts that they come from.
-    data = index.transform(train).select("_y", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    inner = Pipeline(stages=stages[1:]).fit(data)
+    inner = Pipeline(stages=stages).fit(data)
     if kind in ("linear", "network"):
         # A training summary holds the session, which no task can take along; a model read back has none.
         path = scratch(train.sparkSession)

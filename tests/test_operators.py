@@ -5,6 +5,7 @@ import json
 import math
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from incidentry.functions.text import canonical_date, truncate_words
@@ -307,3 +308,17 @@ def test_shapley_does_not_multiply_rows(spark):
     of = lambda x: {(r["id"], r["feature"]): r["contribution"] for r in x.collect()}
     parts, twice = of(one), of(M.sampled_shapley(d.unionAll(d), f, "id", 3))
     assert parts.keys() == twice.keys() and all(abs(parts[k] - twice[k]) < 1e-9 for k in parts)
+
+
+@pytest.mark.parametrize(("kind", "params"), [("tree", {"depth": 3, "leaf": 400}), ("tree", {"depth": 3, "leaf": 1600}), ("tree", {"depth": 4}), ("additive", {"rounds": 3})])
+def test_trees_fit_equal_rows_once(spark, monkeypatch, kind, params):
+    """What iterates are counted rows or, where too many differ, parts of bounded size; the model is the same."""
+    given, fit = [], M.Pipeline.fit
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, data: given.append((data.count(), data.rdd.getNumPartitions())) or fit(self, data))
+    d = spark.range(3000).selectExpr("id", "if(id % 7 = 0, null, id % 7) as a", "double(id % 4) as b", "if(id % 28 = 3, null, string(id % 7 > id % 4 or id % 11 = 0)) as y")
+    said = lambda: [tuple(r) for r in M.fit_classifier(d, ["a", "b"], "y", kind, **params).predict(d.fillna(0)).orderBy("id").select("predicted", F.round("probability", 9)).collect()]
+    counted = said()
+    monkeypatch.setattr(M, "COUNTED", 0)
+    monkeypatch.setattr(M, "PART_VALUES", 1000)
+    assert said() == counted
+    assert given[0][0] <= 56 and given[1][0] == 2892 and given[1][1] >= 8

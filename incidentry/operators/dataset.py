@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
+from ..sources.steps import written
 from .ingest import stratified_sample
 
 #: Types of columns that count as numeric.
@@ -46,22 +47,28 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def may_stratify(df: DataFrame, label: str, most: int = 10) -> bool:
     """Whether a split keeps the classes' shares: at most ``most`` classes and none rare."""
-    r = class_counts(df, label).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("rare"), F.lit(False)).alias("rare")).first()
-    return 0 < r["n"] <= most and not r["rare"]
+    return _stratifies(df, label, most)[0]
+
+
+def _stratifies(df: DataFrame, label: str, most: int = 10) -> tuple[bool, int]:
+    """``may_stratify`` and the number of rows, from one pass."""
+    r = class_counts(df, label).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("rare"), F.lit(False)).alias("rare"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    return 0 < r["n"] <= most and not r["rare"], r["rows"]
 
 
 def split_dataset(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: str = "42") -> tuple[DataFrame, DataFrame]:
     """(train, test) by a hash of the unique ``key``: the same rows for every run and partitioning.
 
     Where classes are few and none is rare, each gives its share of the test rows (one at
-    least); else all rows are dealt alike.
+    least); else all rows are dealt alike.  Training rows are written, since fits, prints
+    and reports read them again.
     """
-    if may_stratify(df, label):
-        n = df.count()
+    stratifies, n = _stratifies(df, label)
+    if stratifies:
         test = stratified_sample(df, label, key, round(n * test_share), 1, seed)
     else:
         test = df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) < int(1000 * test_share))
-    return df.join(test.select(key), key, "left_anti"), test
+    return written(df.join(test.select(key), key, "left_anti")), test
 
 
 def encode_together(train: DataFrame, gold: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:

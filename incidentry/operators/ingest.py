@@ -91,23 +91,30 @@ def dedup_append(batch: DataFrame, index: DataFrame | None, source: str, order:
     return keyed.join(first, same).select(*batch.columns, F.col("_key").alias("key"))
 
 
-def first_of_each(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_l, _p, _take, _same): where the first rows of each label by ``_s`` end.
+def _ends(counts: DataFrame) -> DataFrame:
+    """(_l, _p, _take, _same): the prefix at which the first ``_take`` rows of each label end, and how many of its ``_same`` rows are among them; of ``counts`` (_l, _p, _same, _take)."""
+    upto = F.sum("_same").over(Window.partitionBy("_l").orderBy("_p"))
+    cut = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_same") < F.col("_take")))
+    return written(cut.select("_l", "_p", (F.col("_take") - F.col("_upto") + F.col("_same")).alias("_take"), "_same"))
 
-    ``rows``: stored (_l, _s), ``_s`` a string of 48 hex digits; ``wanted``: (_l, _want), at
-    least 1 and at most the label's rows.  Rows whose ``_s`` starts with less than ``_p`` are
-    among the first, and ``_take`` of the ``_same`` rows that start with it.  Each round
-    counts the rows under a label's open prefix by longer prefixes, so no label is sorted.
+
+def _few(ends: DataFrame) -> DataFrame:
+    return F.broadcast(ends) if ends.limit(LABELS + 1).count() <= LABELS else ends
+
+
+def first_of_each(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """(_l, _p, _take, _same): where the first rows of each label by ``_s`` end, from where they end by the first digits.
+
+    ``rows``: stored (_l, _s), ``_s`` a string of 48 hex digits.  Rows whose ``_s`` starts with
+    less than ``_p`` are among the first, and ``_take`` of the ``_same`` rows that start with
+    it.  Each round counts the rows under a label's open prefix by longer prefixes, so no
+    label is sorted.
     """
-    ends = wanted.select("_l", F.lit("").alias("_p"), F.col("_want").alias("_take"))
-    for digits in DIGITS:
-        few = F.broadcast(ends) if ends.limit(LABELS + 1).count() <= LABELS else ends
-        under = rows.join(few, "_l").where(F.substring("_s", 1, F.length("_p")) == F.col("_p"))
-        counts = under.groupBy("_l", F.substring("_s", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_same"), F.first("_take").alias("_take"))
-        upto = F.sum("_same").over(Window.partitionBy("_l").orderBy("_p"))
-        ends = written(counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_same") < F.col("_take"))).select("_l", "_p", (F.col("_take") - F.col("_upto") + F.col("_same")).alias("_take"), "_same"))
+    for digits in DIGITS[1:]:
         if not ends.where("_take < _same").limit(1).count():
             break
+        under = rows.join(_few(ends), "_l").where(F.substring("_s", 1, F.length("_p")) == F.col("_p"))
+        ends = _ends(under.groupBy("_l", F.substring("_s", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_same"), F.first("_take").alias("_take")))
     return ends
 
 
@@ -115,20 +122,23 @@ def stratified_sample(df: DataFrame, label: str, key: str, target: int, floor: i
     """min(n, max(floor, round(n / N * target))) rows of each label, the first by a hash of seed, label and key.
 
     Rows that repeat a key follow each other by a hash of all their columns; of rows that
-    are equal in all of them any may be taken.  Null labels are ``unknown``.
+    are equal in all of them any may be taken.  Null labels are ``unknown``.  ``df`` is read
+    twice: for counts by the first digits of the hash, and for the rows up to where those end,
+    which are written.
     """
     plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
     name = F.coalesce(F.col(label).cast("string"), F.lit("unknown"))
     place = F.concat(F.md5(F.concat_ws("|", F.lit(seed), "_l", F.col(key).cast("string"))), F.lpad(F.hex(F.xxhash64(*plain)), 16, "0"))
     marked = df.withColumn("_l", name).withColumn("_s", place)
-    rows = written(marked.select("_l", "_s"))
-    sizes = written(rows.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    digits = F.substring("_s", 1, DIGITS[0])
+    counts = written(marked.groupBy("_l", digits.alias("_p")).agg(F.count(F.lit(1)).alias("_same")))
+    total = counts.agg(F.coalesce(F.sum("_same"), F.lit(0))).first()[0]
+    counts = counts.withColumn("_n", F.sum("_same").over(Window.partitionBy("_l")))
     want = F.least("_n", F.greatest(F.lit(floor), F.bround(F.col("_n") / F.lit(total) * target).cast("long")))
-    ends = first_of_each(rows, sizes.select("_l", want.alias("_want")).where("_want > 0"))
-    few = F.broadcast(ends) if ends.limit(LABELS + 1).count() <= LABELS else ends
+    ends = _ends(counts.withColumn("_take", want).where("_take > 0"))
+    rows = written(marked.join(_few(ends), "_l").where(digits <= F.col("_p")).select(*df.columns, "_l", "_s"))
     at = F.substring("_s", 1, F.length("_p"))
-    near = marked.join(few, "_l").where(at <= F.col("_p"))
+    near = rows.join(_few(first_of_each(rows, ends)), "_l").where(at <= F.col("_p"))
     last = (at == F.col("_p")) & (F.col("_take") < F.col("_same"))
     ranked = near.where(last).withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_s"))).where(F.col("_r") <= F.col("_take"))
     return near.where(~last).select(*df.columns).union(ranked.select(*df.columns))

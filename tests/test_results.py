@@ -121,6 +121,26 @@ def test_stratified_sample_is_by_hash(spark):
     assert rows(I.stratified_sample(d.repartition(7), "l", "id", 300).toPandas()) == rows(I.stratified_sample(d, "l", "id", 300).toPandas())
 
 
+def test_split_is_worked_out_once(spark):
+    """Rows are hashed in two passes and joined in one; what reads the parts reads written rows.  A key's rows do not fall on both sides."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(it):
+        for t in it:
+            passes.add(len(t))
+            yield t
+
+    d = spark.range(4000).selectExpr("id % 3000 AS k", "string(id % 5 = 0) AS y", "id AS v").mapInPandas(seen, "k long, y string, v long")
+    train, test = T.split_dataset(d, "y", "k")
+    made = passes.value
+    for _ in range(2):
+        assert train.count() and test.count() == 800
+    assert passes.value == made <= 4 * 4000
+    assert not any(x in f._jdf.queryExecution().optimizedPlan().toString() for f in (train, test) for x in ("md5", "Anti", "MapInPandas"))
+    held = {r["k"] for r in test.collect()}
+    assert {r["v"] for r in train.collect()} == {v for v in range(4000) if v % 3000 not in held}
+
+
 def test_bootstrap_of_distinct_values(spark):
     """Every value occurs once: the interval has the width that the standard error gives."""
     d = spark.range(400).select(F.col("id").cast("double").alias("v"))
